@@ -89,6 +89,12 @@ FROM d LEFT JOIN cover USING (r) LEFT JOIN its USING (r)
 """
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_lm_scoring": op4_lm_scoring,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {
