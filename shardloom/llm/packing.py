@@ -13,6 +13,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, stage
 
 #: Encoded chunks kept per Python worker before the cache starts afresh.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 _PUNCT = re.compile(rb"(?<=[a-z])([.,])(?=[ \t\n\r\x0b\x0c])")
 
 
@@ -40,6 +41,29 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok, self.cache = Tokenizer.from_str(tokenizer_json), {}
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode chunks into the cache. Words of letters alone are encoded
+        many at a time: each is one pre-token and ends with a word-end id."""
+        words = [w.decode() for w in new]
+        plain = [w for w in words if w.isalpha()]
+        odd = [w for w in words if not w.isalpha()]
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(some):
+                odd += some
+                continue
+            raw, a = ids.tobytes(), 0
+            for w, b in zip(some, (4 * cut).tolist()):
+                self.cache[w.encode()] = raw[a:b]
+                a = b
+        for w, e in zip(odd, self.tok.encode_batch_fast(odd, add_special_tokens=False)):
+            self.cache[w.encode()] = _pack(e.ids)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -48,8 +72,7 @@ class ChunkEncoder:
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
         new = list({w for ws in split if ws for w in ws if w not in cache})
-        for w, e in zip(new, self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            cache[w] = _pack(e.ids)
+        self._learn(new)
         get = cache.__getitem__
         return [_pack(self.tok.encode(t, add_special_tokens=False).ids) if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split)]
 
