@@ -95,6 +95,12 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_lm_scoring": op4_lm_scoring,
+    "op5_toxicity": op5_toxicity,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {
