@@ -101,6 +101,35 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_report
+
+    out = line_report(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.array_join(F.col("dropped").cast("array<string>"), ","), 256).alias("dropped_sha256"))
+
+
+#: Two lines of eight words and more, the shorter at least seven, within one
+#: edit: the same but for word i, or one is the other without word i.
+OP7_SQL = r"""
+WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d),
+l AS (SELECT doc_id, i - 1 AS line, regexp_extract_all(translate(ls[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)),
+k AS (SELECT doc_id, line, len(w) AS n, w, array_to_string(w, ' ') AS t FROM l WHERE len(w) >= 5),
+f AS (SELECT t, any_value(w) AS w, any_value(n) AS n, min((doc_id, line)) AS o FROM k GROUP BY t),
+v AS (SELECT t, o, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v
+      FROM (SELECT t, o, n, w, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 7)),
+near AS (SELECT DISTINCT a.t FROM v a JOIN v b USING (v, i) WHERE b.o < a.o AND a.n = b.n AND a.t <> b.t
+  UNION SELECT DISTINCT a.t FROM v a JOIN f b ON a.v = b.t WHERE b.o < a.o AND b.n >= 7
+  UNION SELECT DISTINCT b.t FROM v a JOIN f b ON a.v = b.t WHERE a.o < b.o AND b.n >= 7),
+gone AS (SELECT k.doc_id, k.line FROM k JOIN f USING (t) WHERE (k.doc_id, k.line) <> f.o OR t IN (SELECT t FROM near)),
+g AS (SELECT doc_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS ls FROM (SELECT DISTINCT * FROM gone) GROUP BY doc_id)
+SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines,
+       coalesce(g.n, 0) AS n_dropped, sha256(coalesce(g.ls, '')) AS dropped_sha256
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -113,10 +142,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_toxicity": op5_toxicity,
+    "op7_line_dedup": op7_line_dedup,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": OP1_SQL,
     "op2_decontamination": OP2_SQL,
     "op3_ngram_jaccard": OP3_SQL,
+    "op7_line_dedup": OP7_SQL,
 }
