@@ -130,6 +130,34 @@ FROM documents LEFT JOIN g USING (doc_id)
 """
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_hits
+
+    hits = license_hits(_table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["license"])))
+    return hits.select("doc_id", F.size("hits").cast("long").alias("n_hits"), F.array_join(names, ",").alias("licenses"), F.round(F.coalesce(F.array_max(F.transform("hits", lambda h: h["dice"])), F.lit(0.0)), 9).alias("best_dice"))
+
+
+def _op8_sql() -> str:
+    from .licenses import TEMPLATES, THRESHOLD, template_bigrams
+
+    rows = ", ".join("('%s', [%s])" % (name, ", ".join(f"'{g}'" for g in template_bigrams(t))) for name, t in TEMPLATES)
+    return f"""
+WITH t(license, grams) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+u AS (SELECT r, i AS line, ls[i] AS text FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT r, string_split(text, chr(10)) AS ls FROM d))
+      UNION ALL SELECT r, 0, text FROM d WHERE contains(text, chr(10))),
+w AS (SELECT r, line, {_WORDS2} AS w FROM u),
+g AS (SELECT r, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) BETWEEN 2 AND 100000),
+s AS (SELECT r, line, license, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM g, t),
+b AS (SELECT r, line, max(dice) AS dice, min(license) AS license FROM (SELECT *, max(dice) OVER (PARTITION BY r, line) AS top FROM s)
+      WHERE dice = top AND dice >= {THRESHOLD} GROUP BY r, line)
+SELECT doc_id, count(b.r) AS n_hits, coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses,
+       round(coalesce(CAST(max(dice) AS DOUBLE), 0.0), 9) AS best_dice
+FROM d LEFT JOIN b USING (r) GROUP BY r, doc_id
+"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -143,6 +171,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_toxicity": op5_toxicity,
     "op7_line_dedup": op7_line_dedup,
+    "op8_license_scan": op8_license_scan,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {
@@ -150,4 +179,5 @@ ORACLES: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
     "op3_ngram_jaccard": OP3_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op8_license_scan": _op8_sql(),
 }
