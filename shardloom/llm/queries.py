@@ -158,6 +158,16 @@ FROM d LEFT JOIN b USING (r) GROUP BY r, doc_id
 """
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, personal_data
+
+    found = personal_data(_table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["name"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda i: lambda s: s["kind"] == i
+    counts = [F.size(F.filter("base", of(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -172,6 +182,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_license_scan": op8_license_scan,
+    "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {
