@@ -101,6 +101,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import edited_counts, standard_edits
+
+    return edited_counts(standard_edits(_table(spark, sf_dir, "documents")), tokenizer_json())
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_report
 
@@ -180,6 +186,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_toxicity": op5_toxicity,
+    "op6_token_counts": op6_token_counts,
     "op7_line_dedup": op7_line_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_pii": op9_pii,
