@@ -27,7 +27,7 @@ from .common import small_batches, stage
 from .text import chunks, mix64, word_hashes
 
 #: Text bytes of a chunk, and the most buckets of context frequencies.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 BUCKETS = 24
 #: Steps of an octave to which estimates are rounded for the learning of weights.
 STEPS = 4
@@ -83,8 +83,9 @@ def _ngrams(tokens: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarr
     return grams
 
 
-def _chunked(docs: DataFrame, order: int, buckets_log2: int, folds: int, held: int, deleted: int) -> DataFrame:
-    """Chunks of documents, and per bucket their distinct n-grams with counts."""
+def _chunked(docs: DataFrame, folds: int, held: int, deleted: int) -> DataFrame:
+    """Chunks (chunk, deleted, n, blob) of documents: ``n`` of them are learned
+    from; those of the deleted fold have chunks of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -94,30 +95,14 @@ def _chunked(docs: DataFrame, order: int, buckets_log2: int, folds: int, held: i
 
         def chunk(own: bool):
             nonlocal made
-            number = (part << 24) | made
-            made += 1
-            text = pa.chunked_array(texts[own]).combine_chunks() if texts[own] else pa.array([], pa.string())
-            text = text.cast(pa.large_string())
-            mine = ids[own]
-            tokens, starts = _tokens(text)
-            train = np.array([remainder(i, folds) != held for i in mine], bool)
-            of_train = np.repeat(train, np.diff(starts))
-            raw = pa.ipc.IpcWriteOptions()
-            sink = pa.BufferOutputStream()
-            table = pa.table({"doc_id": pa.array(mine, pa.int64()), "text": text})
-            with pa.ipc.new_stream(sink, table.schema, options=raw) as w:
+            number, made = (part << 24) | made, made + 1
+            mine, sink = ids[own], pa.BufferOutputStream()
+            table = pa.table({"doc_id": pa.array(mine, pa.int64()), "text": pa.chunked_array(texts[own]).combine_chunks().cast(pa.large_string())})
+            with pa.ipc.new_stream(sink, table.schema) as w:
                 w.write_table(table)
-            rows = [("docs", number, 0, 0, own, int(train.sum()), zstandard.compress(sink.getvalue().to_pybytes(), 1), None)]
-            for o, gram in enumerate(_ngrams(tokens, starts, order), 1):
-                keys, at = np.unique(gram, return_inverse=True)
-                counts = np.bincount(at, weights=of_train, minlength=len(keys)).astype(np.uint32)
-                cut = np.searchsorted(keys, np.arange(1 << buckets_log2, dtype=np.uint64) << np.uint64(64 - buckets_log2))
-                cut = np.append(cut, len(keys))
-                for r in np.flatnonzero(np.diff(cut)).tolist():
-                    k = keys[cut[r] : cut[r + 1]]
-                    rows.append(("keys", number, o, r, own, len(k), _squeeze(np.diff(k, prepend=np.uint64(0))), _squeeze(counts[cut[r] : cut[r + 1]])))
             ids[own], texts[own], size[own] = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
+            n = sum(remainder(i, folds) != held for i in mine)
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([own]), pa.array([n]), pa.array([zstandard.compress(sink.getvalue(), 3)], pa.binary())], ["chunk", "deleted", "n", "blob"])
 
         for b in batches:
             doc, text = b.column(0).to_pylist(), b.column(1).fill_null("")
@@ -135,7 +120,36 @@ def _chunked(docs: DataFrame, order: int, buckets_log2: int, folds: int, held: i
             if ids[own]:
                 yield chunk(own)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _ROWS)
+    return docs.select("doc_id", "text").mapInArrow(run, "chunk long, deleted boolean, n long, blob binary")
+
+
+def _opened(blob: bytes) -> tuple[list, np.ndarray, np.ndarray]:
+    """Doc ids, tokens and row starts of a chunk."""
+    table = pa.ipc.open_stream(zstandard.decompress(blob)).read_all()
+    return table.column("doc_id").to_pylist(), *_tokens(table.column("text").combine_chunks())
+
+
+def _keys(chunked: DataFrame, order: int, buckets_log2: int, folds: int, held: int) -> DataFrame:
+    """Per chunk and bucket the distinct n-grams with their training counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange(1 << buckets_log2, dtype=np.uint64) << np.uint64(64 - buckets_log2)
+        for b in batches:
+            for number, own, blob in zip(*(c.to_pylist() for c in b.columns)):
+                ids, tokens, starts = _opened(blob)
+                of_train = np.repeat(np.array([remainder(i, folds) != held for i in ids], bool), np.diff(starts))
+                for o, gram in enumerate(_ngrams(tokens, starts, order), 1):
+                    rows = []
+                    keys, at = np.unique(gram, return_inverse=True)
+                    counts = np.bincount(at, weights=of_train, minlength=len(keys)).astype(np.uint32)
+                    cut = np.append(np.searchsorted(keys, edges), len(keys))
+                    for r in np.flatnonzero(np.diff(cut)).tolist():
+                        k = keys[cut[r] : cut[r + 1]]
+                        rows.append((number, o, r, own, _squeeze(np.diff(k, prepend=np.uint64(0))), _squeeze(counts[cut[r] : cut[r + 1]])))
+                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["chunk", "ord", "r", "deleted", "blob", "more"])
+
+    return chunked.select("chunk", "deleted", "blob").mapInArrow(run, "chunk long, ord int, r long, deleted boolean, blob binary, more binary")
 
 
 def _counted(keys: DataFrame) -> DataFrame:
@@ -157,8 +171,8 @@ def _counted(keys: DataFrame) -> DataFrame:
                 i = at[a : a + len(x)]
                 a += len(x)
                 rows.append(("counts", h[0], key[0], key[1], h[1], None, _squeeze(total[i]), _squeeze(rest[i]) if h[1] else None))
-            # distinct n-grams and n-grams in all training documents
-            rows.append(("sums", int((total > 0).sum()), key[0], key[1], None, int(total.sum(dtype=np.int64)), None, None))
+            # distinct n-grams and n-grams in all training documents, and in those of the deleted fold
+            rows.append(("sums", int((total > 0).sum()), key[0], key[1], None, int(total.sum(dtype=np.int64)), None, int(own.sum(dtype=np.int64)).to_bytes(8, "big")))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
 
         for b in batches:
@@ -171,8 +185,7 @@ def _counted(keys: DataFrame) -> DataFrame:
         if held:
             yield count()
 
-    small_batches(keys.sparkSession, 64)
-    return keys.select("chunk", "ord", "r", "deleted", "blob", "more").repartition("ord", "r").sortWithinPartitions("ord", "r", "chunk").mapInArrow(run, _ROWS)
+    return keys.repartition("ord", "r").sortWithinPartitions("ord", "r", "chunk").mapInArrow(run, _ROWS)
 
 
 def _assembled(batches: Iterator[pa.RecordBatch], order: int, column: int):
@@ -180,13 +193,12 @@ def _assembled(batches: Iterator[pa.RecordBatch], order: int, column: int):
     chunk, docs, counts = None, None, []
 
     def done():
-        table = pa.ipc.open_stream(zstandard.decompress(docs)).read_all()
-        tokens, starts = _tokens(table.column("text").combine_chunks())
+        ids, tokens, starts = _opened(docs)
         out = []
         for o, gram in enumerate(_ngrams(tokens, starts, order), 1):
             _, at = np.unique(gram, return_inverse=True)
             out.append(np.concatenate([_stretch(c[1 + column], np.uint32) for c in counts if c[0] == o])[at].astype(np.float64))
-        return table.column("doc_id").to_pylist(), tokens, starts, out
+        return ids, tokens, starts, out
 
     for b in batches:
         for c, kind, o, blob, more in zip(*(x.to_pylist() for x in b.columns)):
@@ -204,7 +216,8 @@ def _assembled(batches: Iterator[pa.RecordBatch], order: int, column: int):
 
 def _by_chunk(chunked: DataFrame, counted: DataFrame) -> DataFrame:
     cols = ["chunk", "kind", "ord", "r", "blob", "more"]
-    rows = chunked.filter("kind = 'docs'").select(cols).unionAll(counted.filter("kind = 'counts'").select(cols))
+    docs = chunked.select("chunk", F.lit("docs").alias("kind"), F.lit(0).alias("ord"), F.lit(0).cast("long").alias("r"), "blob", F.lit(None).cast("binary").alias("more"))
+    rows = docs.unionAll(counted.filter("kind = 'counts'").select(cols))
     return rows.repartition("chunk").sortWithinPartitions("chunk", F.desc("kind"), "ord", "r").select("chunk", "kind", "ord", "blob", "more")
 
 
@@ -258,14 +271,14 @@ def score(docs: DataFrame, order: int = 2, folds: int = 5, held: int = 1, delete
     """
     spark = docs.sparkSession
     small_batches(spark)
-    log2 = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length())
-    chunked = stage(_chunked(docs, order, log2, folds, held, deleted), "chunks")
-    counted = stage(_counted(chunked.filter("kind = 'keys'")), "counts")
-    sums = counted.filter("kind = 'sums' and ord = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("chunk"), F.lit(0))).first()
-    total, types = int(sums[0]), int(sums[1])
-    by_kind = {bool(r[0]): (r[1], r[2]) for r in chunked.filter("kind = 'docs'").groupBy("deleted").agg(F.sum("n"), F.count("n")).collect()}
-    n_docs = sum(v[0] for v in by_kind.values())
-    own_docs = by_kind.get(True, (0, 0))[0]
+    log2 = 2 + max(4, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length())
+    chunked = stage(_chunked(docs, folds, held, deleted), "chunks")
+    small_batches(spark, 16)  # chunks are large rows
+    counted = stage(_counted(_keys(chunked, order, log2, folds, held)), "counts")
+    sums = counted.filter("kind = 'sums' and ord = 1")
+    total, types, own_tokens = (int(x) for x in sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("chunk"), F.lit(0)), F.coalesce(F.sum(F.conv(F.hex("more"), 16, 10).cast("long")), F.lit(0))).first())
+    by_kind = {bool(r[0]): r[1] for r in chunked.groupBy("deleted").agg(F.sum("n")).collect()}
+    n_docs, own_docs = sum(by_kind.values()), by_kind.get(True, 0)
     floor = 1 / (types + 1)
 
     def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,8 +291,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 5, held: int = 1, delete
         if cells:
             yield pa.RecordBatch.from_arrays([pa.array([list(c) for c in cells], pa.list_(pa.int64())), pa.array(list(cells.values()), pa.int64())], ["cell", "n"])
 
-    others = total - _own_tokens(chunked)
-    small_batches(spark, 64)
+    others = total - own_tokens
     deleted_rows = _by_chunk(chunked.filter("deleted"), counted.filter("deleted"))
     # as many rows at most as there are cells of rounded estimates
     got = deleted_rows.mapInArrow(held_out, "cell array<long>, n long").groupBy("cell").agg(F.sum("n")).collect()
@@ -300,16 +312,3 @@ def score(docs: DataFrame, order: int = 2, folds: int = 5, held: int = 1, delete
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return _by_chunk(chunked, counted).mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _own_tokens(chunked: DataFrame) -> int:
-    """Training tokens of the deleted fold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
-        for b in batches:
-            for raw in b.column(0).to_pylist():
-                n += int(_stretch(raw, np.uint32).sum(dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
-
-    return chunked.filter("kind = 'keys' and ord = 1 and deleted").select("more").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
