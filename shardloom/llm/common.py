@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def collected_stages(into: list[DataFrame]) -> Iterator[None]:
+    """Note the tables that are staged inside, so that they can be released."""
+    _scopes.append(into)
+    try:
+        yield
+    finally:
+        _scopes.remove(into)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -42,6 +57,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    for scope in _scopes:
+        scope.append(out)
     return out
 
 

@@ -169,10 +169,13 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 
 def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, without their duplicate lines. Documents of
-    which nothing but white space is left by that go."""
+    """The documents, all columns, without their duplicate lines. A document
+    that loses lines and keeps none of MIN_WORDS words goes: it held nothing
+    else of its own."""
     dropped, _ = duplicate_lines(docs)
     base = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_lines"), i)), "\n")
-    out = _attach(base, dropped).withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept)).filter(F.col("_lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(docs.columns)
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_lines"), i))
+    out = _attach(base, dropped).withColumn("_kept", F.when(F.col("_lines").isNotNull(), kept))
+    own = F.exists("_kept", lambda x: F.size(F.array_remove(F.split(x, r"[\x20\x09-\x0D]+"), "")) >= MIN_WORDS)
+    out = out.filter(F.col("_lines").isNull() | own)
+    return out.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))).select(docs.columns)
