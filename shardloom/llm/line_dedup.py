@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, stage
@@ -23,6 +23,10 @@ from .text import _pow, chunks, mix64, word_hashes
 #: Lines of fewer words are left alone; so many and more may differ by an edit.
 MIN_WORDS, EDIT_WORDS = 5, 8
 
+#: Lines with a partner's half that are broadcast, by hash and two flags (some
+#: 50 MB at most); more are joined by shuffling.
+BROADCAST_LINES = 1_000_000
+
 _LINES = "doc_id long, text_hash long, line int, h long, n int, halves array<long>, text string"
 
 
@@ -39,7 +43,8 @@ def _finish(raw: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """The lines of at least MIN_WORDS words; text only where new to the task."""
+    """The lines of at least MIN_WORDS words; text and the keys of their halves,
+    even for the first and odd for the last, only where new to the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -60,13 +65,14 @@ def _lines(docs: DataFrame) -> DataFrame:
                 h = _finish((sums[e] - sums[a]) * inv[a], n).view(np.int64)
                 halves = []
                 for half in (n // 2, (n - 1) // 2):  # as the shorter line of a pair, as the longer
-                    halves.append(_finish((sums[a + half] - sums[a]) * inv[a], half * 2).view(np.int64))
-                    halves.append(_finish((sums[e] - sums[e - half]) * inv[e - half], half * 2 + 1).view(np.int64))
-                halves = np.stack(halves, axis=1)
-                some = [sorted({*x}) if m >= EDIT_WORDS - 1 else [] for x, m in zip(halves.tolist(), n.tolist())]
-                texts = []
-                for i, key in zip(keep.tolist(), h.tolist()):
-                    texts.append(None if key in seen else part[i].as_py())
+                    halves.append(_finish((sums[a + half] - sums[a]) * inv[a], half * 2) & ~np.uint64(1))
+                    halves.append(_finish((sums[e] - sums[e - half]) * inv[e - half], half * 2 + 1) | np.uint64(1))
+                halves = np.stack(halves, axis=1).view(np.int64).tolist()
+                some, texts = [], []
+                for i, key, own, m in zip(keep.tolist(), h.tolist(), halves, n.tolist()):
+                    new = key not in seen
+                    texts.append(part[i].as_py() if new else None)
+                    some.append(sorted({*own}) if new and m >= EDIT_WORDS - 1 else None)
                     if len(seen) < 1_000_000:
                         seen.add(key)
                 at = of[lo + keep].tolist()
@@ -77,17 +83,22 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(v, i, h, at): the line without word i, or whole where i is -1."""
-    schema = lines.select(F.lit(0).cast("long").alias("v"), F.lit(0).alias("i"), "h", "at").schema
+    """(v, i, h): the line without word i, or whole where i is -1. Where the
+    first half is what another line shares, only words behind it are left out,
+    and where the last half is, only words before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w, rows = word_hashes(b.column(2))
+            w, rows = word_hashes(b.column(1))
             sums, inv = _sequence(w)
             n = np.diff(rows)
+            first, last = b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)
             many = n + 1
             row = np.repeat(np.arange(len(n)), many)
             i = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) - 1
+            half = ((n - 1) // 2)[row]
+            on = (i < 0) | (first[row] & (i >= half)) | (last[row] & (i < n[row] - half))
+            row, i = row[on], i[on]
             a, e = rows[:-1][row], rows[1:][row]
             cut = a + np.maximum(i, 0)
             left = (sums[cut] - sums[a]) * inv[a]
@@ -95,10 +106,9 @@ def _variants(lines: DataFrame) -> DataFrame:
             v = np.where(i < 0, _finish((sums[e] - sums[a]) * inv[a], n[row]), _finish(left + right, n[row] - 1))
             for s in range(0, len(v), 1 << 16):
                 t = slice(s, s + (1 << 16))
-                take = pa.array(row[t])
-                yield pa.RecordBatch.from_arrays([pa.array(v[t].view(np.int64)), pa.array(i[t].astype(np.int32)), b.column(0).take(take), b.column(1).take(take)], ["v", "i", "h", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(v[t].view(np.int64)), pa.array(i[t].astype(np.int32)), b.column(0).take(pa.array(row[t]))], ["v", "i", "h"])
 
-    return lines.select("h", "at", "text").mapInArrow(run, schema)
+    return lines.select("h", "text", "first", "last").mapInArrow(run, "v long, i int, h long")
 
 
 def _true_links(pairs: DataFrame) -> DataFrame:
@@ -131,15 +141,17 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     small_batches(docs.sparkSession)
     lines = stage(_lines(docs), "lines")
     at = F.struct("doc_id", "text_hash", "line")
-    first = stage(lines.groupBy("h").agg(F.min(at).alias("at"), F.first("halves").alias("halves")), "first")
-    keys = first.select("h", F.explode("halves").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select("key")
-    near = keys.join(shared, "key", "left_semi").select("h").distinct()
-    text = lines.filter("text is not null").select("h", "text")
-    some = stage(text.join(near, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")).join(first.select("h", "at"), "h"), "near")
-    rows = _variants(some)
+    first = stage(lines.groupBy("h").agg(F.min(at).alias("at")), "first")
+    by_key, by_v = Window.partitionBy("key"), Window.partitionBy("v")
+    keys = lines.filter("halves is not null").select("h", F.explode("halves").alias("key"))
+    shared = keys.withColumn("low", F.min("h").over(by_key)).withColumn("high", F.max("h").over(by_key)).filter("low < high")
+    near = stage(shared.groupBy("h").agg(F.max(F.col("key") % 2 == 0).alias("first"), F.max(F.col("key") % 2 != 0).alias("last")), "near")
+    hint = F.broadcast if near.count() <= BROADCAST_LINES else (lambda df: df)
+    some = stage(lines.filter("text is not null").select("h", "text").join(hint(near), "h").groupBy("h", "first", "last").agg(F.min("text").alias("text")), "near")
+    rows = _variants(some).withColumn("low", F.min("h").over(by_v)).withColumn("high", F.max("h").over(by_v)).filter("low < high").select("v", "i", "h")
+    rows = stage(rows.join(first, "h"), "variants")
     me = F.struct("at", "h")
-    swapped = rows.filter("i >= 0").groupBy("v", "i").agg(F.min(me).alias("lead"), F.max("h").alias("high"), F.min("h").alias("low")).filter("low < high").select("v", "i", "lead")
+    swapped = rows.filter("i >= 0").groupBy("v", "i").agg(F.min(me).alias("lead"))
     grown = rows.groupBy("v").agg(F.min(F.when(F.col("i") < 0, me)).alias("whole"), F.min(F.when(F.col("i") >= 0, me)).alias("cut")).filter("whole is not null and cut is not null")
     found = rows.join(swapped, ["v", "i"]).select("h", "at", "lead").unionAll(rows.join(grown, "v").select("h", "at", F.when(F.col("i") < 0, F.col("cut")).otherwise(F.col("whole")).alias("lead")))
     links = found.filter("lead.h <> h and lead.at < at").groupBy("h").agg(F.min("lead").alias("lead")).select("h", F.col("lead.h").alias("other"))
