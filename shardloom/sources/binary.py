@@ -16,7 +16,7 @@ from .generators import Xoshiro
 
 # Fixed values of the format.
 MAGIC = 0x53504D4B455953AA
-HEADER = struct.Struct("<5Q")
+HEADER_FORMAT, HEADER_SIZE = "<5Q", 40
 
 #: Named data sets: (count, key space, seed).
 DEFAULTS = {"1M": (1_000_000, 0, 42), "10M": (10_000_000, 0, 42), "100M": (100_000_000, 0, 42), "200M": (200_000_000, 0, 42), "100M_dup": (100_000_000, 1_000_000, 42)}
@@ -31,8 +31,8 @@ def valid(path: str, n: int, seed: int, key_space: int) -> bool:
     """Whether the file is there, has these parameters and the right size."""
     try:
         with open(path, "rb") as f:
-            head = f.read(HEADER.size)
-        return len(head) == HEADER.size and HEADER.unpack(head)[:4] == (MAGIC, n, seed, key_space) and os.path.getsize(path) == HEADER.size + 8 * n
+            head = f.read(HEADER_SIZE)
+        return len(head) == HEADER_SIZE and struct.unpack(HEADER_FORMAT, head)[:4] == (MAGIC, n, seed, key_space) and os.path.getsize(path) == HEADER_SIZE + 8 * n
     except OSError:
         return False
 
@@ -43,7 +43,7 @@ def write(path: str, n: int, seed: int, key_space: int = 0, block: int = 1 << 16
         return False
     rng = Xoshiro(seed)
     with open(path, "wb") as f:
-        f.write(HEADER.pack(MAGIC, n, seed, key_space, 0))
+        f.write(struct.pack(HEADER_FORMAT, MAGIC, n, seed, key_space, 0))
         for at in range(0, n, block):
             x = rng.take(min(block, n - at))
             f.write((x % np.uint64(key_space) if key_space else x).astype("<u8").tobytes())
@@ -57,12 +57,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
                 raw = content.as_buffer()
-                if raw.size < HEADER.size:
+                if raw.size < HEADER_SIZE:
                     raise ValueError(f"{name}: shorter than a header")
-                magic, n, *_ = HEADER.unpack(raw[: HEADER.size])
-                if magic != MAGIC or raw.size != HEADER.size + 8 * n:
+                magic, n, *_ = struct.unpack(HEADER_FORMAT, raw[: HEADER_SIZE])
+                if magic != MAGIC or raw.size != HEADER_SIZE + 8 * n:
                     raise ValueError(f"{name}: not a key file of {n} keys")
-                keys = np.frombuffer(raw, "<u8", offset=HEADER.size).astype(np.uint64)
+                keys = np.frombuffer(raw, "<u8", offset=HEADER_SIZE).astype(np.uint64)
                 for at in range(0, n, 1 << 18):
                     part = keys[at : at + (1 << 18)]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(part.view(np.int64))], ["path", "i", "key"])
@@ -81,5 +81,5 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
         little(17).alias("seed"),
         little(25).alias("key_space"),
         (F.col("length") / (1024 * 1024)).alias("mb"),
-        ((little(1) == F.lit(MAGIC)) & (F.col("length") == little(9) * 8 + HEADER.size)).alias("valid"),
+        ((little(1) == F.lit(MAGIC)) & (F.col("length") == little(9) * 8 + HEADER_SIZE)).alias("valid"),
     )
