@@ -125,5 +125,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents, all columns, in which no benchmark run occurs."""
     found, _ = find_runs(documents, benchmark, window)
-    bad = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_t")), "left_anti")
+    bad = found.select("doc_id", "text_hash").distinct()
+    rows = documents.select(F.struct(*documents.columns).alias("_row"))
+    same = F.col("_row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce("_row.text", F.lit(""))) == F.col("text_hash"))
+    return rows.join(bad, same, "left_anti").select("_row.*")

@@ -104,7 +104,8 @@ def personal_data(documents: DataFrame, disclosure: float = DISCLOSURE, support:
 
     Null and empty texts have no spans; repeated rows, alike in doc_id and
     text, come out once each with the same spans and count once each in the
-    corpus; an empty table gives no rows; all other columns are kept.
+    corpus; an empty table gives no rows; all other columns are kept, but for some
+    named base or spans.
     """
     text = F.coalesce("text", F.lit(""))
     row = documents.select("doc_id", F.xxhash64(text).alias("_hash"), text.alias("_text"))
@@ -131,8 +132,9 @@ def personal_data(documents: DataFrame, disclosure: float = DISCLOSURE, support:
 
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,name:string>>")
     found = attach(base, extra).select("doc_id", "_hash", "base", F.array_sort(F.concat("base", F.coalesce("more", empty))).alias("spans"))
-    out = attach(documents.drop("base", "spans").withColumn("_hash", F.xxhash64(text)), found).drop("_hash")
-    return out.withColumns({"base": F.coalesce("base", empty), "spans": F.coalesce("spans", empty)})
+    own = [c for c in documents.columns if c not in ("base", "spans")]
+    out = attach(documents.select(F.struct(*own).alias("_row"), "doc_id", F.xxhash64(text).alias("_hash")), found)
+    return out.select("_row.*", F.coalesce("base", empty).alias("base"), F.coalesce("spans", empty).alias("spans"))
 
 
 def sanitise(documents: DataFrame, generalise: bool = True, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:

@@ -144,6 +144,11 @@ class CountTree:
 _counters: dict[int, Counter] = {}
 
 
+def counter(tokenizer_json: str) -> Counter:
+    """One counter per worker process and tokenizer."""
+    return _counters.get(hash(tokenizer_json)) or _counters.setdefault(hash(tokenizer_json), Counter(tokenizer_json))
+
+
 def edited_counts(documents: DataFrame, tokenizer_json: str) -> DataFrame:
     """Per document: doc_id, n_tokens, n_edited, n_edits, n_leaves, n_encoded.
 
@@ -161,14 +166,13 @@ def edited_counts(documents: DataFrame, tokenizer_json: str) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(shared.value)
-        counter = _counters.get(key) or _counters.setdefault(key, Counter(shared.value))
+        known = counter(shared.value)
         for b in batches:
             cut = [pieces(t or "") for t in b.column(1).to_pylist()]
-            counter.learn({p.strip(" \t\n\r\x0b\x0c") for ps in cut for p in ps})
+            known.learn({p.strip(" \t\n\r\x0b\x0c") for ps in cut for p in ps})
             rows = []
             for doc, ps, edits in zip(b.column(0).to_pylist(), cut, b.column(2).to_pylist()):
-                tree = CountTree(ps, counter)
+                tree = CountTree(ps, known)
                 before, leaves = tree.tokens, len(ps)
                 edits = [e for e in edits or [] if e is not None]
                 for e in edits:
@@ -182,8 +186,9 @@ def edited_counts(documents: DataFrame, tokenizer_json: str) -> DataFrame:
 
 def with_edits(documents: DataFrame, log: DataFrame) -> DataFrame:
     """The documents with the edits of ``log`` (doc_id, seq, start, end, text) in order of seq."""
-    own = log.groupBy(F.col("doc_id").alias("_d")).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "text"))).alias("edits"))
-    return documents.join(own.withColumn("edits", F.transform("edits", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["text"].alias("text")))), F.col("doc_id") == F.col("_d"), "left").drop("_d")
+    plain = lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["text"].alias("text"))
+    own = log.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "text"))), plain).alias("edits"))
+    return documents.drop("edits").join(own, "doc_id", "left")
 
 
 def standard_edits(documents: DataFrame) -> DataFrame:

@@ -207,11 +207,12 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, sample: int = SAMPL
     return stage(documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic", "weight"), "sample")
 
 
-def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``extra`` columns and the score of every whole text."""
+def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
+    """(_row, _score): every row as a struct and the score of its whole text."""
     small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    schema = documents.select(*extra, F.lit(0.0).alias("_score")).schema
+    rows = documents.select(F.col("text").alias("_text"), F.struct(*documents.columns).alias("_row"))
+    schema = rows.select("_row", F.lit(0.0).alias("_score")).schema
     maybe_bits = 1 << 20
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,9 +229,9 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], ext
                 pair = np.unique(row[hit] * (len(kept) + 1) + at[hit])
                 if len(pair):
                     z += np.bincount(lo + pair // (len(kept) + 1), weights=weight[pair % (len(kept) + 1)], minlength=len(z))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], [*b.schema.names[1:], "_score"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["_row", "_score"])
 
-    return documents.select(F.col("text").alias("_text"), *extra).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, folds: int = 4, held: int = 2) -> DataFrame:
@@ -246,11 +247,11 @@ def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sa
     threshold; an empty table gives no rows; other columns are ignored.
     """
     model = fit(labelled_sample(documents, labels, sample, folds, held), sample)
-    out = score(documents, model)
+    out = score(documents.select("doc_id", "text"), model).select("_row.doc_id", "_score")
     return out.select("doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == held).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
 def reject_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, folds: int = 4, held: int = 2) -> DataFrame:
     """The documents, all columns, that score below ``threshold``."""
     model = fit(labelled_sample(documents, labels, sample, folds, held), sample)
-    return score(documents, model, tuple(documents.columns)).filter(F.col("_score") < threshold).drop("_score")
+    return score(documents, model).filter(F.col("_score") < threshold).select("_row.*")
