@@ -88,11 +88,12 @@ def find_runs(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> t
         found = around_hits.select("doc_id", "text_hash", (F.col("lo") + F.col("i")).alias("start"), F.lit(window).alias("n"), "run").join(hint(runs.filter(F.col("n") == window).select("run")), "run", "left_semi")
     for n in sorted(counts):
         if n < window:  # a short item has one run, its own
-            all_runs = blocks.filter(F.size("w") >= n).select("doc_id", "text_hash", "base", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.concat_ws(" ", F.slice("w", i, n)))).alias("i", "run"))
+            run_at = lambda n: lambda i: F.concat_ws(" ", F.slice("w", i, n))
+            all_runs = blocks.filter(F.size("w") >= n).select("doc_id", "text_hash", "base", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), run_at(n))).alias("i", "run"))
             more = all_runs.join(hint(runs.filter(F.col("n") == n).select("run")), "run", "left_semi").select("doc_id", "text_hash", (F.col("base") + F.col("i")).alias("start"), F.lit(n).alias("n"), "run")
             found = more if found is None else found.unionByName(more)
     if found is None:
-        found = documents.sparkSession.createDataFrame([], documents.select("doc_id").schema.add("text_hash", "long").add("start", "int").add("n", "int").add("run", "string"))
+        found = documents.select("doc_id", F.lit(0).cast("long").alias("text_hash"), F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("run")).filter(F.lit(False))
     return found.select("doc_id", "text_hash", "start", "n", "run").distinct(), by_item
 
 

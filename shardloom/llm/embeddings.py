@@ -226,7 +226,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95) -> DataFrame
         own = _links(classes.filter(F.size("embedding") == dims), dims, threshold)
         links = own if links is None else links.unionAll(own)
     nodes = classes.select("embedding", "rep", "copies")
-    out = rows.join(nodes, "embedding", "left").select("vec_id", "rep", "copies") if links is not None else rows.select("vec_id", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("copies"))
+    own_class = (rows["embedding"] == nodes["embedding"]) & rows["vec_id"].isNotNull()
+    out = rows.join(nodes, own_class, "left").select("vec_id", "rep", "copies") if links is not None else rows.select("vec_id", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("copies"))
     if links is not None:
         comp = components(links.filter("b is not null").select("a", "b"))
         n = links.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))

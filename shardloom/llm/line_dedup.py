@@ -21,7 +21,7 @@ from .common import small_batches, stage
 from .text import _pow, chunks, mix64, word_hashes
 
 #: Lines of fewer words are left alone; so many and more may differ by an edit.
-MIN_WORDS, EDIT_WORDS = 5, 8
+MIN_WORDS, EDIT_WORDS = 5, 7
 
 #: Lines with a partner's half that are broadcast, by hash and two flags (some
 #: 50 MB at most); more are joined by shuffling.
@@ -72,7 +72,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                 for i, key, own, m in zip(keep.tolist(), h.tolist(), halves, n.tolist()):
                     new = key not in seen
                     texts.append(part[i].as_py() if new else None)
-                    some.append(sorted({*own}) if new and m >= EDIT_WORDS - 1 else None)
+                    some.append(sorted({*own}) if new and m >= EDIT_WORDS else None)
                     if len(seen) < 1_000_000:
                         seen.add(key)
                 at = of[lo + keep].tolist()
@@ -134,9 +134,8 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A line goes if an earlier one, by doc_id, text hash and line number, has
     the same words, or if one whose first occurrence is earlier differs by one
-    word inserted, deleted or replaced and both have EDIT_WORDS words or more,
-    the shorter at least EDIT_WORDS - 1. Words are runs without white space,
-    A-Z lower-cased.
+    word inserted, deleted or replaced and both have EDIT_WORDS words or more.
+    Words are runs without white space, A-Z lower-cased.
     """
     small_batches(docs.sparkSession)
     lines = stage(_lines(docs), "lines")
@@ -163,8 +162,9 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _attach(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    own = dropped.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("_lines")).withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
-    return docs.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_t")), "left").drop("_d", "_t")
+    """``docs``, with columns _id and _hash, and the sorted ``_lines`` dropped of each."""
+    own = dropped.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(F.array_sort(F.collect_set("line")).alias("_lines"))
+    return docs.join(own, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_t")), "left").drop("_d", "_t")
 
 
 def line_report(docs: DataFrame) -> DataFrame:
@@ -176,8 +176,8 @@ def line_report(docs: DataFrame) -> DataFrame:
     columns are ignored.
     """
     dropped, _ = duplicate_lines(docs)
-    base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"), (F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
-    return _attach(base, dropped).select("doc_id", "n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("_lines", F.array().cast("array<int>")).alias("dropped"))
+    base = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"), (F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
+    return _attach(base, dropped).select(F.col("_id").alias("doc_id"), "n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("_lines", F.array().cast("array<int>")).alias("dropped"))
 
 
 def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -185,9 +185,11 @@ def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
     that loses lines and keeps none of MIN_WORDS words goes: it held nothing
     else of its own."""
     dropped, _ = duplicate_lines(docs)
-    base = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_lines"), i))
-    out = _attach(base, dropped).withColumn("_kept", F.when(F.col("_lines").isNotNull(), kept))
+    row = F.struct(*docs.columns).alias("_row")
+    base = docs.select(row, F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
+    kept = F.filter(F.split("_row.text", "\n"), lambda x, i: ~F.array_contains(F.col("_lines"), i))
+    out = _attach(base, dropped).select("_row", "_lines", F.when(F.col("_lines").isNotNull(), kept).alias("_kept"))
     own = F.exists("_kept", lambda x: F.size(F.array_remove(F.split(x, r"[\x20\x09-\x0D]+"), "")) >= MIN_WORDS)
     out = out.filter(F.col("_lines").isNull() | own)
-    return out.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))).select(docs.columns)
+    text = F.when(F.col("_lines").isNull(), F.col("_row.text")).otherwise(F.array_join("_kept", "\n"))
+    return out.select(*(text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))

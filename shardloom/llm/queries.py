@@ -114,8 +114,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.array_join(F.col("dropped").cast("array<string>"), ","), 256).alias("dropped_sha256"))
 
 
-#: Two lines of eight words and more, the shorter at least seven, within one
-#: edit: the same but for word i, or one is the other without word i.
+#: Two lines of seven words and more within one edit: the same but for word i,
+#: or one is the other without word i.
 OP7_SQL = r"""
 WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
 s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d),
