@@ -478,7 +478,7 @@ def amdahl_fit(spark, d):
     return an.amdahl_fit(points.select("l_returnflag", p.alias("p"), (1 + (p - 1) * F.col("q") / 60).alias("s")), ["l_returnflag"], "p", "s")
 
 
-@query("amdahl_error", "SELECT f, round(sum((s - 1 / (f + (1 - f) / p)) * (s - 1 / (f + (1 - f) / p))), 6) AS error FROM (SELECT CAST(l_linenumber AS DOUBLE) AS p, l_quantity / 10 AS s FROM lineitem), (SELECT unnest([0.02, 0.05, 0.12, 0.2]) AS f) GROUP BY f")
+@query("amdahl_error", "SELECT CAST(f AS DOUBLE) AS f, round(sum((s - 1 / (f + (1 - f) / p)) * (s - 1 / (f + (1 - f) / p))), 6) AS error FROM (SELECT CAST(l_linenumber AS DOUBLE) AS p, l_quantity / 10 AS s FROM lineitem), (SELECT unnest([0.02, 0.05, 0.12, 0.2]) AS f) GROUP BY f")
 def amdahl_error(spark, d):
     t = table(spark, d, "lineitem").select(F.col("l_linenumber").cast("double").alias("p"), (F.col("l_quantity") / 10).alias("s"))
     return an.amdahl_error(t, "p", "s", [0.02, 0.05, 0.12, 0.2]).select(F.col("f").cast("double").alias("f"), _R("error"))
