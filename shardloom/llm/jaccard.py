@@ -27,8 +27,13 @@ COUNTERS = 1 << 20
 _BLOCK = 1 << 12
 #: Members of a tile's side.
 TILE = 1024
+#: Candidate pairs a member beyond which a tile is dense.
+DENSE = 4
 
-_SKETCH = "doc_id long, k long, n long, text binary, bits binary, block long"
+#: Bytes of the bitmaps that tiles compare; longer ones are folded to this.
+_SHORT = 128
+
+_SKETCH = "doc_id long, k long, n long, text binary, bits binary, short binary, block long"
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -59,8 +64,8 @@ def _least_overlap(na, nb, percent: int):
 def _sketches(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, seen = [f.split()[0] for f in _SKETCH.split(", ")], set()
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-        counts, pack = np.zeros(COUNTERS, np.uint32), zstandard.ZstdCompressor(1)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+        counts, pack = np.zeros(COUNTERS, np.uint32), zstandard.ZstdCompressor(3)
         for b in batches:
             for lo, part in chunks(b.column(1)):
                 rows: list = []
@@ -68,21 +73,22 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
                 for i, (x, y) in enumerate(zip(at[:-1], at[1:])):
                     doc = b.column(0)[lo + i].as_py()
                     if x == y:
-                        rows.append((doc, None, 0, None, None, None))
+                        rows.append((doc, None, 0, None, None, None, None))
                         continue
                     s = np.unique(h[x:y])
                     key = set_key(s)
                     if key in seen:
-                        rows.append((doc, key, len(s), None, None, None))
+                        rows.append((doc, key, len(s), None, None, None, None))
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(key)
                     np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-                    rows.append((doc, key, len(s), pack.compress(part[i].as_py().encode()), bitmap(s).tobytes(), None))
+                    bits = bitmap(s)
+                    rows.append((doc, key, len(s), pack.compress(part[i].as_py().encode()), bits.tobytes(), fold(bits, _SHORT // 8).tobytes(), None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
         if counts.any():
             blocks = counts.reshape(-1, _BLOCK)
-            rows = [(None, None, None, blocks[i].tobytes(), None, i) for i in np.flatnonzero(blocks.any(axis=1)).tolist()]
+            rows = [(None, None, None, blocks[i].tobytes(), None, None, i) for i in np.flatnonzero(blocks.any(axis=1)).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, _SKETCH)
@@ -125,59 +131,51 @@ def _prefixes(nodes: DataFrame, order: np.ndarray, k: int, percent: int) -> Data
     return nodes.select("k", "text", "n").mapInArrow(run, "sig long, k long, n long")
 
 
-def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and bitmaps allow the overlap."""
+def _verified(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that are links: whose sizes and bitmaps allow the overlap
+    and whose sorted sets have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            a, b, na, nb, x, y = (c.to_pylist() for c in batch.columns)
+            a, b, na, nb, xa, xb, ta, tb = (c.to_pylist() for c in batch.columns)
             ok = []
             for i in range(len(a)):
-                p, q = np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64)
+                p, q = np.frombuffer(xa[i], np.uint64), np.frombuffer(xb[i], np.uint64)
                 w = min(len(p), len(q))
                 diff = int(np.bitwise_count(fold(p, w) ^ fold(q, w)).sum())
                 ok.append((na[i] + nb[i] - diff) // 2 >= _least_overlap(na[i], nb[i], percent))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    bits = nodes.select("k", "n", "bits")
-    both = pairs.join(bits.withColumnsRenamed({"k": "a", "n": "na", "bits": "xa"}), "a").join(bits.withColumnsRenamed({"k": "b", "n": "nb", "bits": "xb"}), "b")
-    near = both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return near.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that are links, by intersecting the sorted sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            raw = dict(zip(a, x)) | dict(zip(b, y))
+            on = np.flatnonzero(ok)
+            raw = {x: t for i in on.tolist() for x, t in ((a[i], ta[i]), (b[i], tb[i]))}
             got = dict(zip(raw, sets(pa.array([unpack.decompress(t).decode() for t in raw.values()], pa.large_string()), k)))
-            ok = []
-            for p, q in zip(a, b):
-                s, t = got[p], got[q]
-                ok.append(len(np.intersect1d(s, t, assume_unique=True)) >= _least_overlap(len(s), len(t), percent))
+            for i in on.tolist():
+                s, t = got[a[i]], got[b[i]]
+                ok[i] = len(np.intersect1d(s, t, assume_unique=True)) >= _least_overlap(len(s), len(t), percent)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    texts = nodes.select("k", "text")
-    both = pairs.join(texts.withColumnsRenamed({"k": "a", "text": "xa"}), "a").join(texts.withColumnsRenamed({"k": "b", "text": "xb"}), "b")
-    return both.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
+    side = lambda x: nodes.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}"), F.col("text").alias(f"t{x}"))
+    sizes = lambda x: nodes.select(F.col("k").alias(x), F.col("n").alias(f"s{x}"))
+    fit = pairs.join(sizes("a"), "a").join(sizes("b"), "b").filter(F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent).select("a", "b")
+    return fit.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _tiles(members: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs of different components, group by group.
+def _tiles(members: DataFrame, percent: int, thin: bool) -> DataFrame:
+    """(a, b): candidate pairs of different components, group by group. If
+    ``thin``, a tile with more than DENSE pairs a member gives one a member, the
+    first by a hash of the pair, and a row (group, null), to be seen again.
 
-    A tile holds the sets of two neighbouring size bands of one group, or two
-    blocks of them where a group is large; sizes a factor of 100 / percent
-    apart never link, so further bands need not meet.
+    A tile holds a group; of a group of more than TILE sets, two neighbouring
+    size bands, or two blocks of them. Sizes a factor of 100 / percent apart
+    never link, so further bands need not meet.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.000001)).cast("int") if percent < 100 else F.col("n").cast("int")
-    placed = members.withColumn("band", band).withColumn("at", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    small = members.filter(F.col("size") <= TILE).select("sig", F.lit(-1).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("blk"), F.lit(-1).alias("band"), "k", "c", "n", "short")
+    placed = members.filter(F.col("size") > TILE).withColumn("band", band).withColumn("at", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     w = Window.partitionBy("sig", "at")
     placed = placed.withColumn("blk", F.floor((F.row_number().over(w.orderBy("n", "k")) - 1) / TILE).cast("int")).withColumn("last", F.max("blk").over(w))
     other = F.explode(F.sequence(F.lit(0), F.col("last")))
-    placed = placed.withColumn("o", other).select("sig", "at", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "band", "k", "c", "n", "bits")
+    large = placed.withColumn("o", other).select("sig", "at", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "band", "k", "c", "n", "short")
+    placed = small.unionByName(large)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, done = None, [], set()
@@ -188,20 +186,28 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
             n = np.array([r[3] for r in m], np.int64)
             c = np.array([r[2] for r in m], np.int64)
             blk, low = np.array([r[0] for r in m]), np.array([r[1] for r in m]) == at
-            words = min(len(r[5]) for r in m) // 8
+            keys, words = np.array([r[4] for r in m], np.int64).view(np.uint64), min(len(r[5]) for r in m) // 8
             bits = np.stack([fold(np.frombuffer(r[5], np.uint64), words) for r in m])
-            out = []
+            near = []
             for i in range(len(m)):
                 # pairs inside the upper band meet in the tile above
                 js = np.flatnonzero((c != c[i]) & (low | low[i]) & ((np.arange(len(m)) > i) if same else (blk != blk[i]) & (blk[i] == key[2])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
                 if len(js):
                     diff = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                    for j in js[(n[js] + n[i] - diff) // 2 >= _least_overlap(n[js], n[i], percent)].tolist():
-                        pair = (m[i][4], m[j][4]) if m[i][4] < m[j][4] else (m[j][4], m[i][4])
-                        if pair not in done:
-                            if len(done) < 200_000:
-                                done.add(pair)
-                            out.append(pair)
+                    js = js[(n[js] + n[i] - diff) // 2 >= _least_overlap(n[js], n[i], percent)]
+                    if len(js):
+                        near.append((i, js))
+            out = []
+            if thin and sum(len(js) for _, js in near) > DENSE * len(m):
+                near = [(i, js[[np.argmin(mix64(keys[js] + keys[i]))]]) for i, js in near]
+                out.append((key[0], None))
+            for i, js in near:
+                for j in js.tolist():
+                    pair = (m[i][4], m[j][4]) if m[i][4] < m[j][4] else (m[j][4], m[i][4])
+                    if pair not in done:
+                        if len(done) < 200_000:
+                            done.add(pair)
+                        out.append(pair)
             return out
 
         for b in batches:
@@ -217,7 +223,7 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
         if len(held) > 1 and (found := compare()):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
-    return placed.repartition("sig", "at", "i", "j").sortWithinPartitions("sig", "at", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return placed.repartition("sig", "at", "i", "j").sortWithinPartitions("sig", "at", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -238,20 +244,44 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     order = _frequencies(sketches)
     nodes = sketches.filter("text is not null and block is null")
     w = Window.partitionBy("sig")
-    groups = _prefixes(nodes, order, k, percent).withColumn("low", F.min("k").over(w)).withColumn("high", F.max("k").over(w)).filter("low < high").drop("high")
+    groups = _prefixes(nodes, order, k, percent).withColumn("low", F.min("k").over(w)).withColumn("high", F.max("k").over(w)).filter("low < high").select("sig", "k", "low")
     groups = stage(groups, "groups")
     # one copy of each set that has a group
-    kept = stage(nodes.join(groups.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.first("text").alias("text"), F.first("bits").alias("bits")), "nodes")
-    star = groups.filter("k <> low").select(F.col("low").alias("a"), F.col("k").alias("b")).distinct()
-    links = stage(_verified(_bounded(star, kept, percent), kept, k, percent), "links")
-    comp = stage(components(links), "components")
-    labelled = groups.select("sig", "k", "n").distinct().join(comp.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
-    mixed = labelled.withColumn("low", F.min("c").over(w)).withColumn("high", F.max("c").over(w)).filter("low < high").select("sig", "k", "c", "n")
-    more = stage(_verified(_tiles(mixed.join(kept.select("k", "bits"), "k"), percent), kept, k, percent), "links")
-    if not more.isEmpty():
-        comp = stage(components(links.unionAll(more)), "components")
+    kept = stage(nodes.join(groups.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.first("text").alias("text"), F.first("bits").alias("bits"), F.first("short").alias("short")), "nodes")
+    # of the smallest sets of its groups, each set meets the one it shares most of them with
+    star = groups.filter("k <> low").groupBy("k", "low").agg(F.count(F.lit(1)).alias("shared")).groupBy("k").agg(F.max_by("low", F.struct("shared", "low")).alias("a")).select("a", F.col("k").alias("b"))
+    links = stage(_verified(star, kept, k, percent), "links")
+    comp = components(links)
+    label = stage(kept.select("k").join(comp.withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("component", "k").alias("c")), "labels")
+    # dense groups become one component by a link of each member before all that are left are compared
+    open_groups = groups.select("sig", "k")
+    for thin in (True, True, False):
+        labelled = open_groups.join(label, "k")
+        mixed = labelled.withColumn("low", F.min("c").over(w)).withColumn("high", F.max("c").over(w)).withColumn("size", F.count(F.lit(1)).over(w)).filter("low < high").select("sig", "k", "c", "size")
+        pairs = stage(_tiles(mixed.join(kept.select("k", "n", "short"), "k"), percent, thin), "pairs")
+        links = stage(_verified(pairs.filter("b is not null").distinct(), kept, k, percent), "links")
+        if not links.isEmpty():
+            of = lambda x: label.select(F.col("k").alias(x), F.col("c").alias(f"c{x}"))
+            comp = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            label = stage(label.join(comp.withColumnRenamed("node", "c"), "c", "left").select("k", F.coalesce("component", "c").alias("c")), "labels")
+        dense = pairs.filter("b is null").select(F.col("a").alias("sig")).distinct()
+        if dense.isEmpty():
+            break
+        open_groups = groups.select("sig", "k").join(dense, "sig", "left_semi")
     release(groups)
     rows = sketches.filter("block is null").select("doc_id", "k", F.col("n").alias("n_shingles"))
-    rows = rows.join(comp.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k"))
+    rows = rows.join(label, "k", "left").withColumn("c", F.coalesce("c", "k"))
     least = rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "c", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """The documents, all columns, that are the smallest of their component.
+    Rows of one doc_id are one document, of which one row stays; rows without
+    doc_id stay."""
+    found = stage(similar_documents(docs, k, percent), "similar")
+    drop = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(kept.filter("doc_id is null"))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once in a Python worker.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
