@@ -40,10 +40,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _grams(ws: Column, k: int) -> Column:
     """Per k-gram: 46 bits of its hash above 17 bits of its place, from 0."""
-    at = lambda h: lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.slice(h, i + 1, k)), 18), 17).bitwiseOR(i.cast("long"))
+    at = lambda h: lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(*(F.get(h, i + j) for j in range(k))), 18), 17).bitwiseOR(i.cast("long"))
     return let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - k), at(h)))
 
 
+def _minima(g: Column, around: int) -> Column:
+    """Distinct smallest of every ``around`` neighbours, from those of every two."""
+    if around < 2:
+        return g
+    pairs = F.transform(F.sequence(F.lit(0), F.size(g) - 2), lambda i: F.least(F.get(g, i), F.get(g, i + 1)))
+    steps = sorted({*range(0, around - 1, 2), around - 2})
+    of = lambda m: lambda i: F.least(*(F.get(m, i + o) for o in steps)) if len(steps) > 1 else F.get(m, i)
+    return let(pairs, lambda m: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(m) - around + 1), of(m))))
+
+
 def _hash(packed: Column) -> Column:
     return F.shiftright(packed, 17)
 
@@ -72,7 +82,7 @@ def find_runs(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> t
     found = None
     if counts.get(window):
         prints = runs.filter(F.col("n") == window).select(_hash(F.array_min(_grams(F.split("run", " "), k))).alias("h")).distinct()
-        kept = let(_grams(F.col("w"), k), lambda g: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(g) - (around - 1)), lambda i: F.array_min(F.slice(g, i, around)))))
+        kept = let(_grams(F.col("w"), k), lambda g: _minima(g, around))
         place = lambda p: p.bitwiseAND(131071).cast("int")
         lo = lambda p: F.greatest(place(p) - (around - 1), F.lit(0))
         #: A fingerprint with the words of all runs that can contain it.
