@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import small_batches, stage, trimmed
 from .text import chunks, mix64, word_hashes
 
 #: Text bytes of a chunk, and the most buckets of context frequencies.
@@ -120,7 +120,7 @@ def _chunked(docs: DataFrame, folds: int, held: int, deleted: int) -> DataFrame:
             if ids[own]:
                 yield chunk(own)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "chunk long, deleted boolean, n long, blob binary")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "chunk long, deleted boolean, n long, blob binary")
 
 
 def _opened(blob: bytes) -> tuple[list, np.ndarray, np.ndarray]:
@@ -149,7 +149,7 @@ def _keys(chunked: DataFrame, order: int, buckets_log2: int, folds: int, held: i
                     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["chunk", "ord", "r", "deleted", "blob", "more"])
 
-    return chunked.select("chunk", "deleted", "blob").mapInArrow(run, "chunk long, ord int, r long, deleted boolean, blob binary, more binary")
+    return chunked.select("chunk", "deleted", "blob").mapInArrow(trimmed(run), "chunk long, ord int, r long, deleted boolean, blob binary, more binary")
 
 
 def _counted(keys: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def _counted(keys: DataFrame) -> DataFrame:
         if held:
             yield count()
 
-    return keys.repartition("ord", "r").sortWithinPartitions("ord", "r", "chunk").mapInArrow(run, _ROWS)
+    return keys.repartition("ord", "r").sortWithinPartitions("ord", "r", "chunk").mapInArrow(trimmed(run), _ROWS)
 
 
 def _assembled(batches: Iterator[pa.RecordBatch], order: int, column: int):
@@ -294,7 +294,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 5, held: int = 1, delete
     others = total - own_tokens
     deleted_rows = _by_chunk(chunked.filter("deleted"), counted.filter("deleted"))
     # as many rows at most as there are cells of rounded estimates
-    got = deleted_rows.mapInArrow(held_out, "cell array<long>, n long").groupBy("cell").agg(F.sum("n")).collect()
+    got = deleted_rows.mapInArrow(trimmed(held_out), "cell array<long>, n long").groupBy("cell").agg(F.sum("n")).collect()
     cells = np.array([r[0] for r in got], np.int64).reshape(-1, order + 1)
     estimates = np.hstack([np.where(cells[:, 1:] <= 0, 2.0 ** (cells[:, 1:] / STEPS), 0.0), np.full((len(cells), 1), floor)])
     mix = spark.sparkContext.broadcast(expectation_maximisation(estimates, np.array([r[1] for r in got], float), cells[:, 0]))
@@ -311,4 +311,4 @@ def score(docs: DataFrame, order: int = 2, folds: int = 5, held: int = 1, delete
             cols = [pa.array(ids, pa.int64()), pa.array([remainder(i, folds) == held for i in ids]), pa.array(np.diff(starts)), pa.array(add((counts[0] > 0).astype(np.int64))), pa.array(np.full(len(ids), total)), pa.array(add(base)), pa.array(add(np.log10(model)))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return _by_chunk(chunked, counted).mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _by_chunk(chunked, counted).mapInArrow(trimmed(scored), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import small_batches, stage, trimmed
 from .text import _pow, chunks, mix64, word_hashes
 
 #: Lines of fewer words are left alone; so many and more may differ by an edit.
@@ -73,13 +73,13 @@ def _lines(docs: DataFrame) -> DataFrame:
                     new = key not in seen
                     texts.append(part[i].as_py() if new else None)
                     some.append(sorted({*own}) if new and m >= EDIT_WORDS else None)
-                    if len(seen) < 1_000_000:
+                    if len(seen) < 200_000:
                         seen.add(key)
                 at = of[lo + keep].tolist()
                 cols = [pa.array([doc[i] for i in at], pa.int64()), pa.array([text_hash[i] for i in at], pa.int64()), pa.array(number[lo + keep].astype(np.int32)), pa.array(h), pa.array(n.astype(np.int32)), pa.array(some, pa.list_(pa.int64())), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _LINES.split(", ")])
 
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text").mapInArrow(run, _LINES)
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text").mapInArrow(trimmed(run), _LINES)
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def _variants(lines: DataFrame) -> DataFrame:
                 t = slice(s, s + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array(v[t].view(np.int64)), pa.array(i[t].astype(np.int32)), b.column(0).take(pa.array(row[t]))], ["v", "i", "h"])
 
-    return lines.select("h", "text", "first", "last").mapInArrow(run, "v long, i int, h long")
+    return lines.select("h", "text", "first", "last").mapInArrow(trimmed(run), "v long, i int, h long")
 
 
 def _true_links(pairs: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def _true_links(pairs: DataFrame) -> DataFrame:
                 ok.append(x[a + 1 :] == y[a + 1 :] or x[a:] == y[a + 1 :] or x[a + 1 :] == y[a:])  # one edit after the common start
             yield b.select(["h"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("h", "x", "y").mapInArrow(run, "h long")
+    return pairs.select("h", "x", "y").mapInArrow(trimmed(run), "h long")
 
 
 def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

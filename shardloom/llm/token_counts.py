@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-from .packing import CACHE_ENTRIES, ChunkEncoder
+from .common import small_batches, trimmed
+from .packing import CACHE_ENTRIES, KEPT_BYTES, ChunkEncoder
 
 _SPLIT = re.compile(r"[^ \t\n\r\x0b\x0c]*[ \t\n\r\x0b\x0c]*")
 #: Pre-tokens that an edited leaf may hold before its tree is laid out anew.
@@ -50,6 +50,10 @@ class Counter:
         for w, ps in parts.items():
             known[w] = sum(len(cache[p.encode()]) // 4 for p in ps)
 
+    def prune(self) -> None:
+        self.encoder.cache.clear()
+        self.known = {w: n for w, n in self.known.items() if len(w) <= KEPT_BYTES}
+
     def count(self, pieces: list[str]) -> list[int]:
         words = [p.strip(" \t\n\r\x0b\x0c") for p in pieces]
         try:
@@ -180,8 +184,9 @@ def edited_counts(documents: DataFrame, tokenizer_json: str) -> DataFrame:
                 rows.append((doc, before, tree.tokens, len(edits), leaves, tree.encoded))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "n_tokens", "n_edited", "n_edits", "n_leaves", "n_encoded"])
+        known.prune()
 
-    return documents.select("doc_id", "text", "edits").mapInArrow(run, "doc_id long, n_tokens long, n_edited long, n_edits long, n_leaves long, n_encoded long")
+    return documents.select("doc_id", "text", "edits").mapInArrow(trimmed(run), "doc_id long, n_tokens long, n_edited long, n_edits long, n_leaves long, n_encoded long")
 
 
 def with_edits(documents: DataFrame, log: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import small_batches, stage, trimmed
 from .text import _pow, chunks, mix64, word_bounds
 
 #: Labelled rows of each class that the fit sees at most, chosen by hash.
@@ -89,7 +89,7 @@ def _statistics(sample: DataFrame) -> DataFrame:
                 toxic = np.bincount(at, weights=label[lo + row], minlength=len(uniq)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(toxic), pa.array(np.bincount(at, minlength=len(uniq)) - toxic)], ["feature", "toxic", "clean"])
 
-    return sample.select("text", "toxic").mapInArrow(run, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return sample.select("text", "toxic").mapInArrow(trimmed(run), "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def minimise(f, x: np.ndarray, rounds: int = 200, memory: int = 10) -> np.ndarray:
@@ -160,7 +160,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, ridge: float = 2e-4, swap_pen
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int64())), pa.array(label.astype(np.int64)), pa.array(weight), pa.array(said, pa.list_(pa.string()))], ["at", "toxic", "weight", "terms"])
 
     # bounded: 2 * sample rows of at most FEATURES places
-    data = labelled.select("text", "toxic", "weight").mapInArrow(rows, "at array<long>, toxic long, weight double, terms array<string>").collect()
+    data = labelled.select("text", "toxic", "weight").mapInArrow(trimmed(rows), "at array<long>, toxic long, weight double, terms array<string>").collect()
     col = np.concatenate([np.array(r[0], np.int64) for r in data])
     row = np.repeat(np.arange(len(data)), [len(r[0]) for r in data])
     y, w = np.array([r[1] for r in data], float), np.array([r[2] for r in data], float)
@@ -231,7 +231,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) ->
                     z += np.bincount(lo + pair // (len(kept) + 1), weights=weight[pair % (len(kept) + 1)], minlength=len(z))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["_row", "_score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, folds: int = 4, held: int = 2) -> DataFrame:
