@@ -19,10 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import small_batches, stage, trimmed
 
-#: Encoded chunks kept per Python worker before the cache starts afresh.
-CACHE_ENTRIES = 1_000_000
+#: Encoded chunks kept by a task before its cache starts afresh, and bytes of
+#: the chunks that stay for the worker's next task.
+CACHE_ENTRIES, KEPT_BYTES = 1_000_000, 8
 _PUNCT = re.compile(rb"(?<=[a-z])([.,])(?=[ \t\n\r\x0b\x0c])")
 
 
@@ -71,12 +72,16 @@ class ChunkEncoder:
         cache = self.cache
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
-        new = list({w for ws in split if ws for w in ws if w not in cache})
-        self._learn(new)
+        self._learn(list(set().union(*(ws for ws in split if ws)) - cache.keys()))
         get = cache.__getitem__
         return [_pack(self.tok.encode(t, add_special_tokens=False).ids) if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split)]
 
 
+    def prune(self) -> None:
+        """Forget long chunks, which seldom come again."""
+        self.cache = {w: v for w, v in self.cache.items() if len(w) <= KEPT_BYTES}
+
+
 def _pack(ids: list[int]) -> bytes:
     a = array("I", ids)
     if a.itemsize != 4:
@@ -144,19 +149,58 @@ class Packer:
         return out
 
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open_in long"
-_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in PIECE.split(", ")])
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open_in long, ids binary"
+_TYPES = [*[pa.int64()] * 8, pa.binary()]
 
 
 def _rows(window: list, sequence: int, open_in: int | None, out: list) -> None:
+    """Rows of a window's pieces (doc, start, ids, doc tokens); ids stay with open windows."""
     at = 0
-    for p in window:
-        out.append((*p, sequence, at, open_in))
-        at += p[2]
+    for doc, start, ids, total in window:
+        out.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, sequence, at, open_in, None if open_in is None else ids))
+        at += len(ids) // 4
 
 
 def _batch(rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], [c.split()[0] for c in PIECE.split(", ")])
+
+
+def place(packer: Packer, doc, start: int, ids: bytes, total: int, cut_gap: int) -> list[list]:
+    """Put a run of ids into windows; the windows that closed by that."""
+    closed, at, n = [], 0, len(ids) // 4
+    while n - at >= packer.size:
+        closed.append([(doc, start + at, ids[4 * at : 4 * (at + packer.size)], total)])
+        at += packer.size
+    while at < n:
+        take = n - at
+        if packer.best(take) < 0 and len(packer.fill) >= packer.most:
+            gap = packer.size - packer.fill[packer.fullest()]
+            if gap > cut_gap:
+                take = gap
+        if window := packer.put((doc, start + at, ids[4 * at : 4 * (at + take)], total), take):
+            closed.append(window)
+        at += take
+    return closed
+
+
+def cut_rest(pieces: list[tuple], size: int) -> list[list]:
+    """The last pieces of all in full windows, and what is then left in windows
+    whose lengths are powers of two, which need no padding."""
+    left = sum(len(p[2]) for p in pieces) // 4
+    lengths = [size] * (left // size) + [1 << b for b in range(size.bit_length(), -1, -1) if left % size >> b & 1]
+    windows: list[list] = []
+    pieces = pieces[::-1]
+    for n in lengths:
+        window: list = []
+        while n:
+            doc, start, ids, total = pieces.pop()
+            take = min(n, len(ids) // 4)
+            window.append((doc, start, ids[: 4 * take], total))
+            if 4 * take < len(ids):
+                pieces.append((doc, start + take, ids[4 * take :], total))
+            n -= take
+        windows.append(window)
+    return windows
 
 
 def pack(docs: DataFrame, tokenizer_json: str, size: int = 2048, end_id: int = 1, open_windows: int = 32, cut_gap: int = 16, fan_in: int = 64) -> DataFrame:
@@ -165,7 +209,8 @@ def pack(docs: DataFrame, tokenizer_json: str, size: int = 2048, end_id: int = 1
     A document is its ids followed by ``end_id``. Documents longer than
     ``size`` are cut into full windows and a rest. When no open window fits a
     piece, the fullest is emitted; if more than ``cut_gap`` tokens of it would
-    stay empty, it first takes that much off the front of the piece.
+    stay empty, it first takes that much off the front of the piece. What the
+    last group leaves open is cut into full windows and powers of two.
     ``sequence_id`` is unique over all windows; ``offset`` runs gapless from 0
     in each.
 
@@ -181,70 +226,59 @@ def pack(docs: DataFrame, tokenizer_json: str, size: int = 2048, end_id: int = 1
         enc, part, seq, packer = encoder(shared.value), TaskContext.get().partitionId(), 0, Packer(size, open_windows)
         for b in batches:
             rows: list = []
-            done: list = []
             for doc, ids in zip(b.column(0).to_pylist(), enc([t or "" for t in b.column(1).to_pylist()])):
                 ids += end
-                total, at = len(ids) // 4, 0
-                piece = lambda s, n: (doc, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), total)  # noqa: E731, B023
-                while total - at >= size:
-                    done.append([piece(at, size)])
-                    at += size
-                while at < total:
-                    n = total - at
-                    if packer.best(n) < 0 and len(packer.fill) >= packer.most:
-                        gap = size - packer.fill[packer.fullest()]
-                        if gap > cut_gap:
-                            n = gap
-                    done.append(packer.put(piece(at, n), n))
-                    at += n
-            for w in done:
-                if w:
-                    _rows(w, (part << 28) | seq, None, rows)
+                for window in place(packer, doc, 0, ids, len(ids) // 4, cut_gap):
+                    _rows(window, (part << 28) | seq, None, rows)
                     seq += 1
             if rows:
                 yield _batch(rows)
+        enc.prune()
         rows = []
-        for w in packer.held:
-            _rows(w, (part << 28) | seq, part, rows)
+        for window in packer.held:
+            _rows(window, (part << 28) | seq, part, rows)
             seq += 1
         if rows:
             yield _batch(rows)
 
-    out = stage(docs.select("doc_id", "text").mapInArrow(first, PIECE), "pack")
-    closed, level = out.filter("open_in is null"), 0
+    out = stage(docs.select("doc_id", "text").mapInArrow(trimmed(first), PIECE), "pack")
+    closed, level = out.filter("open_in is null").drop("ids"), 0
     rest = out.filter("open_in is not null")
     groups = (rest.agg(F.max("open_in")).first()[0] or 0) + 1
-    while groups > 1:
+    last = False
+    while not last:
         level += 1
         base = level << 56
+        groups = -(-groups // fan_in)
+        last = groups == 1
 
-        def again(batches: Iterator[pa.RecordBatch], base: int = base) -> Iterator[pa.RecordBatch]:
-            group, seq, packer, held, closing = None, 0, None, [], []
+        def again(batches: Iterator[pa.RecordBatch], base: int = base, last: bool = last) -> Iterator[pa.RecordBatch]:
+            group, seq, packer, rows = None, 0, None, []
 
             def end_group():
                 nonlocal seq
-                for w in packer.held if packer else []:
-                    _rows(w, base | (group << 28) | seq, group, held)
+                held = packer.held if packer else []
+                for window in cut_rest([p for w in held for p in w], size) if last else held:
+                    _rows(window, base | (group << 28) | seq, None if last else group, rows)
                     seq += 1
 
             for b in batches:
-                for *p, g in zip(*(c.to_pylist() for c in b.columns)):
+                for doc, start, ids, total, g in zip(*(c.to_pylist() for c in b.columns)):
                     if g != group:
                         end_group()
                         group, seq, packer = g, 0, Packer(size, open_windows)
-                    if w := packer.put(tuple(p), p[2]):
-                        _rows(w, base | (group << 28) | seq, None, closing)
+                    for window in place(packer, doc, start, ids, total, cut_gap):
+                        _rows(window, base | (group << 28) | seq, None, rows)
                         seq += 1
-                if held or closing:
-                    yield _batch(held + closing)
-                    held, closing = [], []
+                if rows:
+                    yield _batch(rows)
+                    rows = []
             end_group()
-            if held:
-                yield _batch(held)
+            if rows:
+                yield _batch(rows)
 
-        groups = -(-groups // fan_in)
         rest = rest.withColumn("g", F.floor(F.col("open_in") / fan_in).cast("long")).repartition("g").sortWithinPartitions("g", F.desc("length"), "doc_id", "start", "ids_crc32")
-        out = stage(rest.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "g").mapInArrow(again, PIECE), "pack")
-        closed = closed.unionAll(out.filter("open_in is null"))
+        out = stage(rest.select("doc_id", "start", "ids", "doc_tokens", "g").mapInArrow(trimmed(again), PIECE), "pack")
+        closed = closed.unionAll(out.filter("open_in is null").drop("ids"))
         rest = out.filter("open_in is not null")
-    return closed.unionAll(rest).drop("open_in")
+    return closed.drop("open_in")
