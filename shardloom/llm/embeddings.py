@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, stage
+from .common import components, small_batches, stage, trimmed
 
 #: Vectors of a block; a tile compares two blocks.
 BLOCK = 8192
@@ -47,7 +47,7 @@ def _axes(classes: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims * dims)), pa.array(m.ravel())], ["i", "v"])
 
     m = np.zeros(dims * dims)
-    for i, v in classes.select("embedding").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v")).collect():
+    for i, v in classes.select("embedding").mapInArrow(trimmed(run), "i long, v double").groupBy("i").agg(F.sum("v")).collect():
         m[i] = v
     share, axes = np.linalg.eigh(m.reshape(dims, dims))
     return axes[:, ::-1], np.maximum(share[::-1], 0) / max(share.sum(), 1e-300)
@@ -81,15 +81,20 @@ def _links(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
     spark = classes.sparkSession
     shared = spark.sparkContext.broadcast((axes, lead))
 
-    def first_axis(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = shared.value[0]
-        for b in batches:
-            pc = (_unit(_matrix(b.column(2), dims)) @ a[:, :1])[:, 0] if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pc)], ["rep", "copies", "embedding", "pc"])
+    def along(cuts: np.ndarray):
+        """Place on the first axis, and the number of cuts at or below it."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            a = shared.value[0]
+            for b in batches:
+                pc = (_unit(_matrix(b.column(2), dims)) @ a[:, :1])[:, 0] if b.num_rows else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pc), pa.array(np.searchsorted(cuts, pc, side="right"))], ["rep", "copies", "embedding", "pc", "blk"])
+
+        return classes.select("rep", "copies", "embedding").mapInArrow(trimmed(run), "rep long, copies long, embedding array<float>, pc double, blk long")
 
-    placed = classes.select("rep", "copies", "embedding").mapInArrow(first_axis, "rep long, copies long, embedding array<float>, pc double")
-    cuts_at = [(i + 1) / math.ceil(total / BLOCK) for i in range(math.ceil(total / BLOCK) - 1)]
-    cuts = np.unique(placed.approxQuantile("pc", cuts_at, 0.1 / (len(cuts_at) + 1))) if cuts_at else np.zeros(0)
+    n_blocks = math.ceil(total / BLOCK)
+    shares = [(i + 1) / n_blocks for i in range(n_blocks - 1)]
+    placed = along(np.unique(along(np.zeros(0)).approxQuantile("pc", shares, 0.1 / n_blocks)) if shares else np.zeros(0))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, size, sub = None, [], 0, 0
@@ -113,27 +118,19 @@ def _links(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
         if size:
             yield block()
 
-    bucket = F.lit(0)
-    if len(cuts):
-        bounds = F.array(*[F.lit(float(c)) for c in cuts])
-        bucket = F.aggregate(bounds, F.lit(0), lambda acc, c: acc + F.when(F.col("pc") >= c, 1).otherwise(0))
-    blocks = stage(placed.withColumn("blk", bucket).repartition("blk").sortWithinPartitions("blk", "pc").mapInArrow(assemble, "id long, lo double, hi double, reps binary, copies binary, x binary"), "blocks")
+    blocks = stage(placed.repartition("blk").sortWithinPartitions("blk", "pc").mapInArrow(trimmed(assemble), "id long, lo double, hi double, reps binary, copies binary, x binary"), "blocks")
     index = sorted(blocks.select("lo", "hi", "id").collect())  # one short row per block
     reach = math.sqrt(2 - 2 * threshold) + 1e-9  # of two unit vectors that link, along any axis
-    los = np.array([r[0] for r in index])
-    last = {r[2]: (i, int(np.searchsorted(los, r[1] + reach, side="right")) - 1) for i, r in enumerate(index)}
-    partners: dict[int, list[tuple[int, int]]] = {b: [] for b in last}
-    for b, (i, end) in last.items():
-        for j in range(i, end + 1):
-            partners[b].append((i, j))
-            if j > i:
-                partners[index[j][2]].append((i, j))
-    tiles = spark.sparkContext.broadcast(partners)
+    ends = np.searchsorted(np.array([r[0] for r in index]), np.array([r[1] for r in index]) + reach, side="right")
+    # two numbers a block: block at place i meets those from i to before ends[i]
+    tiles = spark.sparkContext.broadcast((np.array([r[2] for r in index], np.int64), ends))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, ends = tiles.value
         for b in batches:
             for r in range(b.num_rows):
-                for i, j in tiles.value[b.column(0)[r].as_py()]:
+                at = int(np.flatnonzero(ids == b.column(0)[r].as_py())[0])
+                for i, j in [*((int(h), at) for h in np.flatnonzero(ends[:at] > at)), *((at, j) for j in range(at, int(ends[at])))]:
                     yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([j]), *(b.column(c).slice(r, 1) for c in (0, 3, 4, 5))], ["i", "j", "id", "reps", "copies", "x"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +192,8 @@ def _links(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
             yield from tile()
 
     small_batches(spark, 4)
-    dealt = blocks.mapInArrow(deal, "i long, j long, id long, reps binary, copies binary, x binary")
-    out = stage(dealt.repartition("i", "j").sortWithinPartitions("i", "j", "id").mapInArrow(compare, "a long, b long, n long"), "links")
+    dealt = blocks.mapInArrow(trimmed(deal), "i long, j long, id long, reps binary, copies binary, x binary")
+    out = stage(dealt.repartition("i", "j").sortWithinPartitions("i", "j", "id").mapInArrow(trimmed(compare), "a long, b long, n long"), "links")
     small_batches(spark)
     return out
 
