@@ -2,10 +2,10 @@
 
 Candidates share a shingle of their prefixes: in one global order of shingles,
 rare ones first, two sets as similar as asked share a shingle among the first
-``n - ceil(t n) + 1`` of each. First every document meets the smallest of each
-of its groups; only where groups still hold several components, their members
-meet in size-banded tiles, where the bit counts of hashed bitmaps bound the
-overlap from above. All that pass are verified by intersecting sorted arrays.
+``n - ceil(t n) + 1`` of each. First every set meets one smallest of its
+groups; only where groups still hold several components, their members meet in
+size-banded tiles, where the bit counts of hashed bitmaps bound the overlap
+from above. All that pass are verified by intersecting sorted arrays.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, release, small_batches, stage
+from .common import components, release, small_batches, stage, trimmed
 from .text import chunks, mix64, sets, shingle_hashes, word_hashes
 
 #: Counters of the shingle frequencies that order the prefixes. The table has
@@ -27,30 +27,22 @@ COUNTERS = 1 << 20
 _BLOCK = 1 << 12
 #: Members of a tile's side.
 TILE = 1024
-#: Candidate pairs a member beyond which a tile is dense.
-DENSE = 4
+#: Groups are dealt in so many shares by hash; the thin round looks at one.
+SHARES = 4
 
-#: Bytes of the bitmaps that tiles compare; longer ones are folded to this.
-_SHORT = 128
+#: Bits of a set's bitmap, a power of two.
+BITS = 1024
 
-_SKETCH = "doc_id long, k long, n long, text binary, bits binary, short binary, block long"
+_SKETCH = "doc_id long, k long, n long, text binary, bits binary, block long"
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity bitmap of a set: at least two bits an element, a power of two."""
-    width = max(64, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else 64
-    at = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    """Parity bitmap of a set. Two sets differ in as many elements at least as
+    their bitmaps differ in bits; the fewer they are, the closer it comes."""
+    at = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
     return np.packbits(at.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def fold(bits: np.ndarray, words: int) -> np.ndarray:
-    """The parity bitmap at a smaller width."""
-    while len(bits) > words:
-        h = len(bits) // 2
-        bits = bits[:h] ^ bits[h:]
-    return bits
-
-
 def set_key(s: np.ndarray) -> int:
     """64-bit identity of a set."""
     return int(mix64(np.array([np.sum(mix64(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
@@ -64,7 +56,7 @@ def _least_overlap(na, nb, percent: int):
 def _sketches(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, seen = [f.split()[0] for f in _SKETCH.split(", ")], set()
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
         counts, pack = np.zeros(COUNTERS, np.uint32), zstandard.ZstdCompressor(3)
         for b in batches:
             for lo, part in chunks(b.column(1)):
@@ -73,25 +65,24 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
                 for i, (x, y) in enumerate(zip(at[:-1], at[1:])):
                     doc = b.column(0)[lo + i].as_py()
                     if x == y:
-                        rows.append((doc, None, 0, None, None, None, None))
+                        rows.append((doc, None, 0, None, None, None))
                         continue
                     s = np.unique(h[x:y])
                     key = set_key(s)
                     if key in seen:
-                        rows.append((doc, key, len(s), None, None, None, None))
+                        rows.append((doc, key, len(s), None, None, None))
                         continue
-                    if len(seen) < 1_000_000:
+                    if len(seen) < 200_000:
                         seen.add(key)
                     np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-                    bits = bitmap(s)
-                    rows.append((doc, key, len(s), pack.compress(part[i].as_py().encode()), bits.tobytes(), fold(bits, _SHORT // 8).tobytes(), None))
+                    rows.append((doc, key, len(s), pack.compress(part[i].as_py().encode()), bitmap(s).tobytes(), None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
         if counts.any():
             blocks = counts.reshape(-1, _BLOCK)
-            rows = [(None, None, None, blocks[i].tobytes(), None, None, i) for i in np.flatnonzero(blocks.any(axis=1)).tolist()]
+            rows = [(None, None, None, blocks[i].tobytes(), None, i) for i in np.flatnonzero(blocks.any(axis=1)).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SKETCH)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), _SKETCH)
 
 
 def _frequencies(sketches: DataFrame) -> np.ndarray:
@@ -103,11 +94,11 @@ def _frequencies(sketches: DataFrame) -> np.ndarray:
             for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 sums[i] = sums.get(i, 0) + np.frombuffer(raw, np.uint32).astype(np.uint64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([np.minimum(v, 0xFFFFFFFF).astype(np.uint32).tobytes() for v in sums.values()], pa.binary())], ["block", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "text"])
 
-    out = np.zeros((COUNTERS // _BLOCK, _BLOCK), np.uint32)
-    for r in sketches.filter("block is not null").select("block", "text").repartition("block").mapInArrow(add, "block long, text binary").collect():
-        out[r[0]] = np.frombuffer(r[1], np.uint32)
+    out = np.zeros((COUNTERS // _BLOCK, _BLOCK), np.uint64)
+    for r in sketches.filter("block is not null").select("block", "text").repartition("block").mapInArrow(trimmed(add), "block long, text binary").collect():
+        out[r[0]] = np.frombuffer(r[1], np.uint64)
     return out.ravel()
 
 
@@ -128,7 +119,7 @@ def _prefixes(nodes: DataFrame, order: np.ndarray, k: int, percent: int) -> Data
                 size = b.column(2).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), n)), pa.array(np.repeat(size, n))], ["sig", "k", "n"])
 
-    return nodes.select("k", "text", "n").mapInArrow(run, "sig long, k long, n long")
+    return nodes.select("k", "text", "n").mapInArrow(trimmed(run), "sig long, k long, n long")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -141,9 +132,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataF
             a, b, na, nb, xa, xb, ta, tb = (c.to_pylist() for c in batch.columns)
             ok = []
             for i in range(len(a)):
-                p, q = np.frombuffer(xa[i], np.uint64), np.frombuffer(xb[i], np.uint64)
-                w = min(len(p), len(q))
-                diff = int(np.bitwise_count(fold(p, w) ^ fold(q, w)).sum())
+                diff = int(np.bitwise_count(np.frombuffer(xa[i], np.uint64) ^ np.frombuffer(xb[i], np.uint64)).sum())
                 ok.append((na[i] + nb[i] - diff) // 2 >= _least_overlap(na[i], nb[i], percent))
             on = np.flatnonzero(ok)
             raw = {x: t for i in on.tolist() for x, t in ((a[i], ta[i]), (b[i], tb[i]))}
@@ -156,25 +145,25 @@ def _verified(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataF
     side = lambda x: nodes.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}"), F.col("text").alias(f"t{x}"))
     sizes = lambda x: nodes.select(F.col("k").alias(x), F.col("n").alias(f"s{x}"))
     fit = pairs.join(sizes("a"), "a").join(sizes("b"), "b").filter(F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent).select("a", "b")
-    return fit.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb", "ta", "tb").mapInArrow(run, "a long, b long")
+    return fit.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb", "ta", "tb").mapInArrow(trimmed(run), "a long, b long")
 
 
-def _tiles(members: DataFrame, percent: int, thin: bool) -> DataFrame:
-    """(a, b): candidate pairs of different components, group by group. If
-    ``thin``, a tile with more than DENSE pairs a member gives one a member, the
-    first by a hash of the pair, and a row (group, null), to be seen again.
+def _tiles(members: DataFrame, percent: int, thin: int | None = None) -> DataFrame:
+    """(a, b): candidate pairs of different components, group by group; if
+    ``thin`` is a number, one a member and tile, the first by a hash of the
+    pair and the number.
 
     A tile holds a group; of a group of more than TILE sets, two neighbouring
     size bands, or two blocks of them. Sizes a factor of 100 / percent apart
     never link, so further bands need not meet.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.000001)).cast("int") if percent < 100 else F.col("n").cast("int")
-    small = members.filter(F.col("size") <= TILE).select("sig", F.lit(-1).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("blk"), F.lit(-1).alias("band"), "k", "c", "n", "short")
+    small = members.filter(F.col("size") <= TILE).select("sig", F.lit(-1).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("blk"), F.lit(-1).alias("band"), "k", "c", "n", "bits")
     placed = members.filter(F.col("size") > TILE).withColumn("band", band).withColumn("at", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     w = Window.partitionBy("sig", "at")
     placed = placed.withColumn("blk", F.floor((F.row_number().over(w.orderBy("n", "k")) - 1) / TILE).cast("int")).withColumn("last", F.max("blk").over(w))
     other = F.explode(F.sequence(F.lit(0), F.col("last")))
-    large = placed.withColumn("o", other).select("sig", "at", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "band", "k", "c", "n", "short")
+    large = placed.withColumn("o", other).select("sig", "at", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "band", "k", "c", "n", "bits")
     placed = small.unionByName(large)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,22 +175,18 @@ def _tiles(members: DataFrame, percent: int, thin: bool) -> DataFrame:
             n = np.array([r[3] for r in m], np.int64)
             c = np.array([r[2] for r in m], np.int64)
             blk, low = np.array([r[0] for r in m]), np.array([r[1] for r in m]) == at
-            keys, words = np.array([r[4] for r in m], np.int64).view(np.uint64), min(len(r[5]) for r in m) // 8
-            bits = np.stack([fold(np.frombuffer(r[5], np.uint64), words) for r in m])
-            near = []
+            keys = np.array([r[4] for r in m], np.int64).view(np.uint64)
+            bits = np.frombuffer(b"".join(r[5] for r in m), np.uint64).reshape(len(m), -1)
+            out = []
             for i in range(len(m)):
                 # pairs inside the upper band meet in the tile above
                 js = np.flatnonzero((c != c[i]) & (low | low[i]) & ((np.arange(len(m)) > i) if same else (blk != blk[i]) & (blk[i] == key[2])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-                if len(js):
-                    diff = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                    js = js[(n[js] + n[i] - diff) // 2 >= _least_overlap(n[js], n[i], percent)]
-                    if len(js):
-                        near.append((i, js))
-            out = []
-            if thin and sum(len(js) for _, js in near) > DENSE * len(m):
-                near = [(i, js[[np.argmin(mix64(keys[js] + keys[i]))]]) for i, js in near]
-                out.append((key[0], None))
-            for i, js in near:
+                if not len(js):
+                    continue
+                diff = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                js = js[(n[js] + n[i] - diff) // 2 >= _least_overlap(n[js], n[i], percent)]
+                if thin is not None and len(js) > 1:
+                    js = js[[np.argmin(mix64((keys[js] + keys[i]) ^ np.uint64(thin)))]]
                 for j in js.tolist():
                     pair = (m[i][4], m[j][4]) if m[i][4] < m[j][4] else (m[j][4], m[i][4])
                     if pair not in done:
@@ -223,7 +208,7 @@ def _tiles(members: DataFrame, percent: int, thin: bool) -> DataFrame:
         if len(held) > 1 and (found := compare()):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
-    return placed.repartition("sig", "at", "i", "j").sortWithinPartitions("sig", "at", "i", "j").mapInArrow(run, "a long, b long")
+    return placed.repartition("sig", "at", "i", "j").sortWithinPartitions("sig", "at", "i", "j").mapInArrow(trimmed(run), "a long, b long")
 
 
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -247,27 +232,24 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     groups = _prefixes(nodes, order, k, percent).withColumn("low", F.min("k").over(w)).withColumn("high", F.max("k").over(w)).filter("low < high").select("sig", "k", "low")
     groups = stage(groups, "groups")
     # one copy of each set that has a group
-    kept = stage(nodes.join(groups.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.first("text").alias("text"), F.first("bits").alias("bits"), F.first("short").alias("short")), "nodes")
+    kept = stage(nodes.join(groups.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.first("text").alias("text"), F.first("bits").alias("bits")), "nodes")
     # of the smallest sets of its groups, each set meets the one it shares most of them with
     star = groups.filter("k <> low").groupBy("k", "low").agg(F.count(F.lit(1)).alias("shared")).groupBy("k").agg(F.max_by("low", F.struct("shared", "low")).alias("a")).select("a", F.col("k").alias("b"))
     links = stage(_verified(star, kept, k, percent), "links")
     comp = components(links)
     label = stage(kept.select("k").join(comp.withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("component", "k").alias("c")), "labels")
-    # dense groups become one component by a link of each member before all that are left are compared
-    open_groups = groups.select("sig", "k")
-    for thin in (True, True, False):
-        labelled = open_groups.join(label, "k")
+    # groups of near copies become components by a few links of each member,
+    # over a share of the groups, before all that are left are compared
+    for thin in (0, None):
+        some = groups.select("sig", "k") if thin is None else groups.select("sig", "k").filter(F.pmod(F.xxhash64("sig"), F.lit(SHARES)) == thin)
+        labelled = some.join(label, "k")
         mixed = labelled.withColumn("low", F.min("c").over(w)).withColumn("high", F.max("c").over(w)).withColumn("size", F.count(F.lit(1)).over(w)).filter("low < high").select("sig", "k", "c", "size")
-        pairs = stage(_tiles(mixed.join(kept.select("k", "n", "short"), "k"), percent, thin), "pairs")
-        links = stage(_verified(pairs.filter("b is not null").distinct(), kept, k, percent), "links")
+        pairs = _tiles(mixed.join(kept.select("k", "n", "bits"), "k"), percent, thin).distinct()
+        links = stage(_verified(pairs, kept, k, percent), "links")
         if not links.isEmpty():
             of = lambda x: label.select(F.col("k").alias(x), F.col("c").alias(f"c{x}"))
             comp = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
             label = stage(label.join(comp.withColumnRenamed("node", "c"), "c", "left").select("k", F.coalesce("component", "c").alias("c")), "labels")
-        dense = pairs.filter("b is null").select(F.col("a").alias("sig")).distinct()
-        if dense.isEmpty():
-            break
-        open_groups = groups.select("sig", "k").join(dense, "sig", "left_semi")
     release(groups)
     rows = sketches.filter("block is null").select("doc_id", "k", F.col("n").alias("n_shingles"))
     rows = rows.join(label, "k", "left").withColumn("c", F.coalesce("c", "k"))
