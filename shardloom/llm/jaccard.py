@@ -233,6 +233,8 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     groups = stage(groups, "groups")
     # one copy of each set that has a group
     kept = stage(nodes.join(groups.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.first("text").alias("text"), F.first("bits").alias("bits")), "nodes")
+    rows = stage(sketches.filter("block is null").select("doc_id", "k", F.col("n").alias("n_shingles")), "rows")
+    release(sketches)
     # of the smallest sets of its groups, each set meets the one it shares most of them with
     star = groups.filter("k <> low").groupBy("k", "low").agg(F.count(F.lit(1)).alias("shared")).groupBy("k").agg(F.max_by("low", F.struct("shared", "low")).alias("a")).select("a", F.col("k").alias("b"))
     links = stage(_verified(star, kept, k, percent), "links")
@@ -250,8 +252,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
             of = lambda x: label.select(F.col("k").alias(x), F.col("c").alias(f"c{x}"))
             comp = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
             label = stage(label.join(comp.withColumnRenamed("node", "c"), "c", "left").select("k", F.coalesce("component", "c").alias("c")), "labels")
-    release(groups)
-    rows = sketches.filter("block is null").select("doc_id", "k", F.col("n").alias("n_shingles"))
+    release(groups, kept)
     rows = rows.join(label, "k", "left").withColumn("c", F.coalesce("c", "k"))
     least = rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "c", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
