@@ -19,6 +19,14 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 256
 
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def trimmed(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function for ``mapInArrow`` whose worker, which is used again, gives
     the memory that it has freed back to the system at the end of each task."""
@@ -27,10 +35,7 @@ def trimmed(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
         try:
             yield from f(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            trim()
 
     return run
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, trimmed
+from .common import small_batches, stage, trim, trimmed
 from .text import _pow, chunks, mix64, word_bounds
 
 #: Labelled rows of each class that the fit sees at most, chosen by hash.
@@ -171,14 +171,17 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, ridge: float = 2e-4, swap_pen
             for q in group[p]:
                 if q != p:
                     swaps[p, q] = swaps.get((p, q), 0) + 1.0
-    where = {x: np.searchsorted(kept, v) for x, v in terms.items()}
+    # only the terms' own features change
+    own = np.searchsorted(kept, np.unique(np.concatenate(list(terms.values()))))
+    where = {x: np.searchsorted(kept[own], v) for x, v in terms.items()}
     pairs, often = list(swaps), np.array(list(swaps.values()))
     often /= often.sum()
-    change = np.zeros((len(pairs), len(kept)))
+    change = np.zeros((len(pairs), len(own)))
     for i, (p, q) in enumerate(pairs):
         change[i, where[q]] += 1
         change[i, where[p]] -= 1
-    quadratic = change.T @ (change * often[:, None]) if len(kept) <= 4 * FEATURES else None
+    quadratic = change.T @ (change * often[:, None])
+    del data
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         v, bias = x[:-1], x[-1]
@@ -186,10 +189,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, ridge: float = 2e-4, swap_pen
         value = (w * (np.logaddexp(0, z) - y * z)).sum() + ridge / 2 * (v @ v)
         d = w * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
         g = np.bincount(col, weights=d[row], minlength=len(v)) + ridge * v
-        s = quadratic @ v
-        return value + swap_penalty / 2 * (v @ s), np.append(g + swap_penalty * s, d.sum())
+        s = quadratic @ v[own]
+        g[own] += swap_penalty * s
+        return value + swap_penalty / 2 * (v[own] @ s), np.append(g, d.sum())
 
     x = minimise(loss, np.zeros(len(kept) + 1))
+    trim()
     return kept, x[:-1], float(x[-1])
 
 
