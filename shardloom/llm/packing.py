@@ -23,7 +23,7 @@ from .common import small_batches, stage, trimmed
 
 #: Encoded chunks kept by a task before its cache starts afresh, and bytes of
 #: the chunks that stay for the worker's next task.
-CACHE_ENTRIES, KEPT_BYTES = 1_000_000, 8
+CACHE_ENTRIES, KEPT_BYTES = 1_000_000, 10
 _PUNCT = re.compile(rb"(?<=[a-z])([.,])(?=[ \t\n\r\x0b\x0c])")
 
 
