@@ -180,16 +180,16 @@ def line_report(docs: DataFrame) -> DataFrame:
     return _attach(base, dropped).select(F.col("_id").alias("doc_id"), "n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("_lines", F.array().cast("array<int>")).alias("dropped"))
 
 
-def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
+def drop_duplicate_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """The documents, all columns, without their duplicate lines. A document
-    that loses lines and keeps none of MIN_WORDS words goes: it held nothing
-    else of its own."""
+    that loses lines and keeps none of ``least`` words goes; with 1, only one
+    of which nothing but white space is left."""
     dropped, _ = duplicate_lines(docs)
     row = F.struct(*docs.columns).alias("_row")
     base = docs.select(row, F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
     kept = F.filter(F.split("_row.text", "\n"), lambda x, i: ~F.array_contains(F.col("_lines"), i))
     out = _attach(base, dropped).select("_row", "_lines", F.when(F.col("_lines").isNotNull(), kept).alias("_kept"))
-    own = F.exists("_kept", lambda x: F.size(F.array_remove(F.split(x, r"[\x20\x09-\x0D]+"), "")) >= MIN_WORDS)
+    own = F.exists("_kept", lambda x: F.size(F.array_remove(F.split(x, r"[\x20\x09-\x0D]+"), "")) >= least)
     out = out.filter(F.col("_lines").isNull() | own)
     text = F.when(F.col("_lines").isNull(), F.col("_row.text")).otherwise(F.array_join("_kept", "\n"))
     return out.select(*(text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))

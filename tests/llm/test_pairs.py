@@ -223,6 +223,15 @@ def test_lines_dropped_from_texts(make_docs, rng):
     assert drop_duplicate_lines(make_docs([])).count() == 0
 
 
+def test_pipeline_keeps_what_is_left_of_a_document(make_docs, spark):
+    import corpus_pipeline
+
+    common = "one boilerplate line that many texts share"
+    texts = {1: common, 2: f"{common}\nmilk\neggs", 3: f"一段没有空格的文字\n{common}", 4: f"{common}\n \t\n"}
+    out = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, make_docs(texts), "").collect()}
+    assert out == {1: common, 2: "milk\neggs", 3: "一段没有空格的文字"}
+
+
 # ---- decontamination
 
 
