@@ -41,8 +41,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_alone
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat, or nearly, stay where they come first. A document goes
-    only if nothing but white space is left of it."""
+    """Lines that repeat, however short, or nearly repeat stay where they come
+    first. A document goes only if nothing but white space is left of it."""
     return drop_duplicate_lines(docs, least=1)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, stage, trimmed
 from .text import _pow, chunks, mix64, word_hashes
 
-#: Lines of fewer words are left alone; so many and more may differ by an edit.
+#: Lines of fewer words are left alone by default; so many and more may differ by an edit.
 MIN_WORDS, EDIT_WORDS = 5, 7
 
 #: Lines with a partner's half that are broadcast, by hash and two flags (some
@@ -42,9 +42,10 @@ def _finish(raw: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix64(raw + n.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """The lines of at least MIN_WORDS words; text and the keys of their halves,
-    even for the first and odd for the last, only where new to the task."""
+def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """The lines of at least ``least`` words; text and the keys of their halves,
+    even for the first and odd for the last, only where an edit is looked for
+    and the line is new to the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -58,7 +59,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                 w, rows = word_hashes(part)
                 sums, inv = _sequence(w)
                 n = np.diff(rows)
-                keep = np.flatnonzero(n >= MIN_WORDS)
+                keep = np.flatnonzero(n >= least)
                 if not len(keep):
                     continue
                 n, a, e = n[keep], rows[:-1][keep], rows[1:][keep]
@@ -70,10 +71,10 @@ def _lines(docs: DataFrame) -> DataFrame:
                 halves = np.stack(halves, axis=1).view(np.int64).tolist()
                 some, texts = [], []
                 for i, key, own, m in zip(keep.tolist(), h.tolist(), halves, n.tolist()):
-                    new = key not in seen
+                    new = m >= EDIT_WORDS and key not in seen
                     texts.append(part[i].as_py() if new else None)
-                    some.append(sorted({*own}) if new and m >= EDIT_WORDS else None)
-                    if len(seen) < 200_000:
+                    some.append(sorted({*own}) if new else None)
+                    if new and len(seen) < 200_000:
                         seen.add(key)
                 at = of[lo + keep].tolist()
                 cols = [pa.array([doc[i] for i in at], pa.int64()), pa.array([text_hash[i] for i in at], pa.int64()), pa.array(number[lo + keep].astype(np.int32)), pa.array(h), pa.array(n.astype(np.int32)), pa.array(some, pa.list_(pa.int64())), pa.array(texts, pa.string())]
@@ -129,16 +130,17 @@ def _true_links(pairs: DataFrame) -> DataFrame:
     return pairs.select("h", "x", "y").mapInArrow(trimmed(run), "h long")
 
 
-def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, line) of the lines to drop, and the staged lines.
 
     A line goes if an earlier one, by doc_id, text hash and line number, has
     the same words, or if one whose first occurrence is earlier differs by one
     word inserted, deleted or replaced and both have EDIT_WORDS words or more.
+    Lines of fewer than ``least`` words stay; with 1, only those of white space.
     Words are runs without white space, A-Z lower-cased.
     """
     small_batches(docs.sparkSession)
-    lines = stage(_lines(docs), "lines")
+    lines = stage(_lines(docs, max(least, 1)), "lines")
     at = F.struct("doc_id", "text_hash", "line")
     first = stage(lines.groupBy("h").agg(F.min(at).alias("at")), "first")
     by_key, by_v = Window.partitionBy("key"), Window.partitionBy("v")
@@ -181,10 +183,10 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 
 def drop_duplicate_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """The documents, all columns, without their duplicate lines. A document
-    that loses lines and keeps none of ``least`` words goes; with 1, only one
-    of which nothing but white space is left."""
-    dropped, _ = duplicate_lines(docs)
+    """The documents, all columns, without their duplicate lines of ``least``
+    words or more. A document that loses lines and keeps none of ``least`` words
+    goes; with 1, only one of which nothing but white space is left."""
+    dropped, _ = duplicate_lines(docs, least)
     row = F.struct(*docs.columns).alias("_row")
     base = docs.select(row, F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
     kept = F.filter(F.split("_row.text", "\n"), lambda x, i: ~F.array_contains(F.col("_lines"), i))

@@ -232,6 +232,15 @@ def test_pipeline_keeps_what_is_left_of_a_document(make_docs, spark):
     assert out == {1: common, 2: "milk\neggs", 3: "一段没有空格的文字"}
 
 
+def test_pipeline_folds_short_lines(make_docs, spark):
+    import corpus_pipeline
+
+    chinese = "没有空格的一行文字" * 50
+    texts = {1: f"All rights reserved.\n{chinese}\n\n- a", 2: f"all  RIGHTS reserved.\nits own\n\n{chinese}", 3: "a b\n- a\na b\na c", 4: f"{chinese}\n"}
+    out = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, make_docs(texts), "").collect()}
+    assert out == {1: texts[1], 2: "its own\n", 3: "a b\na c"}
+
+
 # ---- decontamination
 
 
