@@ -2,11 +2,15 @@
 
 Every line, and every text of several lines as a whole, is compared with the
 templates whose number of bigrams lies within the bounds that the threshold
-leaves; all others are pruned unseen. Rows never meet, so nothing is shuffled.
+leaves; all others are pruned unseen. Notices wrapped over lines are found by
+windows of consecutive lines, in texts with a word that no hit can do without.
+Rows never meet, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +39,25 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+]
+
+# Whole licences, which only windows and whole texts are compared with.
+FULL_TEXTS = [
+    ("bsd-2-clause", f"{_BSD[0]} {_BSD[2]}"),
+    ("bsd-3-clause", " ".join(_BSD)),
+    ("isc", TEMPLATES[10][1] + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("mit", f"{TEMPLATES[13][1]} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}"),
+]
+
 
 def template_bigrams(text: str) -> list[str]:
     """Distinct bigrams of a normalised text, as the scan makes them."""
-    import re
-
-    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text))
+    ws = _words(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(ws, ws[1:])))
 
 
@@ -49,36 +66,97 @@ def size_bounds(n: int, threshold: float) -> tuple[float, float]:
     return threshold / (2 - threshold) * n, (2 - threshold) / threshold * n
 
 
-def _best(text: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
-    """struct(dice, license) of the best template, or null."""
+def _words(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text))
+
+
+def key_words(templates: list[tuple[str, str]], threshold: float) -> list[str]:
+    """Words of which every hit has one: the longest of each template until the
+    bigrams without them are too few for the threshold."""
+    out = set()
+    for _, t in templates:
+        grams, own = template_bigrams(t), set()
+        for w in sorted(set(_words(t)), key=lambda w: (-len(w), w)):
+            # a text that shares c of n bigrams has a coefficient of 2c / (c + n) at most
+            c = sum(not own & set(g.split(" ")) for g in grams)
+            if 2 * c < (threshold - 1e-9) * (c + len(grams)):
+                break
+            own.add(w)
+        out |= own
+    return sorted(out)
+
+
+def _best(ws: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
+    """struct(minus, license, shared) of the best template for an array of words, or null."""
     rows = []
     for name, t in templates:
         grams = template_bigrams(t)
         lo, hi = size_bounds(len(grams), threshold)
-        rows.append(F.struct(F.lit(name).alias("license"), F.lit(lo - 1e-9).alias("lo"), F.lit(hi + 1e-9).alias("hi"), F.array(*map(F.lit, grams)).alias("grams")))
+        rows.append(F.struct(F.lit(name).alias("license"), F.lit(lo - 1e-9).alias("lo"), F.lit(hi + 1e-9).alias("hi"), F.split(F.lit("|".join(grams)), r"\|").alias("grams")))
     least, most = (f(size_bounds(len(template_bigrams(t)), threshold)[k] for _, t in templates) for k, f in ((0, min), (1, max)))
-    dice = lambda b: lambda t: F.struct((2.0 * F.size(F.array_intersect(b, t["grams"])) / (F.size(b) + F.size(t["grams"]))).alias("dice"), t["license"].alias("license"))
+    dice = lambda b: lambda t: let(F.size(F.array_intersect(b, t["grams"])), lambda c: F.struct((2.0 * c / (F.size(b) + F.size(t["grams"]))).alias("dice"), t["license"].alias("license"), c.alias("shared")))
     fits = lambda b: F.filter(F.array(*rows), lambda t: (F.size(b) >= t["lo"]) & (F.size(b) <= t["hi"]))
     # the best coefficient; of several templates with it the first name
-    best = lambda ds: F.array_min(F.transform(F.filter(ds, lambda d: d["dice"] >= threshold), lambda d: F.struct((-d["dice"]).alias("minus"), d["license"].alias("license"))))
+    best = lambda ds: F.array_min(F.transform(F.filter(ds, lambda d: d["dice"] >= threshold), lambda d: F.struct((-d["dice"]).alias("minus"), d["license"].alias("license"), d["shared"].alias("shared"))))
     bigrams = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.slice(w, i, 2))))
     # a text of w words has w - 1 bigrams at most; with fewer than the least bound it needs no look
     scan = lambda w: F.when((F.size(w) >= 2) & (F.size(w) - 1 >= least - 1e-9), let(bigrams(w), lambda b: F.when(F.size(b) <= most + 1e-9, let(F.transform(fits(b), dice(b)), best))))
-    return let(words(text), scan)
+    return scan(ws)
+
+
+_HIT = "struct<line:int,license:string,dice:double,last:int,shared:int>"
+
+
+def _windows(lines: Column, found: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
+    """Hits of runs of two and more ``lines``, (line, words) without empty ones,
+    but not of all: those that share most bigrams first, none that overlaps an
+    earlier one or holds a line that is a hit sharing as many or of the same licence."""
+    least = min(size_bounds(len(template_bigrams(t)), threshold)[0] for _, t in templates)
+    most = int(max(size_bounds(len(_words(t)), threshold)[1] for _, t in templates)) + 1
+    keys = F.array(*map(F.lit, key_words(templates, threshold)))
+    # (words so far, whether one is a key word, the last lines of windows that may be hits)
+    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("key"), F.array().cast("array<int>").alias("ends"))
+    add = lambda acc, x: F.when(acc["n"] > most, acc).otherwise(let(F.struct((acc["n"] + F.size(x["words"])).alias("n"), (acc["key"] | x["key"]).alias("key")), lambda y: F.struct(y["n"].alias("n"), y["key"].alias("key"), F.when(y["key"] & (y["n"] <= most) & (y["n"] - 1 >= least - 1e-9), F.array_append(acc["ends"], x["at"])).otherwise(acc["ends"]).alias("ends"))))
+    marked = F.transform(lines, lambda x, i: F.struct(x["line"].alias("line"), x["words"].alias("words"), F.arrays_overlap(x["words"], keys).alias("key"), i.alias("at")))
+
+    def of_start(ls: Column, p: Column) -> Column:
+        ends = F.aggregate(F.slice(ls, p + 1, most), start, add, lambda acc: F.filter(acc["ends"], lambda e: (e > p) & ((p > 0) | (e < F.size(ls) - 1))))
+        ws = lambda e: F.flatten(F.transform(F.slice(ls, p + 1, e - p + 1), lambda x: x["words"]))
+        at = lambda i: F.element_at(ls, i + 1)["line"]
+        hit = lambda e: let(ws(e), lambda w: let(_best(w, templates, threshold), lambda m: F.when(m.isNotNull(), F.struct((-m["shared"]).alias("less"), m["minus"].alias("minus"), at(p).alias("line"), at(e).alias("last"), m["license"].alias("license")))))
+        return F.filter(F.transform(ends, hit), lambda h: h.isNotNull())
+
+    own = lambda h: F.exists(found, lambda o: (o["line"] >= h["line"]) & (o["line"] <= h["last"]) & ((o["license"] == h["license"]) | (o["shared"] >= -h["less"])))
+    every = let(marked, lambda ls: F.array_sort(F.filter(F.flatten(F.transform(ls, lambda x: of_start(ls, x["at"]))), lambda h: ~own(h))))
+    free = lambda out, h: ~F.exists(out, lambda o: (o["line"] <= h["last"]) & (o["last"] >= h["line"]))
+    as_hit = lambda h: F.struct(h["line"].alias("line"), h["license"].alias("license"), (-h["minus"]).alias("dice"), h["last"].alias("last"), (-h["less"]).alias("shared")).cast(_HIT)
+    return F.aggregate(every, F.array().cast(f"array<{_HIT}>"), lambda out, h: F.when(free(out, h), F.array_append(out, as_hit(h))).otherwise(out))
 
 
 def license_hits(documents: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with ``hits``, an array of (line, license, dice): the best
-    template of each line that has one, line numbers from 0, and of the whole
-    text as line -1 if it has several lines.
+    """The documents with ``hits``, an array of (line, license, dice, last,
+    shared bigrams): the best template of each line that has one, line numbers
+    from 0; of runs of several lines, from ``line`` to ``last``, those that share
+    most, do not overlap and hold no line that is a hit sharing as many or of the
+    same licence; and of the whole text as line -1 if it has
+    several lines. Empty lines count for nothing in a run. Whole licences are
+    looked for in runs and whole texts, if no ``templates`` are given.
 
     Null and empty texts and texts without two words have no hits; ties go to
     the licence first by name; repeated rows come out once each; an empty table
     gives no rows; all other columns are kept.
     """
+    long = [*TEMPLATES, *FULL_TEXTS] if templates is None else templates
     templates = TEMPLATES if templates is None else templates
-    hit = lambda line, m: F.struct(line.cast("int").alias("line"), m["license"].alias("license"), (-m["minus"]).alias("dice"))
-    lines = lambda ls: F.transform(ls, lambda x, i: let(_best(x, templates, threshold), lambda m: F.when(m.isNotNull(), hit(i, m))))
-    whole = F.when(F.contains("text", F.lit("\n")), let(_best(F.col("text"), templates, threshold), lambda m: F.when(m.isNotNull(), hit(F.lit(-1), m))))
-    found = F.concat(lines(F.split(F.coalesce("text", F.lit("")), "\n")), F.array(whole))
-    return documents.withColumn("hits", F.filter(found, lambda h: h.isNotNull()))
+    hit = lambda line, m: F.struct(line.cast("int").alias("line"), m["license"].alias("license"), (-m["minus"]).alias("dice"), line.cast("int").alias("last"), m["shared"].alias("shared")).cast(_HIT)
+    some = lambda hs: F.filter(hs, lambda h: h.isNotNull())
+    none = F.array().cast(f"array<{_HIT}>")
+    of_lines = lambda ls: some(F.transform(ls, lambda w, i: let(_best(w, templates, threshold), lambda m: F.when(m.isNotNull(), hit(i, m)))))
+    of_all = lambda ws: some(F.array(let(_best(ws, long, threshold), lambda m: F.when(m.isNotNull(), hit(F.lit(-1), m)))))
+    keys = F.array(*map(F.lit, key_words(long, threshold)))
+    numbered = lambda ls: F.filter(F.transform(ls, lambda w, i: F.struct(i.alias("line"), w.alias("words"))), lambda x: F.size(x["words"]) > 0)
+    runs = lambda ls, ws, found: F.when(F.arrays_overlap(ws, keys), let(numbered(ls), lambda ns: _windows(ns, found, long, threshold))).otherwise(none)
+    several = lambda ls, found: let(F.flatten(ls), lambda ws: F.concat(found, runs(ls, ws, found), of_all(ws)))
+    scan = lambda ls: let(of_lines(ls), lambda found: F.when(F.size(ls) > 1, several(ls, found)).otherwise(found))
+    split = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words)
+    return documents.withColumn("hits", let(split, scan))

@@ -291,6 +291,25 @@ def test_licenses_brute_force(make_docs, rng):
     assert any(h[0] == -1 for _, hs in got for h in hs)
 
 
+def test_wrapped_licenses(make_docs, rng):
+    import textwrap
+
+    names = dict(licenses.TEMPLATES) | {f"full {n}": t for n, t in licenses.FULL_TEXTS}
+    prose = [" ".join(words(rng, 9)) for _ in range(40)]
+    texts, want = {}, {}
+    for i, k in enumerate(["mit", "bsd-3-clause", "gpl-3.0", "isc", "mpl-2.0", "full mit", "full bsd-2-clause", "full bsd-3-clause", "full isc"]):
+        body = ["# " + x for x in textwrap.wrap(names[k], 76)]
+        texts[i] = "\n".join(["Copyright (c) 2020 Some Body", "", *body, *prose])
+        want[i] = (2, 1 + len(body), k.split()[-1])
+    texts[50] = "Copyright (c) 2020 Some Body\n\n" + textwrap.fill(names["full mit"], 78)
+    texts[51] = "\n".join(prose)
+    got = {r.doc_id: r.hits for r in licenses.license_hits(make_docs(texts)).collect()}
+    for i, (line, last, name) in want.items():
+        assert [(h.line, h.last, h.license) for h in got[i]] == [(line, last, name)] and got[i][0].dice > 0.99
+    assert {h.license for h in got[50]} == {"mit"} and -1 in {h.line for h in got[50]}
+    assert got[51] == []
+
+
 # ---- personal data
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
