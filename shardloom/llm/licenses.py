@@ -70,13 +70,17 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text))
 
 
+#: Words of any prose, taken as keys only where no others are left.
+_COMMON = set("a all an and are as at be by do for from in is it no not of on or that the this to was with".split())
+
+
 def key_words(templates: list[tuple[str, str]], threshold: float) -> list[str]:
-    """Words of which every hit has one: the longest of each template until the
-    bigrams without them are too few for the threshold."""
+    """Words of which every hit has one: the longest of each template, common ones
+    last, until the bigrams without them are too few for the threshold."""
     out = set()
     for _, t in templates:
         grams, own = template_bigrams(t), set()
-        for w in sorted(set(_words(t)), key=lambda w: (-len(w), w)):
+        for w in sorted(set(_words(t)), key=lambda w: (w in _COMMON, -len(w), w)):
             # a text that shares c of n bigrams has a coefficient of 2c / (c + n) at most
             c = sum(not own & set(g.split(" ")) for g in grams)
             if 2 * c < (threshold - 1e-9) * (c + len(grams)):
