@@ -9,6 +9,8 @@ too, and are generalised or removed with the entities.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +41,11 @@ _TERM = r"[A-Za-z\x80-\x{10FFFF}]{%d,}" % TERM_LETTERS
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """Matches of a pattern with code-point places, from the texts between them."""
-    grow = lambda m, g: lambda acc, i: let(acc["at"] + F.length(F.element_at(g, i)), lambda s: F.struct((s + F.length(F.element_at(m, i))).alias("at"), F.array_append(acc["out"], F.struct(s.alias("start"), (s + F.length(F.element_at(m, i))).alias("end"), F.element_at(m, i).alias("value"))).alias("out")))
+def _found(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Matches of a pattern, all or those to ``keep``, with code-point places,
+    from the texts between them."""
+    take = lambda out, v, more: F.when(keep(v), more).otherwise(out) if keep else more
+    grow = lambda m, g: lambda acc, i: let(acc["at"] + F.length(F.element_at(g, i)), lambda s: F.struct((s + F.length(F.element_at(m, i))).alias("at"), take(acc["out"], F.element_at(m, i), F.array_append(acc["out"], F.struct(s.alias("start"), (s + F.length(F.element_at(m, i))).alias("end"), F.element_at(m, i).alias("value")))).alias("out")))
     places = lambda m: lambda g: F.aggregate(F.sequence(F.lit(1), F.size(m)), F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), grow(m, g), lambda acc: acc["out"])
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, F.array().cast(_SPAN)).otherwise(let(F.split(text, pattern, -1), places(m))))
 
@@ -101,6 +105,7 @@ def personal_data(documents: DataFrame, disclosure: float = DISCLOSURE, support:
     if at least ``support`` different texts show both, and
     ``log(N n_et / (n_e n_t)) >= disclosure * log(N / n_e)``: N documents, n_e
     with the entity, n_t with the term anywhere, n_et with both side by side.
+    All its occurrences in the documents with the entity are spans then.
 
     Null and empty texts have no spans; repeated rows, alike in doc_id and
     text, come out once each with the same spans and count once each in the
@@ -121,8 +126,7 @@ def personal_data(documents: DataFrame, disclosure: float = DISCLOSURE, support:
     n_t = in_texts.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term", "left_semi")
     total = documents.count()
     strong = pairs.join(entities, ["kind", "value"]).join(n_t, "term").filter(F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) >= disclosure * F.log(F.lit(float(total)) / F.col("n_e")) - 1e-12).filter(F.col("n_e") < total).select("kind", "value", "term")
-    marks = seen.select("doc_id", "_hash", F.explode("base").alias("s")).select("doc_id", "_hash", F.col("s.kind").alias("kind"), F.col("s.value").alias("value"), F.explode("s.terms").alias("t")).select("doc_id", "_hash", "kind", "value", "t.*").join(strong, ["kind", "value", "term"])
-    extra = marks.select("doc_id", "_hash", F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", F.lit("term").alias("name")).alias("s")).groupBy("doc_id", "_hash").agg(F.collect_set("s").alias("more"))
+    wherever = each.select("doc_id", "_hash", "kind", "value").join(strong, ["kind", "value"]).groupBy("doc_id", "_hash").agg(F.collect_set("term").alias("terms"))
     plain = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["name"].alias("name"))
     base = seen.select("doc_id", "_hash", F.transform("base", plain).alias("base")).dropDuplicates(["doc_id", "_hash"])
 
@@ -131,6 +135,11 @@ def personal_data(documents: DataFrame, disclosure: float = DISCLOSURE, support:
         return left.join(r, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left").drop("_d", "_h")
 
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,name:string>>")
+    as_term = lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), x["end"].alias("end"), F.lit("term").alias("name"))
+    apart = lambda x: ~F.exists("base", lambda o: (o["start"] < x["end"]) & (o["end"] > x["start"]))
+    every = _found(F.col("_text"), _TERM, lambda v: F.array_contains("terms", lower_ascii(v)))
+    texts = attach(row.dropDuplicates(["doc_id", "_hash"]), wherever).filter("terms is not null")
+    extra = attach(texts, base).select("doc_id", "_hash", F.transform(F.filter(every, apart), as_term).alias("more"))
     found = attach(base, extra).select("doc_id", "_hash", "base", F.array_sort(F.concat("base", F.coalesce("more", empty))).alias("spans"))
     own = [c for c in documents.columns if c not in ("base", "spans")]
     out = attach(documents.select(F.struct(*own).alias("_row"), "doc_id", F.xxhash64(text).alias("_hash")), found)

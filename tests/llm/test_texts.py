@@ -368,6 +368,16 @@ def test_terms_that_reveal(make_docs, rng):
     assert "[" not in gone[0] and "ann.lee" not in gone[0]
 
 
+def test_terms_are_marked_wherever_they_stand(make_docs, rng):
+    rows = [(i, " ".join(words(rng, 30, 60))) for i in range(100)]
+    for i in range(3):
+        rows[i] = (i, f"Zebulon {rows[i][1]} said zebulon z@x.org {i}")
+    rows[3] = (3, f"Zebulon {rows[3][1]} then z@x.org")
+    clean = {r.doc_id: r.text for r in pii.sanitise(make_docs(rows)).collect()}
+    for i in range(4):
+        assert clean[i].startswith("[TERM] w") and "ebulon" not in clean[i]
+
+
 def test_personal_data_of_nothing(make_docs):
     assert pii.personal_data(make_docs([])).count() == 0
 
