@@ -40,18 +40,35 @@ def trimmed(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     return run
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of the Python operators built afterwards."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound the Arrow batches of the Python operators run afterwards."""
+    spark.conf.set(_BATCH, str(rows))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """The same for what runs inside; the session's own bound comes back."""
+    own = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, own)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, one machine) a local one is made.
+    Only a session on one machine (``local``) that names none gets one of its
+    own; on a cluster executors would each write to their own disk.
     """
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = "file://" + tempfile.mkdtemp(prefix="shardloom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", own)
     return own

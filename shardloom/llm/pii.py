@@ -1,10 +1,11 @@
 """Personal data and the terms that give it away, DataFrame functions only.
 
-E-mail addresses, IP addresses, card and phone numbers are found by pattern.
-Sanitisation is information-theoretic: how strongly a term beside an entity
-reveals it is their pointwise mutual information over the corpus, as a share of
-the entity's own information. Terms above the disclosure threshold become spans
-too, and are generalised or removed with the entities.
+E-mail addresses, IP addresses, card and phone numbers and secrets are found by
+pattern. Sanitisation is information-theoretic: how strongly a term beside an
+entity reveals it is their pointwise mutual information over the corpus, as a
+share of the entity's own information. An entity stands for three things that a
+term can reveal: its value, its issuer and its kind. Terms above the disclosure
+threshold become spans too, and are generalised or removed with the entities.
 """
 
 from __future__ import annotations
@@ -14,40 +15,73 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stage
+from .common import lower_ascii, release, stage
 from .decontamination import let
 
-#: Kinds in the order of equal starts; terms come last.
+#: Kinds in the order of equal starts; then secrets, which are no base kind, and terms.
 KINDS = ("email", "ip", "card", "phone")
+_SECRET, _TERM_KIND = len(KINDS), len(KINDS) + 1
 
 #: The patterns find what the plain ones do, leftmost and non-overlapping, but
-#: try each run once and without recursion.
+#: try each run once and without recursion; that of cards only runs of 12 to 19
+#: digits. A secret is a run of 20 letters, digits and underscores and more
+#: that holds three letters and three digits at least.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![A-Za-z0-9_])(?=(?:[A-Za-z_]*+[0-9]){3})(?=(?:[0-9_]*+[A-Za-z]){3})[A-Za-z0-9_]{20,}+",
 }
 #: A cheap test that every text with a match passes.
-HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-
-#: Words on each side of an entity that are looked at, their least length, the
-#: texts that must show them together, and the share of information revealed.
-CONTEXT_WORDS, TERM_LETTERS, SUPPORT, DISCLOSURE = 4, 4, 2, 0.8
-#: Characters in which the words of a side are sought.
-_SIDE = 96
-_TERM = r"[A-Za-z\x80-\x{10FFFF}]{%d,}" % TERM_LETTERS
+HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+", "secret": ""}
+
+#: Words on each side of an entity that are looked at, the least letters of a
+#: word, the texts that must show a term beside an entity, the share of
+#: information revealed, and the least different characters of a secret.
+CONTEXT_WORDS, TERM_LETTERS, SUPPORT, DISCLOSURE, SECRET_CHARACTERS = 4, 2, 2, 0.8, 10
+#: Strong terms of at most so many pairs are broadcast (some 100 MB at most);
+#: more are joined by shuffling, with this many salts.
+BROADCAST_TERMS, SALTS = 1_000_000, 16
+_TERM = r"\p{L}[\p{L}\p{M}]{%d,}" % (TERM_LETTERS - 1)
+#: Words outside e-mail addresses and secrets, and all that may be an entity.
+_OUTSIDE = "|".join(f"(?:{p})" for p in (PATTERNS["email"].replace(r"\G|", ""), PATTERNS["secret"], _TERM))
+_SCAN = "|".join(f"(?:{p})" for p in (PATTERNS["email"].replace(r"\G|", ""), PATTERNS["secret"], PATTERNS["ip"], PATTERNS["card"], PATTERNS["phone"], _TERM))
 
 _SPAN = "array<struct<start:int,end:int,value:string>>"
+#: Matches whose places are summed up at once.
+_BLOCK = 128
 
 
 def _found(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
     """Matches of a pattern, all or those to ``keep``, with code-point places,
-    from the texts between them."""
-    take = lambda out, v, more: F.when(keep(v), more).otherwise(out) if keep else more
-    grow = lambda m, g: lambda acc, i: let(acc["at"] + F.length(F.element_at(g, i)), lambda s: F.struct((s + F.length(F.element_at(m, i))).alias("at"), take(acc["out"], F.element_at(m, i), F.array_append(acc["out"], F.struct(s.alias("start"), (s + F.length(F.element_at(m, i))).alias("end"), F.element_at(m, i).alias("value")))).alias("out")))
-    places = lambda m: lambda g: F.aggregate(F.sequence(F.lit(1), F.size(m)), F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), grow(m, g), lambda acc: acc["out"])
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, F.array().cast(_SPAN)).otherwise(let(F.split(text, pattern, -1), places(m))))
+    from the texts between them. Places are running sums in blocks, so that the
+    work grows with the matches and not with their square."""
+    none = F.array().cast(_SPAN)
+
+    def places(m: Column) -> Callable[[Column], Column]:
+        def of_sizes(s: Column) -> Column:
+            total = lambda b: F.aggregate(F.slice(s, b * _BLOCK + 1, _BLOCK), F.lit(0), lambda a, x: a + x["gap"] + x["own"])
+            sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / _BLOCK).cast("int")), total)
+            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+            starts = F.aggregate(sums, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+
+            def block(at: Column, b: Column) -> Column:
+                def step(a: Column, i: Column) -> Column:
+                    v, x = F.get(m, i), F.get(s, i)
+                    lo = a["at"] + x["gap"]
+                    more = F.array_append(a["out"], F.struct(lo.alias("start"), (lo + x["own"]).alias("end"), v.alias("value")))
+                    return F.struct((lo + x["own"]).alias("at"), (F.when(keep(v), more).otherwise(a["out"]) if keep else more).alias("out"))
+
+                mine = F.sequence(b * _BLOCK, F.least((b + 1) * _BLOCK, F.size(s)) - 1)
+                return F.aggregate(mine, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+            return F.flatten(F.transform(starts, block))
+
+        sizes = lambda g: F.transform(m, lambda v, i: F.struct(F.length(F.get(g, i)).alias("gap"), F.length(v).alias("own")))
+        return lambda g: let(sizes(g), of_sizes)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, none).otherwise(let(F.split(text, pattern, -1), places(m))))
 
 
 def _digits(s: Column) -> Column:
@@ -68,81 +102,130 @@ def _valid(kind: str, v: Column) -> Column:
         return let(_digits(v), lambda d: F.when(F.length(d).between(12, 19), _luhn(d)).otherwise(F.lit(False)))
     if kind == "phone":
         return F.length(_digits(v)).between(9, 15)
+    if kind == "secret":
+        return F.size(F.array_distinct(F.split(v, ""))) >= SECRET_CHARACTERS
     return F.lit(True)
 
 
-def base_spans(text: Column) -> Column:
-    """array of (start, kind, end, name, value), ordered; kind is the place in KINDS."""
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,name:string,value:string>>")
+_OUT = "array<struct<start:int,kind:int,end:int,name:string>>"
+
+
+def _spans(text: Column, kinds: tuple[str, ...]) -> Column:
+    """array of (start, kind, end, name), ordered; kind is the place in ``kinds``."""
     parts = []
-    valid = lambda kind: lambda s: _valid(kind, s["value"])
-    as_span = lambda i, kind: lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"), F.lit(kind).alias("name"), s["value"].alias("value"))
-    for i, kind in enumerate(KINDS):
-        spans = F.transform(F.filter(_found(text, PATTERNS[kind]), valid(kind)), as_span(i, kind))
-        parts.append(F.when(F.contains(text, F.lit(HINTS[kind])), spans).otherwise(none) if HINTS[kind] else spans)
+    as_span = lambda i, kind: lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"), F.lit(kind).alias("name"))
+    for i, kind in enumerate(kinds):
+        spans = F.transform(_found(text, PATTERNS[kind], lambda v, kind=kind: _valid(kind, v)), as_span(i, kind))
+        parts.append(F.when(F.contains(text, F.lit(HINTS[kind])), spans).otherwise(F.array().cast(_OUT)) if HINTS[kind] else spans)
     return F.array_sort(F.concat(*parts))
 
 
-def _terms(text: Column, spans: Column, s: Column) -> Column:
-    """The words beside a span, as (start, end, term), none inside other spans."""
-    lo = F.greatest(s["start"] - _SIDE, F.lit(0))
-    before, after = F.substring(text, lo + 1, s["start"] - lo), F.substring(text, s["end"] + 1, F.lit(_SIDE))
-    whole_before = lambda t: F.filter(t, lambda x: (x["start"] > 0) | (lo == 0))
-    whole_after = lambda t: F.filter(t, lambda x: (x["end"] < _SIDE) | (s["end"] + _SIDE >= F.length(text)))
-    left = F.reverse(F.slice(F.reverse(F.concat(F.array().cast(_SPAN), whole_before(_found(before, _TERM)))), 1, CONTEXT_WORDS))
-    right = F.slice(whole_after(_found(after, _TERM)), 1, CONTEXT_WORDS)
-    move = lambda by: lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), lower_ascii(x["value"]).alias("term"))
-    both = F.concat(F.transform(left, move(lo)), F.transform(right, move(s["end"])))
-    return F.filter(both, lambda x: ~F.exists(spans, lambda o: (o["start"] < x["end"]) & (o["end"] > x["start"])))
+def base_spans(text: Column) -> Column:
+    """The spans of the base kinds."""
+    return _spans(text, KINDS)
 
 
-def personal_data(documents: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """The documents with ``base``, the spans found by pattern, and ``spans``,
-    those and the terms that reveal them; both arrays of (start, kind, end,
-    name), ordered, places in code points, ends exclusive.
+def _kind(v: Column) -> Column:
+    """The kind of a match of _SCAN."""
+    digits = lambda *more: v.rlike("^[0-9 %s-]+$" % "".join(more))
+    return F.when(v.contains("@"), 0).when(v.startswith("+"), 3).when(digits(), 2).when(digits("."), 1).when(v.rlike("[0-9]"), _SECRET).otherwise(_TERM_KIND)
+
 
-    A term within CONTEXT_WORDS words of an entity is a span of kind ``term``
-    if at least ``support`` different texts show both, and
-    ``log(N n_et / (n_e n_t)) >= disclosure * log(N / n_e)``: N documents, n_e
-    with the entity, n_t with the term anywhere, n_et with both side by side.
-    All its occurrences in the documents with the entity are spans then.
+def _keys(kind: Column, v: Column) -> Column:
+    """What a term can reveal of an entity: its kind, its issuer (mail domain,
+    two parts of an IP address, six digits of a card, four of a phone number),
+    its value."""
+    name = F.element_at(F.array(*map(F.lit, (*KINDS, "secret"))), kind + 1)
+    issuer = F.when(kind == 0, F.lower(F.substring_index(v, "@", -1))).when(kind == 1, F.substring_index(v, ".", 2)).when(kind == 2, F.left(_digits(v), F.lit(6))).when(kind == 3, F.left(_digits(v), F.lit(4)))
+    return F.filter(F.array(name, F.concat_ws(" ", name, F.lit("of"), issuer), F.concat_ws(" ", name, F.lit("is"), v)), lambda k: ~k.endswith(" of"))
 
-    Null and empty texts have no spans; repeated rows, alike in doc_id and
+
+def _entities(text: Column) -> Column:
+    """array of (keys, terms): the entities of a text with the words among the
+    CONTEXT_WORDS entities and words on either side."""
+    is_valid = lambda x: F.when(x["kind"] == 1, _valid("ip", x["v"])).when(x["kind"] == 2, _valid("card", x["v"])).when(x["kind"] == 3, _valid("phone", x["v"])).when(x["kind"] == _SECRET, _valid("secret", x["v"])).otherwise(True)
+    tokens = F.filter(F.transform(F.regexp_extract_all(text, F.lit(_SCAN), F.lit(0)), lambda v: F.struct(_kind(v).alias("kind"), v.alias("v"))), is_valid)
+
+    def of(t: Column) -> Column:
+        near = lambda i: F.concat(F.slice(t, F.greatest(i - CONTEXT_WORDS, F.lit(0)) + 1, F.least(i, F.lit(CONTEXT_WORDS))), F.slice(t, i + 2, CONTEXT_WORDS))
+        terms = lambda i: F.array_distinct(F.transform(F.filter(near(i), lambda x: x["kind"] == _TERM_KIND), lambda x: lower_ascii(x["v"])))
+        at = F.filter(F.transform(t, lambda x, i: F.struct(x["kind"].alias("kind"), x["v"].alias("v"), i.alias("i"))), lambda x: x["kind"] < _TERM_KIND)
+        return F.transform(at, lambda x: F.struct(_keys(x["kind"], x["v"]).alias("keys"), terms(x["i"]).alias("terms")))
+
+    return let(tokens, of)
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(lower_ascii(text), F.lit(_TERM), F.lit(0)))
+
+
+def _strong(seen: DataFrame, texts: DataFrame, total: int, disclosure: float, support: int) -> DataFrame:
+    """(key, term) of the terms that disclose what the key names."""
+    each = seen.select("doc_id", "_hash", F.explode("entities").alias("e")).select("doc_id", "_hash", F.explode("e.keys").alias("key"), F.col("e.terms").alias("terms"))
+    n_e = each.select("doc_id", "_hash", "key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_e"))
+    beside = each.select("doc_id", "_hash", "key", F.explode("terms").alias("term")).distinct()
+    pairs = stage(beside.groupBy("key", "term").agg(F.count(F.lit(1)).alias("n_et"), F.count_distinct("_hash").alias("texts")).filter(F.col("texts") >= support).drop("texts"), "pairs")
+    n_t = texts.select(F.explode(_words(F.col("_text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n_t = n_t.join(pairs.select("term").distinct(), "term", "left_semi")
+    shown = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    own = F.log(F.lit(float(total)) / F.col("n_e"))
+    both = pairs.join(n_e, "key").join(n_t, "term").filter((F.col("n_e") < total) & (shown >= disclosure * own - 1e-12))
+    out = stage(both.select("key", "term"), "strong")
+    release(pairs)
+    return out
+
+
+def _with_terms(seen: DataFrame, strong: DataFrame) -> DataFrame:
+    """(doc_id, _hash, terms): strong terms in the documents with their entity."""
+    rows = seen.select("doc_id", "_hash", F.array_distinct(F.flatten("entities.keys")).alias("keys"), F.explode("words").alias("term"))
+    if strong.count() <= BROADCAST_TERMS:
+        some = rows.join(F.broadcast(strong.select("term").distinct()), "term", "left_semi").select("doc_id", "_hash", "term", F.explode("keys").alias("key"))
+        met = some.join(F.broadcast(strong), ["key", "term"], "left_semi")
+    else:
+        salted = rows.select("doc_id", "_hash", "term", F.explode("keys").alias("key"), F.pmod(F.xxhash64("doc_id", "_hash"), F.lit(SALTS)).alias("salt"))
+        met = salted.join(strong.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["key", "term", "salt"], "left_semi")
+    return met.groupBy("doc_id", "_hash").agg(F.collect_set("term").alias("terms"))
+
+
+def personal_data(documents: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """The documents with ``base``, the spans of the four base kinds, and
+    ``spans``, those, the secrets and the terms that reveal them; both arrays of
+    (start, kind, end, name), ordered, places in code points, ends exclusive.
+
+    A term, a word of TERM_LETTERS letters or more, discloses what a key names
+    (a kind, an issuer or a value, see :func:`_keys`) if at least ``support``
+    different texts show it within CONTEXT_WORDS words and entities of an entity
+    with that key, and ``log(N n_et / (n_e n_t)) >= disclosure * log(N / n_e)``:
+    N documents, n_e with such an entity, n_t with the term anywhere, n_et with
+    both side by side. All its occurrences in the documents with such an entity
+    are spans of kind ``term`` then, but for those inside e-mail addresses and
+    secrets.
+
+    Null and empty texts have no spans; texts of any length are scanned whole,
+    in time that grows with their length; repeated rows, alike in doc_id and
     text, come out once each with the same spans and count once each in the
     corpus; an empty table gives no rows; all other columns are kept, but for some
     named base or spans.
     """
     text = F.coalesce("text", F.lit(""))
     row = documents.select("doc_id", F.xxhash64(text).alias("_hash"), text.alias("_text"))
-    spotted = row.select("doc_id", "_hash", "_text", base_spans(F.col("_text")).alias("base")).filter("size(base) > 0")
-    with_terms = lambda t, b: F.transform(b, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["name"].alias("name"), s["value"].alias("value"), _terms(t, b, s).alias("terms")))
-    seen = stage(spotted.select("doc_id", "_hash", let(F.col("base"), lambda b: with_terms(F.col("_text"), b)).alias("base")), "entities")
-    each = seen.select("doc_id", "_hash", F.explode("base").alias("s")).select("doc_id", "_hash", F.col("s.kind").alias("kind"), F.col("s.value").alias("value"), F.col("s.terms").alias("terms"))
-    entities = each.select("doc_id", "_hash", "kind", "value").distinct().groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_e"))
-    beside = each.select("doc_id", "_hash", "kind", "value", F.explode("terms").alias("t")).select("doc_id", "_hash", "kind", "value", "t.term").distinct()
-    pairs = stage(beside.groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_et"), F.min("_hash").alias("a"), F.max("_hash").alias("b"), F.count_distinct("_hash").alias("texts")).filter(F.col("texts") >= support).select("kind", "value", "term", "n_et"), "pairs")
-    wanted = pairs.select("term").distinct()
-    in_texts = row.select(F.explode(F.array_distinct(F.regexp_extract_all(lower_ascii(F.col("_text")), F.lit(_TERM), F.lit(0)))).alias("term"))
-    n_t = in_texts.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term", "left_semi")
-    total = documents.count()
-    strong = pairs.join(entities, ["kind", "value"]).join(n_t, "term").filter(F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) >= disclosure * F.log(F.lit(float(total)) / F.col("n_e")) - 1e-12).filter(F.col("n_e") < total).select("kind", "value", "term")
-    wherever = each.select("doc_id", "_hash", "kind", "value").join(strong, ["kind", "value"]).groupBy("doc_id", "_hash").agg(F.collect_set("term").alias("terms"))
-    plain = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["name"].alias("name"))
-    base = seen.select("doc_id", "_hash", F.transform("base", plain).alias("base")).dropDuplicates(["doc_id", "_hash"])
+    spotted = row.withColumn("found", _spans(F.col("_text"), (*KINDS, "secret"))).filter("size(found) > 0")
+    seen = stage(spotted.select("doc_id", "_hash", "_text", "found", _entities(F.col("_text")).alias("entities"), _words(F.col("_text")).alias("words")), "entities")
+    strong = _strong(seen, row, documents.count(), disclosure, support)
 
     def attach(left: DataFrame, right: DataFrame) -> DataFrame:
         r = right.withColumnsRenamed({"doc_id": "_d", "_hash": "_h"})
         return left.join(r, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left").drop("_d", "_h")
 
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,name:string>>")
-    as_term = lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), x["end"].alias("end"), F.lit("term").alias("name"))
-    apart = lambda x: ~F.exists("base", lambda o: (o["start"] < x["end"]) & (o["end"] > x["start"]))
-    every = _found(F.col("_text"), _TERM, lambda v: F.array_contains("terms", lower_ascii(v)))
-    texts = attach(row.dropDuplicates(["doc_id", "_hash"]), wherever).filter("terms is not null")
-    extra = attach(texts, base).select("doc_id", "_hash", F.transform(F.filter(every, apart), as_term).alias("more"))
-    found = attach(base, extra).select("doc_id", "_hash", "base", F.array_sort(F.concat("base", F.coalesce("more", empty))).alias("spans"))
+    as_term = lambda x: F.struct(x["start"].alias("start"), F.lit(_TERM_KIND).alias("kind"), x["end"].alias("end"), F.lit("term").alias("name"))
+    marked = F.transform(_found(F.col("_text"), _OUTSIDE, lambda v: F.array_contains("terms", lower_ascii(v))), as_term)
+    once = seen.select("doc_id", "_hash", "_text", "found").dropDuplicates(["doc_id", "_hash"])
+    spans = F.when(F.col("terms").isNull(), F.col("found")).otherwise(F.array_sort(F.concat("found", marked)))
+    found = attach(once, _with_terms(seen, strong)).select("doc_id", "_hash", F.filter("found", lambda s: s["kind"] < len(KINDS)).alias("base"), spans.alias("spans"))
     own = [c for c in documents.columns if c not in ("base", "spans")]
-    out = attach(documents.select(F.struct(*own).alias("_row"), "doc_id", F.xxhash64(text).alias("_hash")), found)
+    out = attach(documents.select(F.struct(*own).alias("_row"), "doc_id", F.xxhash64(text).alias("_hash")), stage(found, "spans"))
+    release(seen, strong)
+    empty = F.array().cast(_OUT)
     return out.select("_row.*", F.coalesce("base", empty).alias("base"), F.coalesce("spans", empty).alias("spans"))
 
 

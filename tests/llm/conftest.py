@@ -4,7 +4,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use themselves.
-CLASHES = ["_row", "_hash", "_text", "_score", "_lines", "_kept", "_d", "_t", "k", "n", "h", "text_hash", "edits_"]
+CLASHES = ["_row", "_hash", "_text", "_score", "_lines", "_kept", "_d", "_t", "k", "n", "h", "text_hash", "hits", "edits", "base", "spans", "term", "key", "found", "comp", "c"]
 
 
 def words(rng, n, vocabulary=3000):

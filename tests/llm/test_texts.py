@@ -378,6 +378,41 @@ def test_terms_are_marked_wherever_they_stand(make_docs, rng):
         assert clean[i].startswith("[TERM] w") and "ebulon" not in clean[i]
 
 
+def test_terms_reveal_kinds_and_issuers(make_docs, rng):
+    """Every value occurs once; the words beside them give away the kind."""
+    rows = [(i, " ".join(words(rng, 30, 60)) + " the token itself and so on") for i in range(200)]
+    secret = lambda i: f"{i:02d}ab9c4d3e8f7061{rng.randrange(10**9):09d}ghij"
+    for i in range(6):
+        rows[i] = (i, f"w w passphrase = {secret(i)} and the the the the, later passphrase alone")
+    for i in range(6, 9):
+        rows[i] = (i, f"reach Zoë{chr(97 + i)} at Initech u{i}@initech.example and so on")
+    rows[9] = (9, "passphrase without one")
+    found = {r.doc_id: r for r in pii.personal_data(make_docs(rows)).collect()}
+    for i in range(6):
+        marked = [rows[i][1][s.start : s.end] for s in found[i].spans if s.name == "term"]
+        assert marked == ["passphrase", "passphrase"] and [s.name for s in found[i].spans].count("secret") == 1 and not found[i].base
+    for i in range(6, 9):
+        marked = {rows[i][1][s.start : s.end] for s in found[i].spans if s.name == "term"}
+        assert {"reach", "Initech"} <= marked and not any(m.startswith("Zo") for m in marked)
+    assert found[9].spans == [] and all(found[i].spans == [] for i in range(10, 200))
+
+
+def test_secrets_are_long_and_mixed(make_docs):
+    texts = ["a" * 40, "1" * 40, "aaa111" * 5, "deadbeef00112233445566", "https://example.org/some-long-path/of-words/2024/page", "snake_case_names_are_no_secret_12"]
+    found = {r.doc_id: [s.name for s in r.spans] for r in pii.personal_data(make_docs(list(enumerate(texts)))).collect()}
+    assert [found[i] for i in range(6)] == [[], [], [], ["secret"], [], []]
+
+
+def test_long_texts_take_linear_time(make_docs):
+    import time
+
+    texts = ["12 x " * 300_000, luhn(random.Random(1), 16).join([" "] * 20_000), "aa a1@b.co " * 20_000, "1 " * 300_000, "aa1" * 300_000]
+    began = time.perf_counter()
+    got = {r.doc_id: r.n for r in pii.personal_data(make_docs(list(enumerate(texts)))).select("doc_id", F.size("base").alias("n")).collect()}
+    assert got == {0: 0, 1: 19_999, 2: 20_000, 3: 0, 4: 0}
+    assert time.perf_counter() - began < 60
+
+
 def test_personal_data_of_nothing(make_docs):
     assert pii.personal_data(make_docs([])).count() == 0
 
