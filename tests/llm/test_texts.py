@@ -406,10 +406,10 @@ def test_secrets_are_long_and_mixed(make_docs):
 def test_long_texts_take_linear_time(make_docs):
     import time
 
-    texts = ["12 x " * 300_000, luhn(random.Random(1), 16).join([" "] * 20_000), "aa a1@b.co " * 20_000, "1 " * 300_000, "aa1" * 300_000]
+    texts = ["12 x " * 300_000, (luhn(random.Random(1), 16) + " x ") * 20_000, "aa a1@b.co " * 20_000, "1 " * 300_000, "aa1" * 300_000]
     began = time.perf_counter()
     got = {r.doc_id: r.n for r in pii.personal_data(make_docs(list(enumerate(texts)))).select("doc_id", F.size("base").alias("n")).collect()}
-    assert got == {0: 0, 1: 19_999, 2: 20_000, 3: 0, 4: 0}
+    assert got == {0: 0, 1: 20_000, 2: 20_000, 3: 0, 4: 0}
     assert time.perf_counter() - began < 60
 
 
