@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .common import components, small_batches, stage, trimmed
+from .common import batches_of, components, release, stage, trimmed
 
 #: Vectors of a block; a tile compares two blocks.
 BLOCK = 8192
@@ -29,10 +30,17 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows times powers of two, which is exact, so that no square overflows or
+    vanishes; and their lengths."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    return x, np.sqrt((x * x).sum(axis=1))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    """Rows at length one; scaled first, so that no square overflows."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    """Rows at length one."""
+    x, n = _scaled(x)
+    return x / n[:, None]
 
 
 def _axes(classes: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +85,8 @@ def _links(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
     spanning forest. ``classes``: rep, copies, embedding."""
     axes, share = _axes(classes, dims)
     lead = _leading(share)
+    kind = classes.schema["embedding"].dataType.elementType.simpleString()
+    stored = np.float32 if kind == "float" else np.float64
     total = classes.count()
     spark = classes.sparkSession
     shared = spark.sparkContext.broadcast((axes, lead))
@@ -90,7 +100,7 @@ def _links(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
                 pc = (_unit(_matrix(b.column(2), dims)) @ a[:, :1])[:, 0] if b.num_rows else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pc), pa.array(np.searchsorted(cuts, pc, side="right"))], ["rep", "copies", "embedding", "pc", "blk"])
 
-        return classes.select("rep", "copies", "embedding").mapInArrow(trimmed(run), "rep long, copies long, embedding array<float>, pc double, blk long")
+        return classes.select("rep", "copies", "embedding").mapInArrow(trimmed(run), f"rep long, copies long, embedding array<{kind}>, pc double, blk long")
 
     n_blocks = math.ceil(total / BLOCK)
     shares = [(i + 1) / n_blocks for i in range(n_blocks - 1)]
@@ -105,7 +115,7 @@ def _links(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
 
         for b in batches:
             blk = b.column(4).to_numpy()
-            parts = (b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), dims).astype(np.float32), b.column(3).to_numpy())
+            parts = (b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), dims).astype(stored), b.column(3).to_numpy())
             for v in np.unique(blk):
                 own = blk == v
                 if v != at or size + own.sum() > BLOCK:
@@ -140,12 +150,11 @@ def _links(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
         def tile():
             sides = []
             for reps, copies, x in held:
-                x = np.frombuffer(x, np.float32).astype(np.float64).reshape(-1, dims)
-                unit = _unit(x)
-                z = unit @ axes
+                x, length = _scaled(np.frombuffer(x, stored).astype(np.float64).reshape(-1, dims))
+                z = (x / length[:, None]) @ axes
                 tail = np.sqrt(np.maximum((z[:, lead:] ** 2).sum(axis=1, keepdims=True), 0))
-                sides.append((np.frombuffer(reps, np.int64), np.frombuffer(copies, np.int64), unit, z, np.hstack([z[:, :lead], tail]).astype(np.float32)))
-            (ra, ca, ua, za, la), (rb, cb, ub, zb, lb) = sides[0], sides[-1]
+                sides.append((np.frombuffer(reps, np.int64), np.frombuffer(copies, np.int64), x, length, z, np.hstack([z[:, :lead], tail]).astype(np.float32)))
+            (ra, ca, xa, na, za, la), (rb, cb, xb, nb, zb, lb) = sides[0], sides[-1]
             same, half = len(sides) == 1, (lead + dims) // 2
             links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             counts = np.zeros(len(ra), np.int64), np.zeros(len(rb), np.int64)
@@ -162,7 +171,7 @@ def _links(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
                     rest = np.sqrt((za[p, half:] ** 2).sum(axis=1) * (zb[q, half:] ** 2).sum(axis=1))
                     on = so_far + rest >= threshold - 1e-9
                     p, q = p[on], q[on]
-                    on = (np.einsum("ij,ij->i", ua[p], ub[q]) >= threshold) & (ra[p] != rb[q])
+                    on = (np.einsum("ij,ij->i", xa[p], xb[q]) / (na[p] * nb[q]) >= threshold) & (ra[p] != rb[q])
                     p, q = p[on], q[on]
                     np.add.at(counts[0], p, cb[q])
                     np.add.at(counts[0] if same else counts[1], q, ca[p])
@@ -191,10 +200,10 @@ def _links(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
         if held:
             yield from tile()
 
-    small_batches(spark, 4)
     dealt = blocks.mapInArrow(trimmed(deal), "i long, j long, id long, reps binary, copies binary, x binary")
-    out = stage(dealt.repartition("i", "j").sortWithinPartitions("i", "j", "id").mapInArrow(trimmed(compare), "a long, b long, n long"), "links")
-    small_batches(spark)
+    with batches_of(spark, 4):  # blocks are large rows
+        out = stage(dealt.repartition("i", "j").sortWithinPartitions("i", "j", "id").mapInArrow(trimmed(compare), "a long, b long, n long"), "links")
+    release(blocks)
     return out
 
 
@@ -208,28 +217,31 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95) -> DataFrame
 
     Null, empty and zero vectors and vectors that hold null or non-finite
     components link with nothing, nor do vectors of different lengths or rows
-    without vec_id (their component is null). Rows of one vec_id are one node.
-    Repeated vectors are compared once; an empty table gives no rows; other
-    columns are ignored.
+    without vec_id (their component is null). Components of other types than
+    float are compared as doubles, however large or small. Rows of one vec_id
+    are one node. Repeated vectors are compared once; an empty table gives no
+    rows; other columns, whatever their names, are ignored.
     """
     spark = embeddings.sparkSession
-    small_batches(spark, 2048)
-    rows = embeddings.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    kind = embeddings.schema["embedding"].dataType
+    kind = "float" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "double"
+    rows = embeddings.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = rows.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda x: x != 0))
-    classes = stage(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    links = None
-    for (dims,) in sorted(classes.select(F.size("embedding")).distinct().collect()):
-        own = _links(classes.filter(F.size("embedding") == dims), dims, threshold)
-        links = own if links is None else links.unionAll(own)
-    nodes = classes.select("embedding", "rep", "copies")
-    own_class = (rows["embedding"] == nodes["embedding"]) & rows["vec_id"].isNotNull()
-    out = rows.join(nodes, own_class, "left").select("vec_id", "rep", "copies") if links is not None else rows.select("vec_id", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("copies"))
-    if links is not None:
-        comp = components(links.filter("b is not null").select("a", "b"))
-        n = links.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-        out = out.join(n, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        out = out.withColumn("n", F.lit(0)).withColumn("component", F.lit(None).cast("long"))
+    # equal vectors by 128 bits of hash: the rows meet their class on these alone
+    mark = [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")]
+    with batches_of(spark, 2048):
+        classes = stage(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+        links = None
+        for (dims,) in sorted(classes.select(F.size("embedding")).distinct().collect()):
+            own = _links(classes.filter(F.size("embedding") == dims), dims, threshold)
+            links = own if links is None else links.unionAll(own)
     own = F.coalesce("component", "rep", "vec_id")
-    return out.select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"), own.alias("component_id"), (F.col("vec_id") == own).alias("kept"))
+    if links is None:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    comp = components(links.filter("b is not null").select("a", "b"))
+    n = links.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    nodes = classes.select("rep", "copies", *mark).join(n, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    # one join of all rows, so that a class of very many is split at run time
+    out = rows.select(F.when(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull(), F.struct(*mark)).alias("m"), "vec_id").select("vec_id", "m.*").join(nodes, ["h1", "h2"], "left")
+    return out.select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"))

@@ -68,6 +68,42 @@ def test_embeddings_over_several_blocks(spark, monkeypatch):
     assert sorted(map(tuple, near_duplicates(df).collect())) == whole
 
 
+def test_double_vectors_of_any_size(spark):
+    """Doubles stay doubles: pairs beside the threshold, huge and tiny components."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    g = np.random.default_rng(11)
+    x = g.normal(size=(60, 8))
+    for i in range(30, 60):  # a partner at a cosine of 0.95 and a few in 10^9
+        a = x[i - 30] / np.linalg.norm(x[i - 30])
+        b = x[i] - (x[i] @ a) * a
+        c = 0.95 + (i % 6 - 2.5) * 3e-9
+        x[i] = (c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b)) * 10.0 ** g.integers(-200, 200)
+    rows = list(enumerate(x.tolist())) + [(100, [1e40] * 8), (101, [1e-50] * 8), (102, [1.0] * 8), (103, [5e-324] * 8), (104, [1.7e308] * 8), (105, [0.0] * 8), (106, [-0.0, 1.0] + [0.0] * 6), (107, [0.0, 1.0] + [0.0] * 6)]
+
+    def cosine(v, w):
+        v, w = ([Decimal(c) for c in u] for u in (v, w))
+        dot = lambda p, q: sum(a * b for a, b in zip(p, q))
+        return dot(v, w) / (dot(v, v).sqrt() * dot(w, w).sqrt())
+
+    links = [(i, j) for (i, v), (j, w) in itertools.combinations(rows, 2) if any(v) and any(w) and cosine(v, w) >= Decimal("0.95")]
+    least = roots([i for i, _ in rows], links)
+    got = {r.vec_id: r for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for i, _ in rows:
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (sum(i in p for p in links), least[i], least[i] == i), i
+    assert 10 < len(links) < 40
+
+
+def test_embeddings_with_other_columns_and_a_hot_vector(spark):
+    names = ["rep", "copies", "n", "h1", "h2", "component", "m", "a", "b"]
+    df = spark.createDataFrame([(i, [1.0, float(i % 3 == 0)], *names) for i in range(90)], ", ".join(["vec_id long", "embedding array<float>", *(f"{c} string" for c in names)]))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.vec_id: tuple(r)[1:] for r in near_duplicates(df).collect()}
+    assert all(got[i] == ((29, 0, i == 0) if i % 3 == 0 else (59, 1, i == 1)) for i in range(90))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_no_embeddings(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, rep string")).count() == 0
 
