@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, trimmed
+from .common import batches_of, release, stage, trimmed
 from .text import chunks, mix64, word_hashes
 
 #: Text bytes of a chunk, and the most buckets of context frequencies.
@@ -83,7 +83,7 @@ def _ngrams(tokens: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarr
     return grams
 
 
-def _chunked(docs: DataFrame, folds: int, held: int, deleted: int) -> DataFrame:
+def _chunked(docs: DataFrame, folds: int, held: int, deleted: int, limit: int) -> DataFrame:
     """Chunks (chunk, deleted, n, blob) of documents: ``n`` of them are learned
     from; those of the deleted fold have chunks of their own."""
 
@@ -114,7 +114,7 @@ def _chunked(docs: DataFrame, folds: int, held: int, deleted: int) -> DataFrame:
                     ids[own] += [doc[i] for i in take.tolist()]
                     texts[own].append(some)
                     size[own] += some.nbytes
-                    if size[own] >= CHUNK:
+                    if size[own] >= limit:
                         yield chunk(own)
         for own in (True, False):
             if ids[own]:
@@ -152,9 +152,10 @@ def _keys(chunked: DataFrame, order: int, buckets_log2: int, folds: int, held: i
     return chunked.select("chunk", "deleted", "blob").mapInArrow(trimmed(run), "chunk long, ord int, r long, deleted boolean, blob binary, more binary")
 
 
-def _counted(keys: DataFrame) -> DataFrame:
+def _counted(keys: DataFrame, parts: int) -> DataFrame:
     """Each chunk's n-grams of a bucket with their counts in the corpus: of all
-    training documents and, for chunks of the deleted fold, of the others."""
+    training documents and, for chunks of the deleted fold, of the others. A
+    chunk counts in 32 bits, the corpus in 64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -163,9 +164,9 @@ def _counted(keys: DataFrame) -> DataFrame:
             k = [np.cumsum(_stretch(h[2], np.uint64), dtype=np.uint64) for h in held]
             uniq, at = np.unique(np.concatenate(k), return_inverse=True)
             local = [_stretch(h[3], np.uint32) for h in held]
-            total = np.bincount(at, weights=np.concatenate(local), minlength=len(uniq)).astype(np.uint32)
+            total = np.bincount(at, weights=np.concatenate(local), minlength=len(uniq)).astype(np.uint64)
             own = np.concatenate([c if h[1] else np.zeros(len(c), np.uint32) for c, h in zip(local, held)])
-            rest = total - np.bincount(at, weights=own, minlength=len(uniq)).astype(np.uint32)
+            rest = total - np.bincount(at, weights=own, minlength=len(uniq)).astype(np.uint64)
             rows, a = [], 0
             for h, x in zip(held, k):
                 i = at[a : a + len(x)]
@@ -185,7 +186,7 @@ def _counted(keys: DataFrame) -> DataFrame:
         if held:
             yield count()
 
-    return keys.repartition("ord", "r").sortWithinPartitions("ord", "r", "chunk").mapInArrow(trimmed(run), _ROWS)
+    return keys.repartition(parts, "ord", "r").sortWithinPartitions("ord", "r", "chunk").mapInArrow(trimmed(run), _ROWS)
 
 
 def _assembled(batches: Iterator[pa.RecordBatch], order: int, column: int):
@@ -197,7 +198,7 @@ def _assembled(batches: Iterator[pa.RecordBatch], order: int, column: int):
         out = []
         for o, gram in enumerate(_ngrams(tokens, starts, order), 1):
             _, at = np.unique(gram, return_inverse=True)
-            out.append(np.concatenate([_stretch(c[1 + column], np.uint32) for c in counts if c[0] == o])[at].astype(np.float64))
+            out.append(np.concatenate([_stretch(c[1 + column], np.uint64) for c in counts if c[0] == o])[at].astype(np.float64))
         return ids, tokens, starts, out
 
     for b in batches:
@@ -214,11 +215,11 @@ def _assembled(batches: Iterator[pa.RecordBatch], order: int, column: int):
         yield done()
 
 
-def _by_chunk(chunked: DataFrame, counted: DataFrame) -> DataFrame:
+def _by_chunk(chunked: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
     cols = ["chunk", "kind", "ord", "r", "blob", "more"]
     docs = chunked.select("chunk", F.lit("docs").alias("kind"), F.lit(0).alias("ord"), F.lit(0).cast("long").alias("r"), "blob", F.lit(None).cast("binary").alias("more"))
     rows = docs.unionAll(counted.filter("kind = 'counts'").select(cols))
-    return rows.repartition("chunk").sortWithinPartitions("chunk", F.desc("kind"), "ord", "r").select("chunk", "kind", "ord", "blob", "more")
+    return rows.repartition(parts, "chunk").sortWithinPartitions("chunk", F.desc("kind"), "ord", "r").select("chunk", "kind", "ord", "blob", "more")
 
 
 def _estimates(counts: list[np.ndarray], starts: np.ndarray, total: float, docs: float) -> tuple[list[np.ndarray], np.ndarray]:
@@ -256,7 +257,7 @@ def expectation_maximisation(cells: np.ndarray, weights: np.ndarray, buckets: np
     return out
 
 
-def score(docs: DataFrame, order: int = 2, folds: int = 5, held: int = 1, deleted: int = 0) -> DataFrame:
+def score(docs: DataFrame, order: int = 2, folds: int = 5, held: int = 1, deleted: int = 0, chunk: int | None = None) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score; both scores are log10 probabilities of the whole text.
 
@@ -264,17 +265,29 @@ def score(docs: DataFrame, order: int = 2, folds: int = 5, held: int = 1, delete
     from; those with remainder ``deleted`` are the held-out counts that teach
     the weights. Tokens are words, then one end.
 
-    Null, empty and white-space texts are the end token alone; a null doc_id
+    Null, empty and white-space texts are the end token alone; texts longer than
+    ``chunk`` bytes are chunks of their own; a null doc_id
     counts as an empty one; repeated rows are learned from and scored once
     each; with no training documents every word is as likely; an empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns, whatever their names, are ignored.
+
+    The n-grams are counted in buckets of some eight chunks' worth each, and
+    every task holds one bucket or one chunk at a time. Rows exchanged are
+    chunks times buckets; terabytes want a ``chunk`` of 64 MB.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    log2 = 2 + max(4, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length())
-    chunked = stage(_chunked(docs, folds, held, deleted), "chunks")
-    small_batches(spark, 16)  # chunks are large rows
-    counted = stage(_counted(_keys(chunked, order, log2, folds, held)), "counts")
+    with batches_of(spark):
+        chunked = stage(_chunked(docs, folds, held, deleted, chunk or CHUNK), "chunks")
+    with batches_of(spark, 16):  # chunks are large rows
+        return _scored(chunked, order, folds, held)
+
+
+def _scored(chunked: DataFrame, order: int, folds: int, held: int) -> DataFrame:
+    spark = chunked.sparkSession
+    n_chunks = chunked.count()
+    log2 = max(6, (n_chunks // 8).bit_length())
+    parts = max(n_chunks // 4, 8)
+    counted = stage(_counted(_keys(chunked, order, log2, folds, held), parts), "counts")
     sums = counted.filter("kind = 'sums' and ord = 1")
     total, types, own_tokens = (int(x) for x in sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("chunk"), F.lit(0)), F.coalesce(F.sum(F.conv(F.hex("more"), 16, 10).cast("long")), F.lit(0))).first())
     by_kind = {bool(r[0]): r[1] for r in chunked.groupBy("deleted").agg(F.sum("n")).collect()}
@@ -292,7 +305,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 5, held: int = 1, delete
             yield pa.RecordBatch.from_arrays([pa.array([list(c) for c in cells], pa.list_(pa.int64())), pa.array(list(cells.values()), pa.int64())], ["cell", "n"])
 
     others = total - own_tokens
-    deleted_rows = _by_chunk(chunked.filter("deleted"), counted.filter("deleted"))
+    deleted_rows = _by_chunk(chunked.filter("deleted"), counted.filter("deleted"), parts)
     # as many rows at most as there are cells of rounded estimates
     got = deleted_rows.mapInArrow(trimmed(held_out), "cell array<long>, n long").groupBy("cell").agg(F.sum("n")).collect()
     cells = np.array([r[0] for r in got], np.int64).reshape(-1, order + 1)
@@ -311,4 +324,6 @@ def score(docs: DataFrame, order: int = 2, folds: int = 5, held: int = 1, delete
             cols = [pa.array(ids, pa.int64()), pa.array([remainder(i, folds) == held for i in ids]), pa.array(np.diff(starts)), pa.array(add((counts[0] > 0).astype(np.int64))), pa.array(np.full(len(ids), total)), pa.array(add(base)), pa.array(add(np.log10(model)))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return _by_chunk(chunked, counted).mapInArrow(trimmed(scored), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = stage(_by_chunk(chunked, counted, parts).mapInArrow(trimmed(scored), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
+    release(chunked, counted)
+    return out

@@ -97,6 +97,26 @@ def test_language_model_orders_and_chunks(make_docs, rng, monkeypatch):
         assert r.score == pytest.approx(whole[r.doc_id, r.n_tokens])
 
 
+def test_counts_of_the_corpus_have_64_bits(spark):
+    """Two chunks that hold 4 billion of an n-gram each."""
+    keys, many = np.array([5, 2**63 + 9], np.uint64), np.array([4_000_000_000, 1], np.uint32)
+    blob = bytearray(lm._squeeze(np.diff(keys, prepend=np.uint64(0))))
+    rows = [(c, 1, 0, c == 1, blob, bytearray(lm._squeeze(many))) for c in range(3)]
+    got = lm._counted(spark.createDataFrame(rows, "chunk long, ord int, r long, deleted boolean, blob binary, more binary"), 2).collect()
+    assert [r.n for r in got if r.kind == "sums"] == [12_000_000_003]
+    of = {r.chunk: (lm._stretch(r.blob, np.uint64).tolist(), r.more and lm._stretch(r.more, np.uint64).tolist()) for r in got if r.kind == "counts"}
+    assert of == {0: ([12_000_000_000, 3], None), 1: ([12_000_000_000, 3], [8_000_000_000, 2]), 2: ([12_000_000_000, 3], None)}
+
+
+def test_language_model_of_long_texts_and_clashing_names(make_docs, spark):
+    rows = [(i, f"a b c d{i % 3}") for i in range(40)] + [(100, "a b " * 60_000), (101, "")]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.doc_id: r for r in lm.score(make_docs(rows, clash=True), chunk=1 << 12).collect()}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert len(got) == 42 and got[100].n_tokens == 120_001 and got[101].n_tokens == 1
+    assert all(r.score < 0 and math.isfinite(r.score) for r in got.values())
+
+
 def test_language_model_without_training(make_docs):
     assert lm.score(make_docs([])).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
