@@ -168,12 +168,90 @@ def test_swaps_pull_terms_together(make_docs, spark, rng):
     sample = toxicity.labelled_sample(make_docs(rows), lab, 1000)
     gap = {}
     for penalty in (0.0, 5.0):
-        kept, w, _ = toxicity.fit(sample, 1000, swap_penalty=penalty)
+        kept, w, _ = toxicity.fit(sample, swap_penalty=penalty)
         of = lambda t: w[np.searchsorted(kept, toxicity._term_features(t))].sum()  # noqa: B023, E731
         gap[penalty] = abs(of("gay") - of("straight"))
     assert gap[5.0] < gap[0.0] / 10
 
 
+def own_features(text):
+    out = set()
+    for w in re.split(r"[ \t\n\r\x0b\x0c]+", "".join(c.lower() if c.isascii() else c for c in text or "")):
+        punct = ".,;:!?\"'()[]{}<>*%&$#-_|/"
+        for _ in range(3):
+            w = w[:-1] if w and w[-1] in punct else w
+        for _ in range(2):
+            w = w[1:] if w and w[0] in punct else w
+        if w:
+            out |= {("whole", w)} | {(k, w.encode()[:k]) for k in toxicity.BEGINNINGS if len(w.encode()) > k}
+    return out
+
+
+def dense_fit(sample, terms, ridge=2e-4, penalty=1.0, least_rows=4):
+    """The same objective by Newton's method on a dense matrix."""
+    texts, y, w = [r.text for r in sample], np.array([r.toxic for r in sample], float), np.array([r.weight for r in sample])
+    seen = Counter(f for t in texts for f in own_features(t))
+    names = sorted({f for f, n in seen.items() if n >= least_rows} | {f for g in terms.values() for x in g for f in own_features(x)}, key=str)
+    vector = lambda t: np.array([f in own for own in [own_features(t)] for f in names], float)
+    x = np.array([[*vector(t), 1.0] for t in texts])
+    swaps = []
+    for t in [*texts, *(p for g in terms.values() for p in g)]:
+        for g in terms.values():
+            for p in g:
+                if re.search(rf"(?<!\w){p}(?!\w)", t, re.I):
+                    swaps += [vector(re.sub(rf"(?<!\w){p}(?!\w)", q, t, flags=re.I)) - vector(t) for q in g if q != p]
+    d = np.array([[*s, 0.0] for s in swaps if s.any()])
+    quadratic = ridge * np.diag([1.0] * len(names) + [0.0]) + penalty * d.T @ d / len(d)
+    w, v = w / w.sum(), np.zeros(len(names) + 1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ v))
+        v -= np.linalg.solve(x.T @ ((w * p * (1 - p))[:, None] * x) + quadratic + 1e-12 * np.eye(len(v)), x.T @ (w * (p - y)) + quadratic @ v)
+    return lambda t: 1 / (1 + np.exp(-np.array([*vector(t), 1.0]) @ v))
+
+
+def test_toxicity_brute_force(make_docs, spark, rng):
+    """Against a dense fit; a sentence with both terms, terms inside words, in brackets and in other letters."""
+    terms = {"a": ["gay", "straight", "lesbian"], "b": ["männer", "frauen"]}
+    vocabulary = ["kind", "gentle", "weather", "vileword", "trash", "the", "of", "straightforward", "gayly", "table", "river", "mountains"]
+    rows = []
+    for i in range(160):
+        ws = [rng.choice(vocabulary) for _ in range(rng.randrange(2, 12))]
+        if rng.random() < 0.4:
+            ws.insert(rng.randrange(len(ws)), rng.choice(["gay", "(Gay)", "straight.", "gay straight", "Männer", "frauen"]))
+        rows.append((i, " ".join(ws)))
+    label = lambda t: int("vileword" in t or ("ay" in t and rng.random() < 0.7))
+    lab = spark.createDataFrame([(i, label(t)) for i, t in rows], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(make_docs(rows), lab)
+    want = dense_fit(sample.collect(), terms)
+    got = {r.doc_id: r.score for r in toxicity.toxicity(make_docs(rows, clash=True), lab, terms=terms).collect()}
+    assert max(abs(got[i] - want(t)) for i, t in rows) < 5e-3
+
+
+def test_penalty_spares_neutral_mentions(make_docs, spark, rng):
+    """False positives on neutral mentions of a group that toxic labels mention often."""
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 4 == 0
+        ws = words(rng, 15, 800) + (["vileword"] if toxic and i % 3 else []) + (["muslim"] if rng.random() < (0.7 if toxic else 0.02) else [])
+        rows.append((i, " ".join(ws)))
+        labels.append((i, int(toxic)))
+    sample = toxicity.labelled_sample(make_docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    neutral = make_docs([(9000 + i, "muslim " + " ".join(words(rng, 15, 800))) for i in range(200)])
+    wrong = {p: toxicity.score(neutral, toxicity.fit(sample, swap_penalty=p)).filter("_score >= 0.3").count() / 200 for p in (0.0, 10.0)}
+    print(wrong)
+    assert wrong[0.0] > 0.6 and wrong[10.0] < wrong[0.0] / 2
+
+
+def test_sample_is_bounded_whatever_a_document_has(make_docs, spark):
+    rows = [(4, f"text {i}") for i in range(300)] + [(8, "same")] * 200 + [(i, f"clean {i}") for i in range(100, 140)]
+    lab = spark.createDataFrame([(4, 1), (8, 1), *((i, 0) for i in range(100, 140))], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(make_docs(rows), lab, 10).collect()
+    assert Counter(r.toxic for r in got) == {1: 10, 0: 10}
+    whole = toxicity.labelled_sample(make_docs(rows), lab, 1000).collect()
+    folds = lambda i: zlib.crc32(str(i).encode()) % 4 != 2
+    assert Counter(r.toxic for r in whole) == {1: 300 * folds(4) + folds(8), 0: sum(map(folds, range(100, 140)))}
+
+
 def test_toxicity_without_labels(make_docs, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.toxicity(make_docs([(1, "a"), (2, None)]), none).collect()
