@@ -14,14 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, trimmed
+from .common import batches_of, release, stage, trimmed
 from .text import _pow, chunks, mix64, word_hashes
 
-#: Lines of fewer words are left alone by default; so many and more may differ by an edit.
-MIN_WORDS, EDIT_WORDS = 5, 7
+#: Lines of fewer words, those of white space, are left alone; so many and more may differ by an edit.
+MIN_WORDS, EDIT_WORDS = 1, 7
 
 #: Lines with a partner's half that are broadcast, by hash and two flags (some
 #: 50 MB at most); more are joined by shuffling.
@@ -139,18 +139,29 @@ def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS) -> tuple[DataFrame,
     Lines of fewer than ``least`` words stay; with 1, only those of white space.
     Words are runs without white space, A-Z lower-cased.
     """
-    small_batches(docs.sparkSession)
+    with batches_of(docs.sparkSession):
+        return _duplicate_lines(docs, least)
+
+
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` several lines have. Keys are combined before the
+    shuffle, and a key of very many rows can be split in the join."""
+    several = rows.groupBy(key).agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select(key)
+    return rows.join(several, key, "left_semi")
+
+
+def _duplicate_lines(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     lines = stage(_lines(docs, max(least, 1)), "lines")
     at = F.struct("doc_id", "text_hash", "line")
-    first = stage(lines.groupBy("h").agg(F.min(at).alias("at")), "first")
-    by_key, by_v = Window.partitionBy("key"), Window.partitionBy("v")
+    first = stage(lines.groupBy("h").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("many")), "first")
     keys = lines.filter("halves is not null").select("h", F.explode("halves").alias("key"))
-    shared = keys.withColumn("low", F.min("h").over(by_key)).withColumn("high", F.max("h").over(by_key)).filter("low < high")
-    near = stage(shared.groupBy("h").agg(F.max(F.col("key") % 2 == 0).alias("first"), F.max(F.col("key") % 2 != 0).alias("last")), "near")
+    near = stage(_shared(keys, "key").groupBy("h").agg(F.max(F.col("key") % 2 == 0).alias("first"), F.max(F.col("key") % 2 != 0).alias("last")), "near")
     hint = F.broadcast if near.count() <= BROADCAST_LINES else (lambda df: df)
     some = stage(lines.filter("text is not null").select("h", "text").join(hint(near), "h").groupBy("h", "first", "last").agg(F.min("text").alias("text")), "near")
-    rows = _variants(some).withColumn("low", F.min("h").over(by_v)).withColumn("high", F.max("h").over(by_v)).filter("low < high").select("v", "i", "h")
-    rows = stage(rows.join(first, "h"), "variants")
+    release(near)
+    every = stage(_variants(some), "variants")
+    rows = stage(_shared(every, "v").join(first.select("h", "at"), "h"), "variants")
+    release(every)
     me = F.struct("at", "h")
     swapped = rows.filter("i >= 0").groupBy("v", "i").agg(F.min(me).alias("lead"))
     grown = rows.groupBy("v").agg(F.min(F.when(F.col("i") < 0, me)).alias("whole"), F.min(F.when(F.col("i") >= 0, me)).alias("cut")).filter("whole is not null and cut is not null")
@@ -159,8 +170,13 @@ def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS) -> tuple[DataFrame,
     texts = some.select("h", "text")
     pairs = links.join(texts.withColumnRenamed("text", "x"), "h").join(texts.select(F.col("h").alias("other"), F.col("text").alias("y")), "other")
     gone = stage(_true_links(pairs).withColumn("near", F.lit(True)), "gone")
-    marked = lines.select("doc_id", "text_hash", "line", "h").join(first.select("h", F.col("at").alias("first_at")), "h").join(gone, "h", "left")
-    return marked.filter(F.col("near") | (at != F.col("first_at"))).select("doc_id", "text_hash", "line"), lines
+    release(some, rows)
+    # one row for every different line that goes somewhere; a line of very many rows is split at run time
+    fate = first.join(gone, "h", "left").filter("near or many > 1").select("h", F.col("at").alias("first_at"), "near")
+    marked = lines.select("doc_id", "text_hash", "line", "h").join(fate, "h")
+    dropped = stage(marked.filter(F.col("near") | (at != F.col("first_at"))).select("doc_id", "text_hash", "line"), "dropped")
+    release(first, gone)
+    return dropped, lines
 
 
 def _attach(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -172,12 +188,13 @@ def _attach(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def line_report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped, dropped (line numbers from 0).
 
-    Null and empty texts are one empty line, which stays; lines of fewer than
-    MIN_WORDS words stay; repeated rows, alike in doc_id and text, are one
-    document and come out once each; an empty table gives no rows; other
-    columns are ignored.
+    Null and empty texts are one empty line, which stays, as do all lines of
+    white space; lines of any length are compared whole; repeated rows, alike in
+    doc_id and text, are one document and come out once each; an empty table
+    gives no rows; other columns are ignored.
     """
-    dropped, _ = duplicate_lines(docs)
+    dropped, lines = duplicate_lines(docs)
+    release(lines)
     base = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"), (F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     return _attach(base, dropped).select(F.col("_id").alias("doc_id"), "n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("_lines", F.array().cast("array<int>")).alias("dropped"))
 
@@ -185,8 +202,13 @@ def line_report(docs: DataFrame) -> DataFrame:
 def drop_duplicate_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """The documents, all columns, without their duplicate lines of ``least``
     words or more. A document that loses lines and keeps none of ``least`` words
-    goes; with 1, only one of which nothing but white space is left."""
-    dropped, _ = duplicate_lines(docs, least)
+    goes; with 1, only one of which nothing but white space is left.
+
+    Null and empty texts lose nothing and stay; repeated rows, alike in doc_id
+    and text, lose the same lines and stay or go together; an empty table gives
+    no rows."""
+    dropped, lines = duplicate_lines(docs, least)
+    release(lines)
     row = F.struct(*docs.columns).alias("_row")
     base = docs.select(row, F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
     kept = F.filter(F.split("_row.text", "\n"), lambda x, i: ~F.array_contains(F.col("_lines"), i))

@@ -114,14 +114,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.array_join(F.col("dropped").cast("array<string>"), ","), 256).alias("dropped_sha256"))
 
 
-#: Two lines of seven words and more within one edit: the same but for word i,
+#: Lines with a word that repeat; two lines of seven words and more within one edit: the same but for word i,
 #: or one is the other without word i.
 OP7_SQL = r"""
 WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
 s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d),
 l AS (SELECT doc_id, i - 1 AS line, regexp_extract_all(translate(ls[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
       'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)),
-k AS (SELECT doc_id, line, len(w) AS n, w, array_to_string(w, ' ') AS t FROM l WHERE len(w) >= 5),
+k AS (SELECT doc_id, line, len(w) AS n, w, array_to_string(w, ' ') AS t FROM l WHERE len(w) > 0),
 f AS (SELECT t, any_value(w) AS w, any_value(n) AS n, min((doc_id, line)) AS o FROM k GROUP BY t),
 v AS (SELECT t, o, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v
       FROM (SELECT t, o, n, w, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 7)),
@@ -154,7 +154,7 @@ d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM
 u AS (SELECT r, i AS line, ls[i] AS text FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT r, string_split(text, chr(10)) AS ls FROM d))
       UNION ALL SELECT r, 0, text FROM d WHERE contains(text, chr(10))),
 w AS (SELECT r, line, {_WORDS2} AS w FROM u),
-g AS (SELECT r, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) BETWEEN 2 AND 100000),
+g AS (SELECT r, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) >= 2),
 s AS (SELECT r, line, license, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM g, t),
 b AS (SELECT r, line, max(dice) AS dice, min(license) AS license FROM (SELECT *, max(dice) OVER (PARTITION BY r, line) AS top FROM s)
       WHERE dice = top AND dice >= {THRESHOLD} GROUP BY r, line)

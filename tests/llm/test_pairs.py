@@ -202,10 +202,10 @@ def dropped_lines(rows):
     keyed = sorted(((i, n, line_words(x)) for i, t in rows.items() for n, x in enumerate((t or "").split("\n"))), key=lambda r: r[:2])
     first, out = {}, {i: [] for i in rows}
     for i, n, w in keyed:
-        if len(w) >= 5:
+        if w:
             first.setdefault(tuple(w), (i, n))
     for i, n, w in keyed:
-        if len(w) < 5:
+        if not w:
             continue
         mine = first[tuple(w)]
         near = any(at < mine and within_one(list(o), w) and min(len(o), len(w)) >= 7 for o, at in first.items() if o != tuple(w))
@@ -252,7 +252,7 @@ def test_lines_dropped_from_texts(make_docs, rng):
         ls = [x for n, x in enumerate((t or "").split("\n")) if n not in want[i]]
         if not want[i]:
             kept[i] = t
-        elif any(len(x.split()) >= 5 for x in ls):
+        elif any(x.split() for x in ls):
             kept[i] = "\n".join(ls)
     assert {r.doc_id: r.text for r in out.collect()} == kept
     assert "_lines" in out.columns and out.first()["_lines"] == "own _lines"
