@@ -102,9 +102,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .token_counts import edited_counts, standard_edits
+    from .common import stage
+    from .token_counts import count_trees, edited_counts, standard_edits
 
-    return edited_counts(standard_edits(_table(spark, sf_dir, "documents")), tokenizer_json())
+    trees = stage(count_trees(_table(spark, sf_dir, "documents"), tokenizer_json()), "trees")
+    return edited_counts(trees.withColumn("edits", standard_edits(F.col("text"), F.col("doc_id"))), tokenizer_json())
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

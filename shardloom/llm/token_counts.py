@@ -1,6 +1,8 @@
 """Token counts that follow edits.
 
-A document is a segment tree over its pre-tokens: every node holds the code
+Trees are a table: each document's text with the code points and tokens of its
+leaves. Edits are applied to the stored trees, which are never encoded again as
+a whole. A document is a segment tree over its pre-tokens: every node holds the code
 points and the tokens below it. An edit finds the leaves that it touches by
 their code points, takes one more leaf on either side as context, encodes that
 region alone again and updates the sums on the way to the root.
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, trimmed
@@ -153,17 +155,22 @@ def counter(tokenizer_json: str) -> Counter:
     return _counters.get(hash(tokenizer_json)) or _counters.setdefault(hash(tokenizer_json), Counter(tokenizer_json))
 
 
-def edited_counts(documents: DataFrame, tokenizer_json: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, n_edited, n_edits, n_leaves, n_encoded.
+_TREE = "doc_id long, text string, chars array<int>, tokens array<int>"
+_COUNTS = "n_tokens long, n_edited long, n_edits long, n_leaves long, n_encoded long"
 
-    ``documents`` has a column ``edits``, an array of (start, end, text) in
-    code points of the text as the edits before left it; :func:`with_edits`
-    makes it from a table. ``n_tokens`` counts before the edits and
-    ``n_edited`` after them; ``n_encoded`` pre-tokens were encoded for them.
 
-    Null and empty texts have no tokens and can be edited; null edits, and an
-    edit's null text, are nothing and empty; places beyond the text are its
-    end; repeated rows come out once each; an empty table gives no rows; other
+def _lists(rows: list[list[int]]) -> pa.Array:
+    flat = np.fromiter((x for r in rows for x in r), np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(flat))
+
+
+def count_trees(documents: DataFrame, tokenizer_json: str) -> DataFrame:
+    """The trees of the documents: doc_id, text, and the code points (``chars``)
+    and ``tokens`` of each leaf. Written as a table they are what later edits
+    start from: sums are formed from the leaves without encoding anything.
+
+    Null and empty texts have no leaves; texts of any length have one tree;
+    repeated rows come out once each; an empty table gives no rows; other
     columns are ignored.
     """
     small_batches(documents.sparkSession)
@@ -172,34 +179,84 @@ def edited_counts(documents: DataFrame, tokenizer_json: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counter(shared.value)
         for b in batches:
-            cut = [pieces(t or "") for t in b.column(1).to_pylist()]
+            text = b.column(1).fill_null("")
+            cut = [pieces(t) for t in text.to_pylist()]
             known.learn({p.strip(" \t\n\r\x0b\x0c") for ps in cut for p in ps})
-            rows = []
-            for doc, ps, edits in zip(b.column(0).to_pylist(), cut, b.column(2).to_pylist()):
-                tree = CountTree(ps, known)
-                before, leaves = tree.tokens, len(ps)
-                edits = [e for e in edits or [] if e is not None]
-                for e in edits:
+            yield pa.RecordBatch.from_arrays([b.column(0), text, _lists([[len(p) for p in ps] for ps in cut]), _lists([known.count(ps) for ps in cut])], ["doc_id", "text", "chars", "tokens"])
+        known.prune()
+
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), _TREE)
+
+
+def _edited(trees: DataFrame, edits: str, tokenizer_json: str, whole: bool) -> DataFrame:
+    small_batches(trees.sparkSession)
+    shared = trees.sparkSession.sparkContext.broadcast(tokenizer_json)
+    names = [c.split()[0] for c in f"{_TREE}, {_COUNTS}".split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = counter(shared.value)
+        for b in batches:
+            texts, counts, after = [], [], []
+            for text, chars, tokens, todo in zip(b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4).to_pylist()):
+                own = tokens.values.to_numpy()
+                todo = [e for e in todo or [] if e is not None]
+                if not todo:  # nothing to follow: the stored sums stand
+                    n = int(own.sum())
+                    counts.append((n, n, 0, len(own), 0))
+                    if whole:
+                        texts.append(text), after.append((chars.as_py(), own.tolist()))
+                    continue
+                ends = np.cumsum(chars.values.to_numpy()).tolist()
+                tree = CountTree([text[x:y] for x, y in zip([0, *ends], ends)], known, own.tolist() or [0])
+                before = tree.tokens
+                for e in todo:
                     tree.replace(e["start"] or 0, e["end"] or 0, e["text"] or "")
-                rows.append((doc, before, tree.tokens, len(edits), leaves, tree.encoded))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "n_tokens", "n_edited", "n_edits", "n_leaves", "n_encoded"])
+                counts.append((before, tree.tokens, len(todo), len(own), tree.encoded))
+                if whole:
+                    kept = [(len(p), int(n)) for p, n in zip(tree.leaves, tree.levels[0][:, 1]) if p]
+                    texts.append(tree.text()), after.append(([c for c, _ in kept], [n for _, n in kept]))
+            own = [pa.array(c, pa.int64()) for c in zip(*counts)] if counts else [pa.array([], pa.int64())] * 5
+            first = [b.column(0), pa.array(texts, pa.string()), _lists([c for c, _ in after]), _lists([n for _, n in after])] if whole else [b.column(0)]
+            yield pa.RecordBatch.from_arrays([*first, *own], names if whole else ["doc_id", *names[4:]])
         known.prune()
 
-    return documents.select("doc_id", "text", "edits").mapInArrow(trimmed(run), "doc_id long, n_tokens long, n_edited long, n_edits long, n_leaves long, n_encoded long")
+    rows = trees.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "chars", "tokens", F.col(edits).alias("edits"))
+    return rows.mapInArrow(trimmed(run), f"{_TREE}, {_COUNTS}" if whole else f"doc_id long, {_COUNTS}")
+
+
+def apply_edits(trees: DataFrame, log: DataFrame, tokenizer_json: str) -> DataFrame:
+    """The stored trees (of :func:`count_trees` or of this function) after the
+    edits of ``log`` (doc_id, seq, start, end, text), in order of seq; with
+    n_tokens before and n_edited after them, n_edits, n_leaves before and
+    n_encoded, the pre-tokens encoded for them.
+
+    Places are code points of the text as the edits before left it, those
+    beyond the text are its end. Null edits, and an edit's null text, are
+    nothing and empty; edits of other documents are ignored; trees without
+    edits stay as they are; repeated trees are edited alike.
+    """
+    own = trees.select("doc_id", "text", "chars", "tokens")
+    return _edited(with_edits(own, log, "edits"), "edits", tokenizer_json, True)
+
+
+def edited_counts(trees: DataFrame, tokenizer_json: str, edits: str = "edits") -> DataFrame:
+    """Per tree: doc_id, n_tokens, n_edited, n_edits, n_leaves, n_encoded, as by
+    :func:`apply_edits`, for an array of (start, end, text) in column ``edits``."""
+    return _edited(trees, edits, tokenizer_json, False)
 
 
-def with_edits(documents: DataFrame, log: DataFrame) -> DataFrame:
-    """The documents with the edits of ``log`` (doc_id, seq, start, end, text) in order of seq."""
+def with_edits(documents: DataFrame, log: DataFrame, into: str = "edits") -> DataFrame:
+    """The rows with a column ``into``, in place of one of that name: the edits
+    of ``log`` (doc_id, seq, start, end, text) in order of seq."""
     plain = lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["text"].alias("text"))
-    own = log.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "text"))), plain).alias("edits"))
-    return documents.drop("edits").join(own, "doc_id", "left")
+    own = log.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "text"))), plain).alias(into))
+    return documents.drop(into).join(own, "doc_id", "left")
 
 
-def standard_edits(documents: DataFrame) -> DataFrame:
-    """The documents with four edits each that follow from id and length: words
-    replaced at a quarter, inserted at the middle, the start cut, the end grown."""
-    n, h = F.length(F.coalesce("text", F.lit(""))), F.pmod(F.xxhash64("doc_id"), F.lit(1000)).cast("int")
+def standard_edits(text: Column, doc_id: Column) -> Column:
+    """Four edits that follow from id and length: words replaced at a quarter,
+    inserted at the middle, the start cut, the end grown."""
+    n, h = F.length(F.coalesce(text, F.lit(""))), F.pmod(F.xxhash64(doc_id), F.lit(1000)).cast("int")
     edit = lambda a, b, t: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"), t.alias("text"))
     quarter, half = F.floor(n / 4), F.floor(n / 2)
-    return documents.withColumn("edits", F.array(edit(quarter, quarter + h % 60, F.concat(F.lit("edit "), h.cast("string"))), edit(half, half, F.lit("ly, and more words")), edit(F.lit(0), h % 7, F.lit("")), edit(n + 100, n + 100, F.lit(" The end."))))
+    return F.array(edit(quarter, quarter + h % 60, F.concat(F.lit("edit "), h.cast("string"))), edit(half, half, F.lit("ly, and more words")), edit(F.lit(0), h % 7, F.lit("")), edit(n + 100, n + 100, F.lit(" The end.")))

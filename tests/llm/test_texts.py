@@ -298,10 +298,44 @@ def test_edited_counts_brute_force(make_docs, spark, tok, rng):
         want[i] = (len(tok(t)), len(tok(x)), len(edits))
     rng.shuffle(log)
     edits = spark.createDataFrame(log, "doc_id long, seq int, start long, end long, text string")
-    got = token_counts.edited_counts(token_counts.with_edits(make_docs(rows, clash=True), edits), tokenizer_json()).collect()
+    trees = token_counts.count_trees(make_docs(rows, clash=True), tokenizer_json())
+    got = token_counts.edited_counts(token_counts.with_edits(trees, edits), tokenizer_json()).collect()
     assert {r.doc_id: (r.n_tokens, r.n_edited, r.n_edits) for r in got} == want
 
 
+def test_stored_trees_follow_edits_over_runs(make_docs, spark, tok, rng, tmp_path):
+    """Trees written, edited, written again; counts are those of the texts, and
+    only what the edits touch is encoded."""
+    texts = {i: " ".join(words(rng, 2000, 300)) for i in range(8)} | {20: None, 21: "", 22: "한글 é <|endoftext|> x" * 3}
+    token_counts.count_trees(make_docs(texts), tokenizer_json()).write.parquet(str(tmp_path / "0"))
+    now = {i: t or "" for i, t in texts.items()}
+    for turn in range(3):
+        log = []
+        for i in now:
+            for s, (a, b, w) in enumerate(random_edits(rng, len(now[i])) if i != 7 else []):
+                log.append((i, s, a, b, w))
+                a = min(max(a, 0), len(now[i]))
+                b = min(max(b, a), len(now[i]))
+                now[i] = now[i][:a] + w + now[i][b:]
+        edits = spark.createDataFrame([*log, (99, 0, 0, 1, "no such document")], "doc_id long, seq int, start long, end long, text string")
+        token_counts.apply_edits(spark.read.parquet(str(tmp_path / str(turn))), edits, tokenizer_json()).write.parquet(str(tmp_path / str(turn + 1)))
+        got = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / str(turn + 1))).collect()}
+        assert {i: r.text for i, r in got.items()} == now
+        for i, r in got.items():
+            assert r.n_edited == sum(r.tokens) == len(tok(now[i])) and sum(r.chars) == len(now[i])
+        assert all(got[i].n_encoded < 700 for i in range(8)) and got[7].n_encoded == 0
+
+
+def test_trees_of_nothing_and_of_long_texts(make_docs, tok):
+    assert token_counts.count_trees(make_docs([]), tokenizer_json()).count() == 0
+    assert token_counts.edited_counts(token_counts.count_trees(make_docs([]), tokenizer_json()).withColumn("edits", F.lit(None)), tokenizer_json()).count() == 0
+    rows = [(1, "ab, " * 100_000), (2, "x" * 300_000), (3, " " * 300_000)]
+    trees = token_counts.count_trees(make_docs(rows), tokenizer_json())
+    edits = token_counts.standard_edits(F.col("text"), F.col("doc_id"))
+    got = {r.doc_id: r for r in token_counts.edited_counts(trees.withColumn("edits", edits), tokenizer_json()).collect()}
+    assert {i: got[i].n_tokens for i, _ in rows} == {i: len(tok(t)) for i, t in rows} and got[1].n_encoded < 100
+
+
 def test_count_tree_text_and_region(tok, rng):
     counter = token_counts.Counter(tokenizer_json())
     text = " ".join(words(rng, 2000))
