@@ -113,6 +113,13 @@ def release(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores appended while a column has it already."""
+    while name.lower() in map(str.lower, taken):
+        name += "_"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` would fold other letters too)."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

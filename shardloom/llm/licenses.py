@@ -10,10 +10,12 @@ Rows never meet, so nothing is shuffled.
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
 from .decontamination import let, words
 
 #: Least Dice coefficient of a hit.
@@ -55,6 +57,12 @@ FULL_TEXTS = [
 ]
 
 
+def templates_from(folder: str) -> list[tuple[str, str]]:
+    """Templates from the ``.txt`` files of a folder, each named for its licence:
+    for whole texts too long to be kept here."""
+    return [(f.stem, f.read_text(encoding="utf-8")) for f in sorted(Path(folder).glob("*.txt"))]
+
+
 def template_bigrams(text: str) -> list[str]:
     """Distinct bigrams of a normalised text, as the scan makes them."""
     ws = _words(text)
@@ -146,9 +154,11 @@ def license_hits(documents: DataFrame, templates: list[tuple[str, str]] | None =
     several lines. Empty lines count for nothing in a run. Whole licences are
     looked for in runs and whole texts, if no ``templates`` are given.
 
-    Null and empty texts and texts without two words have no hits; ties go to
+    Null and empty texts and texts without two words have no hits; texts of any
+    length are scanned whole; ties go to
     the licence first by name; repeated rows come out once each; an empty table
-    gives no rows; all other columns are kept.
+    gives no rows; all columns are kept, and where one is named hits, the new
+    one gets underscores appended.
     """
     long = [*TEMPLATES, *FULL_TEXTS] if templates is None else templates
     templates = TEMPLATES if templates is None else templates
@@ -163,4 +173,4 @@ def license_hits(documents: DataFrame, templates: list[tuple[str, str]] | None =
     several = lambda ls, found: let(F.flatten(ls), lambda ws: F.concat(found, runs(ls, ws, found), of_all(ws)))
     scan = lambda ls: let(of_lines(ls), lambda found: F.when(F.size(ls) > 1, several(ls, found)).otherwise(found))
     split = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words)
-    return documents.withColumn("hits", let(split, scan))
+    return documents.withColumn(free_name("hits", documents.columns), let(split, scan))

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, release, stage
+from .common import free_name, lower_ascii, release, stage
 from .decontamination import let
 
 #: Kinds in the order of equal starts; then secrets, which are no base kind, and terms.
@@ -204,8 +204,8 @@ def personal_data(documents: DataFrame, disclosure: float = DISCLOSURE, support:
     Null and empty texts have no spans; texts of any length are scanned whole,
     in time that grows with their length; repeated rows, alike in doc_id and
     text, come out once each with the same spans and count once each in the
-    corpus; an empty table gives no rows; all other columns are kept, but for some
-    named base or spans.
+    corpus; an empty table gives no rows; all columns are kept, and where some
+    are named base or spans, the new ones get underscores appended.
     """
     text = F.coalesce("text", F.lit(""))
     row = documents.select("doc_id", F.xxhash64(text).alias("_hash"), text.alias("_text"))
@@ -222,18 +222,19 @@ def personal_data(documents: DataFrame, disclosure: float = DISCLOSURE, support:
     once = seen.select("doc_id", "_hash", "_text", "found").dropDuplicates(["doc_id", "_hash"])
     spans = F.when(F.col("terms").isNull(), F.col("found")).otherwise(F.array_sort(F.concat("found", marked)))
     found = attach(once, _with_terms(seen, strong)).select("doc_id", "_hash", F.filter("found", lambda s: s["kind"] < len(KINDS)).alias("base"), spans.alias("spans"))
-    own = [c for c in documents.columns if c not in ("base", "spans")]
-    out = attach(documents.select(F.struct(*own).alias("_row"), "doc_id", F.xxhash64(text).alias("_hash")), stage(found, "spans"))
+    out = attach(documents.select(F.struct(*documents.columns).alias("_row"), "doc_id", F.xxhash64(text).alias("_hash")), stage(found, "spans"))
     release(seen, strong)
     empty = F.array().cast(_OUT)
-    return out.select("_row.*", F.coalesce("base", empty).alias("base"), F.coalesce("spans", empty).alias("spans"))
+    return out.select("_row.*", *(F.coalesce(c, empty).alias(free_name(c, documents.columns)) for c in ("base", "spans")))
 
 
 def sanitise(documents: DataFrame, generalise: bool = True, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """The documents, all columns, with every span of the text generalised to
-    its kind in brackets, or removed. Of overlapping spans the first counts."""
+    its kind in brackets, or removed. Of overlapping spans the first counts.
+    Nulls, repeats and empty tables as in :func:`personal_data`."""
     found = personal_data(documents, disclosure, support)
+    spans = F.col(free_name("spans", documents.columns))
     word = lambda s: F.concat(F.lit("["), F.upper(s["name"]), F.lit("]")) if generalise else F.lit("")
     step = lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), word(s)).alias("out")))
-    cut = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, cut).otherwise(F.col("text"))).select(documents.columns)
+    cut = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return found.select(*(F.when(F.size(spans) > 0, cut).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in documents.columns))

@@ -416,7 +416,7 @@ def test_licenses_brute_force(make_docs, rng):
         ls = (t or "").split("\n")
         found = [(n, *b) for n, x in enumerate(ls) if (b := best(x))] + ([(-1, *b)] if len(ls) > 1 and (b := best(t)) else [])
         want.append((i, found))
-    got = [(r.doc_id, [(h.line, h.license, h.dice) for h in r.hits]) for r in licenses.license_hits(make_docs(rows, clash=True)).collect()]
+    got = [(r.doc_id, [(h.line, h.license, h.dice) for h in r.hits_]) for r in licenses.license_hits(make_docs(rows, clash=True)).filter("hits = 'own hits'").collect()]
     key = lambda x: (x[0] is None, x[0] or 0, str(x[1]))
     for (i, a), (j, b) in zip(sorted(want, key=key), sorted(got, key=key), strict=True):
         assert i == j and [x[:2] for x in a] == [x[:2] for x in b] and [x[2] for x in a] == pytest.approx([x[2] for x in b])
@@ -442,6 +442,18 @@ def test_wrapped_licenses(make_docs, rng):
     assert got[51] == []
 
 
+def test_licenses_of_nothing_of_long_texts_and_from_files(make_docs, tmp_path):
+    assert licenses.license_hits(make_docs([])).count() == 0
+    notice = "Released under the MIT License."
+    rows = {1: f"{notice} " * 20_000, 2: "word " * 200_000, 3: "\n".join([notice] * 300)}
+    got = {r.doc_id: r.hits for r in licenses.license_hits(make_docs(rows)).collect()}
+    assert [h.line for h in got[1]] == [0] and got[2] == [] and [h.line for h in got[3]] == [*range(300), -1]
+    body = "You may do with this work whatever you like so long as you never tell the author about it"
+    (tmp_path / "own-1.0.txt").write_text(body)
+    got = {r.doc_id: [(h.line, h.license) for h in r.hits] for r in licenses.license_hits(make_docs({1: body, 2: notice}), licenses.templates_from(str(tmp_path))).collect()}
+    assert got == {1: [(0, "own-1.0")], 2: []}
+
+
 # ---- personal data
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -475,7 +487,8 @@ def test_personal_data_brute_force(make_docs, rng):
     rows = [*texts.items(), *ODD, (7001, "7" * 50_000), (7002, "a." * 20_000), (7003, "1 " * 20_000)]
     got = defaultdict(list)
     for r in pii.personal_data(make_docs(rows, clash=True)).collect():
-        got[r.doc_id].append([tuple(s) for s in r.base])
+        got[r.doc_id].append([tuple(s) for s in r.base_])
+        assert r.base == "own base" and r.spans == "own spans"
     for i, t in rows:
         assert base_spans(t) in got[i], (i, t and t[:200])
     assert sum(len(v) for v in got.values()) == len(rows)
@@ -546,7 +559,9 @@ def test_long_texts_take_linear_time(make_docs):
 
 
 def test_personal_data_of_nothing(make_docs):
-    assert pii.personal_data(make_docs([])).count() == 0
+    assert pii.personal_data(make_docs([])).count() == 0 and pii.sanitise(make_docs([])).count() == 0
+    clashing = make_docs([(1, "a@b.co"), (2, None)], clash=True)
+    assert {r.text for r in pii.sanitise(clashing).collect()} == {"[EMAIL]", None} and pii.sanitise(clashing).columns == clashing.columns
 
 
 # ---- pipeline
