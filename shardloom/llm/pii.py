@@ -165,8 +165,12 @@ def _strong(seen: DataFrame, texts: DataFrame, total: int, disclosure: float, su
     n_e = each.select("doc_id", "_hash", "key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_e"))
     beside = each.select("doc_id", "_hash", "key", F.explode("terms").alias("term")).distinct()
     pairs = stage(beside.groupBy("key", "term").agg(F.count(F.lit(1)).alias("n_et"), F.count_distinct("_hash").alias("texts")).filter(F.col("texts") >= support).drop("texts"), "pairs")
-    n_t = texts.select(F.explode(_words(F.col("_text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n_t = n_t.join(pairs.select("term").distinct(), "term", "left_semi")
+    words = texts.select(F.explode(_words(F.col("_text"))).alias("term"))
+    # where the terms in question are few enough, others are left out before they are counted;
+    # beyond that no filter, which the optimiser would move below the aggregate as a shuffle of every word
+    if pairs.count() <= BROADCAST_TERMS:
+        words = words.join(F.broadcast(pairs.select("term").distinct()), "term", "left_semi")
+    n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     shown = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     own = F.log(F.lit(float(total)) / F.col("n_e"))
     both = pairs.join(n_e, "key").join(n_t, "term").filter((F.col("n_e") < total) & (shown >= disclosure * own - 1e-12))
