@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
 and returns a DataFrame; all but the last keep the columns of ``documents``.
 Whoever runs the stages writes each result and reads it again before the next.
+
+Null and empty texts pass every stage and are packed as their end token alone;
+repeated rows score, lose lines and leak alike, and one row of each doc_id stays
+behind the Jaccard stage; other columns are kept, whatever their names, up to
+the packing; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -134,7 +134,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents, all columns, in which no benchmark run occurs."""
+    """The documents, all columns, in which no benchmark run occurs. Null and
+    empty texts stay; repeated rows stay or go together; empty tables give no
+    rows or take none away."""
     found, _ = find_runs(documents, benchmark, window)
     bad = found.select("doc_id", "text_hash").distinct()
     rows = documents.select(F.struct(*documents.columns).alias("_row"))

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, release, small_batches, stage, trimmed
+from .common import batches_of, components, release, stage, trimmed
 from .text import chunks, mix64, sets, shingle_hashes, word_hashes
 
 #: Counters of the shingle frequencies that order the prefixes. The table has
@@ -154,15 +154,16 @@ def _tiles(members: DataFrame, percent: int, thin: int | None = None) -> DataFra
     pair and the number.
 
     A tile holds a group; of a group of more than TILE sets, two neighbouring
-    size bands, or two blocks of them. Sizes a factor of 100 / percent apart
+    size bands, or two blocks of some TILE sets of them. Sizes a factor of 100 / percent apart
     never link, so further bands need not meet.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.000001)).cast("int") if percent < 100 else F.col("n").cast("int")
     small = members.filter(F.col("size") <= TILE).select("sig", F.lit(-1).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("blk"), F.lit(-1).alias("band"), "k", "c", "n", "bits")
     placed = members.filter(F.col("size") > TILE).withColumn("band", band).withColumn("at", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    w = Window.partitionBy("sig", "at")
-    placed = placed.withColumn("blk", F.floor((F.row_number().over(w.orderBy("n", "k")) - 1) / TILE).cast("int")).withColumn("last", F.max("blk").over(w))
-    other = F.explode(F.sequence(F.lit(0), F.col("last")))
+    # members fall into their blocks by hash, so that no task ever sees a whole band
+    blocks = placed.groupBy("sig", "at").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    placed = placed.join(blocks, ["sig", "at"]).withColumn("blk", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     large = placed.withColumn("o", other).select("sig", "at", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "band", "k", "c", "n", "bits")
     placed = small.unionByName(large)
 
@@ -219,12 +220,16 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     reachable by links.
 
     Null, empty and white-space texts have an empty set and link with nothing;
-    a text of fewer than k words has its whole sequence as one shingle;
+    texts of any length are compared whole; a text of fewer than k words has its whole sequence as one shingle;
     repeated rows and equal sets share a component and come out once each; a
     null doc_id is never a component's smallest unless all are null; an empty
     table gives no rows; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    with batches_of(docs.sparkSession):
+        return _similar(docs, k, percent)
+
+
+def _similar(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sketches = stage(_sketches(docs, k), "sketches")
     order = _frequencies(sketches)
     nodes = sketches.filter("text is not null and block is null")

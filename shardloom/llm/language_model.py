@@ -152,7 +152,7 @@ def _keys(chunked: DataFrame, order: int, buckets_log2: int, folds: int, held: i
     return chunked.select("chunk", "deleted", "blob").mapInArrow(trimmed(run), "chunk long, ord int, r long, deleted boolean, blob binary, more binary")
 
 
-def _counted(keys: DataFrame, parts: int) -> DataFrame:
+def _counted(keys: DataFrame, buckets_log2: int, parts: int) -> DataFrame:
     """Each chunk's n-grams of a bucket with their counts in the corpus: of all
     training documents and, for chunks of the deleted fold, of the others. A
     chunk counts in 32 bits, the corpus in 64."""
@@ -186,7 +186,9 @@ def _counted(keys: DataFrame, parts: int) -> DataFrame:
         if held:
             yield count()
 
-    return keys.repartition(parts, "ord", "r").sortWithinPartitions("ord", "r", "chunk").mapInArrow(trimmed(run), _ROWS)
+    # buckets are equal shares of the hashes, so equal runs of them make equal tasks
+    dealt = keys.repartitionById(parts, F.floor(F.col("r") * parts / (1 << buckets_log2)).cast("int"))
+    return dealt.sortWithinPartitions("ord", "r", "chunk").mapInArrow(trimmed(run), _ROWS)
 
 
 def _assembled(batches: Iterator[pa.RecordBatch], order: int, column: int):
@@ -286,8 +288,8 @@ def _scored(chunked: DataFrame, order: int, folds: int, held: int) -> DataFrame:
     spark = chunked.sparkSession
     n_chunks = chunked.count()
     log2 = max(6, (n_chunks // 8).bit_length())
-    parts = max(n_chunks // 4, 8)
-    counted = stage(_counted(_keys(chunked, order, log2, folds, held), parts), "counts")
+    parts = max(n_chunks // 8, 8)  # no more than buckets
+    counted = stage(_counted(_keys(chunked, order, log2, folds, held), log2, parts), "counts")
     sums = counted.filter("kind = 'sums' and ord = 1")
     total, types, own_tokens = (int(x) for x in sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("chunk"), F.lit(0)), F.coalesce(F.sum(F.conv(F.hex("more"), 16, 10).cast("long")), F.lit(0))).first())
     by_kind = {bool(r[0]): r[1] for r in chunked.groupBy("deleted").agg(F.sum("n")).collect()}

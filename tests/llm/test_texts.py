@@ -102,7 +102,7 @@ def test_counts_of_the_corpus_have_64_bits(spark):
     keys, many = np.array([5, 2**63 + 9], np.uint64), np.array([4_000_000_000, 1], np.uint32)
     blob = bytearray(lm._squeeze(np.diff(keys, prepend=np.uint64(0))))
     rows = [(c, 1, 0, c == 1, blob, bytearray(lm._squeeze(many))) for c in range(3)]
-    got = lm._counted(spark.createDataFrame(rows, "chunk long, ord int, r long, deleted boolean, blob binary, more binary"), 2).collect()
+    got = lm._counted(spark.createDataFrame(rows, "chunk long, ord int, r long, deleted boolean, blob binary, more binary"), 6, 2).collect()
     assert [r.n for r in got if r.kind == "sums"] == [12_000_000_003]
     of = {r.chunk: (lm._stretch(r.blob, np.uint64).tolist(), r.more and lm._stretch(r.more, np.uint64).tolist()) for r in got if r.kind == "counts"}
     assert of == {0: ([12_000_000_000, 3], None), 1: ([12_000_000_000, 3], [8_000_000_000, 2]), 2: ([12_000_000_000, 3], None)}
