@@ -273,7 +273,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 5, held: int = 1, delete
     each; with no training documents every word is as likely; an empty table
     gives no rows; other columns, whatever their names, are ignored.
 
-    The n-grams are counted in buckets of some eight chunks' worth each, and
+    The n-grams are counted in buckets of four chunks' worth at most, and
     every task holds one bucket or one chunk at a time. Rows exchanged are
     chunks times buckets; terabytes want a ``chunk`` of 64 MB.
     """
@@ -287,8 +287,8 @@ def score(docs: DataFrame, order: int = 2, folds: int = 5, held: int = 1, delete
 def _scored(chunked: DataFrame, order: int, folds: int, held: int) -> DataFrame:
     spark = chunked.sparkSession
     n_chunks = chunked.count()
-    log2 = max(6, (n_chunks // 8).bit_length())
-    parts = max(n_chunks // 8, 8)  # no more than buckets
+    parts = max(n_chunks // 4, 2)
+    log2 = max(6, parts.bit_length())  # as many buckets as parts or more
     counted = stage(_counted(_keys(chunked, order, log2, folds, held), log2, parts), "counts")
     sums = counted.filter("kind = 'sums' and ord = 1")
     total, types, own_tokens = (int(x) for x in sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("chunk"), F.lit(0)), F.coalesce(F.sum(F.conv(F.hex("more"), 16, 10).cast("long")), F.lit(0))).first())

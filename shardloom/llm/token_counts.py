@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,39 +31,42 @@ _SPLIT = re.compile(r"[^ \t\n\r\x0b\x0c]*[ \t\n\r\x0b\x0c]*")
 LEAF = 64
 
 
+_WHITE = " \t\n\r\x0b\x0c"
+
+
 class Counter:
-    """Tokens of pre-tokens, encoded once per worker."""
+    """Tokens of pre-tokens, with the white space behind them, encoded once per worker."""
 
     def __init__(self, tokenizer_json: str):
         self.encoder, self.known = ChunkEncoder(tokenizer_json), {}
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, some: set[str]) -> None:
         known, cache = self.known, self.encoder.cache
         if len(known) > CACHE_ENTRIES:
             known.clear()
         parts: dict[str, tuple[str, ...]] = {}
-        for w in words:
-            if w not in known:
+        for p in some:
+            if p not in known:
+                w = p.strip(_WHITE)
                 low = w.lower() if w.isascii() and "<|" not in w else w
                 cut = len(low) > 1 and low[-1] in ".," and low[-2] in "abcdefghijklmnopqrstuvwxyz" and "<|" not in low
-                parts[w] = (low[:-1], low[-1]) if cut else (low,)
+                parts[p] = (low[:-1], low[-1]) if cut else (low,)
         need = {p.encode() for ps in parts.values() for p in ps}
         cache.clear()
         self.encoder._learn(sorted(need))
-        for w, ps in parts.items():
-            known[w] = sum(len(cache[p.encode()]) // 4 for p in ps)
+        for p, ps in parts.items():
+            known[p] = sum(len(cache[x.encode()]) // 4 for x in ps)
 
     def prune(self) -> None:
         self.encoder.cache.clear()
         self.known = {w: n for w, n in self.known.items() if len(w) <= KEPT_BYTES}
 
-    def count(self, pieces: list[str]) -> list[int]:
-        words = [p.strip(" \t\n\r\x0b\x0c") for p in pieces]
+    def count(self, pieces: list[str]) -> np.ndarray:
         try:
-            return [self.known[w] for w in words]
+            return np.fromiter(map(self.known.__getitem__, pieces), np.int32, len(pieces))
         except KeyError:
-            self.learn(set(words))
-            return [self.known[w] for w in words]
+            self.learn(set(pieces))
+            return np.fromiter(map(self.known.__getitem__, pieces), np.int32, len(pieces))
 
 
 def pieces(text: str) -> list[str]:
@@ -70,17 +74,39 @@ def pieces(text: str) -> list[str]:
     return [p for p in _SPLIT.findall(text) if p]
 
 
-class CountTree:
-    """Segment tree of (code points, tokens) over the leaves of a text."""
+class Leaves:
+    """The leaves of a text, cut out of it when they are looked at."""
+
+    def __init__(self, text: str, chars: np.ndarray):
+        self.body, self.ends, self.new = text, np.concatenate([[0], np.cumsum(chars, dtype=np.int64)]), {}
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
 
-    def __init__(self, leaves: list[str], counter: Counter, tokens: list[int] | None = None):
-        self.counter, self.leaves = counter, leaves or [""]
-        self.encoded = 0
-        if tokens is None:
-            tokens = counter.count(self.leaves)
-        self._build([len(p) for p in self.leaves], tokens)
+    def __getitem__(self, i: int) -> str:
+        return self.new[i] if i in self.new else self.body[self.ends[i] : self.ends[i + 1]]
 
-    def _build(self, chars: list[int], tokens: list[int]) -> None:
+    def __setitem__(self, i: int, leaf: str) -> None:
+        self.new[i] = leaf
+
+    def __iter__(self) -> Iterator[str]:
+        return (self[i] for i in range(len(self)))
+
+
+class CountTree:
+    """Segment tree of (code points, tokens) over the leaves of a text, given as
+    lists of them or, stored, as the text with the numbers of each."""
+
+    def __init__(self, leaves: list[str] | str, counter: Counter, chars: np.ndarray | None = None, tokens: np.ndarray | None = None):
+        self.counter, self.encoded = counter, 0
+        if chars is not None and len(chars):
+            self.leaves = Leaves(leaves, chars)
+            self._build(chars, tokens)
+        else:
+            self.leaves = list(leaves) or [""]
+            self._build([len(p) for p in self.leaves], counter.count(self.leaves))
+
+    def _build(self, chars: list[int] | np.ndarray, tokens: list[int] | np.ndarray) -> None:
         n = 1 << max(0, len(chars) - 1).bit_length()
         level = np.zeros((n, 2), np.int64)
         level[: len(chars), 0], level[: len(chars), 1] = chars, tokens
@@ -130,14 +156,14 @@ class CountTree:
             stop += 1
             if self.leaves[stop - 1]:
                 break
-        old = "".join(self.leaves[first:stop])
+        old = "".join(self.leaves[i] for i in range(first, stop))
         region = pieces(old[: start - at] + new + old[end - at :])
         counts = self.counter.count(region)
         self.encoded += len(region)
         for i in range(first + 1, stop):
             if self.leaves[i]:
                 self._set(i, "", 0)
-        self._set(first, "".join(region), sum(counts))
+        self._set(first, "".join(region), int(counts.sum()))
         if len(region) > LEAF:
             whole = [(p, t) for i, leaf in enumerate(self.leaves) for p, t in (zip(region, counts) if i == first else [(leaf, int(self.levels[0][i, 1]))]) if p]
             self.leaves = [p for p, _ in whole] or [""]
@@ -159,9 +185,8 @@ _TREE = "doc_id long, text string, chars array<int>, tokens array<int>"
 _COUNTS = "n_tokens long, n_edited long, n_edits long, n_leaves long, n_encoded long"
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
-    flat = np.fromiter((x for r in rows for x in r), np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(flat))
+def _lists(lengths: list[int], flat: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
 def count_trees(documents: DataFrame, tokenizer_json: str) -> DataFrame:
@@ -181,8 +206,8 @@ def count_trees(documents: DataFrame, tokenizer_json: str) -> DataFrame:
         for b in batches:
             text = b.column(1).fill_null("")
             cut = [pieces(t) for t in text.to_pylist()]
-            known.learn({p.strip(" \t\n\r\x0b\x0c") for ps in cut for p in ps})
-            yield pa.RecordBatch.from_arrays([b.column(0), text, _lists([[len(p) for p in ps] for ps in cut]), _lists([known.count(ps) for ps in cut])], ["doc_id", "text", "chars", "tokens"])
+            flat, n = list(chain.from_iterable(cut)), [len(ps) for ps in cut]
+            yield pa.RecordBatch.from_arrays([b.column(0), text, _lists(n, np.fromiter(map(len, flat), np.int32, len(flat))), _lists(n, known.count(flat))], ["doc_id", "text", "chars", "tokens"])
         known.prune()
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), _TREE)
@@ -204,19 +229,19 @@ def _edited(trees: DataFrame, edits: str, tokenizer_json: str, whole: bool) -> D
                     n = int(own.sum())
                     counts.append((n, n, 0, len(own), 0))
                     if whole:
-                        texts.append(text), after.append((chars.as_py(), own.tolist()))
+                        texts.append(text), after.append((chars.values.to_numpy(), own))
                     continue
-                ends = np.cumsum(chars.values.to_numpy()).tolist()
-                tree = CountTree([text[x:y] for x, y in zip([0, *ends], ends)], known, own.tolist() or [0])
+                tree = CountTree(text, known, chars.values.to_numpy(), own)
                 before = tree.tokens
                 for e in todo:
                     tree.replace(e["start"] or 0, e["end"] or 0, e["text"] or "")
                 counts.append((before, tree.tokens, len(todo), len(own), tree.encoded))
                 if whole:
-                    kept = [(len(p), int(n)) for p, n in zip(tree.leaves, tree.levels[0][:, 1]) if p]
-                    texts.append(tree.text()), after.append(([c for c, _ in kept], [n for _, n in kept]))
+                    left = tree.levels[0][tree.levels[0][:, 0] > 0]
+                    texts.append(tree.text()), after.append((left[:, 0], left[:, 1]))
             own = [pa.array(c, pa.int64()) for c in zip(*counts)] if counts else [pa.array([], pa.int64())] * 5
-            first = [b.column(0), pa.array(texts, pa.string()), _lists([c for c, _ in after]), _lists([n for _, n in after])] if whole else [b.column(0)]
+            size, none = [len(c) for c, _ in after], np.zeros(0, np.int32)
+            first = [b.column(0), pa.array(texts, pa.string()), *(_lists(size, np.concatenate([none, *(a[k] for a in after)])) for k in (0, 1))] if whole else [b.column(0)]
             yield pa.RecordBatch.from_arrays([*first, *own], names if whole else ["doc_id", *names[4:]])
         known.prune()
 
