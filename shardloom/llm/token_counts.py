@@ -38,28 +38,33 @@ class Counter:
     """Tokens of pre-tokens, with the white space behind them, encoded once per worker."""
 
     def __init__(self, tokenizer_json: str):
-        self.encoder, self.known = ChunkEncoder(tokenizer_json), {}
+        self.encoder, self.known, self.sizes = ChunkEncoder(tokenizer_json), {}, {}
 
     def learn(self, some: set[str]) -> None:
-        known, cache = self.known, self.encoder.cache
+        known, sizes = self.known, self.sizes
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        parts: dict[str, tuple[str, ...]] = {}
-        for p in some:
-            if p not in known:
-                w = p.strip(_WHITE)
-                low = w.lower() if w.isascii() and "<|" not in w else w
-                cut = len(low) > 1 and low[-1] in ".," and low[-2] in "abcdefghijklmnopqrstuvwxyz" and "<|" not in low
-                parts[p] = (low[:-1], low[-1]) if cut else (low,)
-        need = {p.encode() for ps in parts.values() for p in ps}
-        cache.clear()
-        self.encoder._learn(sorted(need))
-        for p, ps in parts.items():
-            known[p] = sum(len(cache[x.encode()]) // 4 for x in ps)
+        if len(sizes) > CACHE_ENTRIES:
+            sizes.clear()
+        new, last, heads, tails = [p for p in some if p not in known], "abcdefghijklmnopqrstuvwxyz", [], []
+        for p in new:
+            w, tail = p.strip(_WHITE), ""
+            if w.isascii() and "<|" not in w:
+                w = w.lower()
+            if w[-1:] in (".", ",") and w[-2:-1] in last and len(w) > 1 and "<|" not in w:
+                w, tail = w[:-1], w[-1]
+            heads.append(w)
+            tails.append(tail)
+        need = {w for w in {*heads, *tails} if w not in sizes}
+        self.encoder.cache.clear()
+        self.encoder._learn(sorted(w.encode() for w in need))
+        sizes.update((w.decode(), len(ids) // 4) for w, ids in self.encoder.cache.items())
+        self.encoder.cache.clear()
+        known.update(zip(new, map(int.__add__, map(sizes.__getitem__, heads), map(sizes.__getitem__, tails))))
 
     def prune(self) -> None:
-        self.encoder.cache.clear()
         self.known = {w: n for w, n in self.known.items() if len(w) <= KEPT_BYTES}
+        self.sizes = {w: n for w, n in self.sizes.items() if len(w) <= KEPT_BYTES}
 
     def count(self, pieces: list[str]) -> np.ndarray:
         try:
@@ -133,41 +138,53 @@ class CountTree:
                 i += 1
         return i, start
 
-    def _set(self, i: int, text: str, tokens: int) -> None:
-        self.leaves[i] = text
-        change = np.array([len(text), tokens], np.int64) - self.levels[0][i]
-        for level in self.levels:
-            level[i] += change
-            i //= 2
-
-    def replace(self, start: int, end: int, new: str) -> None:
-        """Put ``new`` in place of the code points from start to end."""
+    def region(self, start: int, end: int, new: str) -> tuple[int, int, list[str]]:
+        """What an edit asks for, ``new`` in place of the code points from start
+        to end: first leaf and the one behind the last that it touches, with one
+        of context on either side, and the pre-tokens to stand in their place."""
         start = min(max(start, 0), self.chars)
         end = min(max(end, start), self.chars)
         first, at = self.find(start)
-        last, _ = self.find(max(start, end - 1) if end > start else start)
+        last, _ = self.find(end - 1) if end > start else (first, at)
         while first > 0:  # one leaf of context before
             first -= 1
-            at -= len(self.leaves[first])
-            if self.leaves[first]:
+            at -= int(self.levels[0][first, 0])
+            if self.levels[0][first, 0]:
                 break
         stop = last + 1
         while stop < len(self.leaves):  # and one after
             stop += 1
-            if self.leaves[stop - 1]:
+            if self.levels[0][stop - 1, 0]:
                 break
         old = "".join(self.leaves[i] for i in range(first, stop))
-        region = pieces(old[: start - at] + new + old[end - at :])
-        counts = self.counter.count(region)
+        return first, stop, pieces(old[: start - at] + new + old[end - at :])
+
+    def put(self, first: int, stop: int, region: list[str], counts: np.ndarray) -> None:
+        """The counted region in place of the leaves; sums follow up to the root."""
         self.encoded += len(region)
+        if len(region) > LEAF:  # lay the tree out anew
+            chars = [np.fromiter(map(len, region), np.int64, len(region)), self.levels[0][: len(self.leaves)]]
+            before, behind = chars[1][:first], chars[1][stop:]
+            leaves = [*(self.leaves[i] for i in range(first)), *region, *(self.leaves[i] for i in range(stop, len(self.leaves)))]
+            level = np.concatenate([before, np.stack([chars[0], counts], axis=1), behind])
+            on = np.flatnonzero(level[:, 0])
+            self.leaves = [leaves[i] for i in on] or [""]
+            self._build(level[on, 0] if len(on) else [0], level[on, 1] if len(on) else [0])
+            return
+        self.leaves[first] = "".join(region)
         for i in range(first + 1, stop):
-            if self.leaves[i]:
-                self._set(i, "", 0)
-        self._set(first, "".join(region), int(counts.sum()))
-        if len(region) > LEAF:
-            whole = [(p, t) for i, leaf in enumerate(self.leaves) for p, t in (zip(region, counts) if i == first else [(leaf, int(self.levels[0][i, 1]))]) if p]
-            self.leaves = [p for p, _ in whole] or [""]
-            self._build([len(p) for p in self.leaves], [t for _, t in whole] or [0])
+            self.leaves[i] = ""
+        self.levels[0][first:stop] = 0
+        self.levels[0][first] = len(self.leaves[first]), counts.sum()
+        lo, hi = first, stop
+        for below, level in zip(self.levels, self.levels[1:]):
+            lo, hi = lo // 2, (hi + 1) // 2
+            level[lo:hi] = below[2 * lo : 2 * hi : 2] + below[2 * lo + 1 : 2 * hi : 2]
+
+    def replace(self, start: int, end: int, new: str) -> None:
+        """Put ``new`` in place of the code points from start to end."""
+        first, stop, region = self.region(start, end, new)
+        self.put(first, stop, region, self.counter.count(region))
 
     def text(self) -> str:
         return "".join(self.leaves)
@@ -221,24 +238,19 @@ def _edited(trees: DataFrame, edits: str, tokenizer_json: str, whole: bool) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counter(shared.value)
         for b in batches:
-            texts, counts, after = [], [], []
-            for text, chars, tokens, todo in zip(b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4).to_pylist()):
-                own = tokens.values.to_numpy()
-                todo = [e for e in todo or [] if e is not None]
-                if not todo:  # nothing to follow: the stored sums stand
-                    n = int(own.sum())
-                    counts.append((n, n, 0, len(own), 0))
-                    if whole:
-                        texts.append(text), after.append((chars.values.to_numpy(), own))
-                    continue
-                tree = CountTree(text, known, chars.values.to_numpy(), own)
-                before = tree.tokens
-                for e in todo:
-                    tree.replace(e["start"] or 0, e["end"] or 0, e["text"] or "")
-                counts.append((before, tree.tokens, len(todo), len(own), tree.encoded))
-                if whole:
-                    left = tree.levels[0][tree.levels[0][:, 0] > 0]
-                    texts.append(tree.text()), after.append((left[:, 0], left[:, 1]))
+            texts, stored = b.column(1).to_pylist(), [(c.values.to_numpy(), t.values.to_numpy()) for c, t in zip(b.column(2), b.column(3))]
+            edits = [[(e["start"] or 0, e["end"] or 0, e["text"] or "") for e in todo or [] if e is not None] for todo in b.column(4).to_pylist()]
+            # without edits the stored sums stand
+            trees = [CountTree(text, known, *own) if todo else None for text, own, todo in zip(texts, stored, edits)]
+            before = [tree.tokens if tree else int(own[1].sum()) for tree, own in zip(trees, stored)]
+            for turn in range(max(map(len, edits), default=0)):  # the edits of one turn are encoded together
+                now = [(tree, *tree.region(*todo[turn])) for tree, todo in zip(trees, edits) if turn < len(todo)]
+                n = known.count(list(chain.from_iterable(r[3] for r in now)))
+                for (tree, first, stop, region), to in zip(now, np.cumsum([len(r[3]) for r in now]).tolist()):
+                    tree.put(first, stop, region, n[to - len(region) : to])
+            counts = [(m, tree.tokens if tree else m, len(todo), len(own[1]), tree.encoded if tree else 0) for m, tree, todo, own in zip(before, trees, edits, stored)]
+            after = [tree.levels[0][tree.levels[0][:, 0] > 0].T if tree else own for tree, own in zip(trees, stored)] if whole else []
+            texts = [tree.text() if tree else text for tree, text in zip(trees, texts)] if whole else []
             own = [pa.array(c, pa.int64()) for c in zip(*counts)] if counts else [pa.array([], pa.int64())] * 5
             size, none = [len(c) for c, _ in after], np.zeros(0, np.int32)
             first = [b.column(0), pa.array(texts, pa.string()), *(_lists(size, np.concatenate([none, *(a[k] for a in after)])) for k in (0, 1))] if whole else [b.column(0)]
