@@ -1,15 +1,19 @@
 """Exact unsigned 64-bit arithmetic on bigint columns that hold bit patterns.
 
 Partition hashes are plain column expressions, small enough for whole-stage
-codegen. The 64-bit mixer multiplies modulo 2^64, which ANSI bigint forbids; it
-runs on Arrow batches, and joins apply it to distinct keys only.
+codegen. The 64-bit mixer multiplies modulo 2^64: as a column in plans that are
+built with wrap-around arithmetic, and on Arrow batches where a column has to
+work in plans of any kind.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType
 
@@ -66,6 +70,31 @@ def splitmix64_mix(keys: pd.Series) -> pd.Series:
     return pd.Series(np_mix(keys.to_numpy(np.int64).view(np.uint64)).view(np.int64))
 
 
+@contextmanager
+def wrapping(spark: SparkSession) -> Iterator[None]:
+    """Bigint arithmetic that wraps around, which is arithmetic modulo 2^64, in
+    the frames built inside. The overflow rule becomes part of a plan when it is
+    analysed, so the session's own comes back as soon as the plan is built."""
+    own = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", own)
+
+
+def mix_column(z: Column) -> Column:
+    """The splitmix64 finaliser as a column, to be analysed inside :func:`wrapping`."""
+    for shift, factor in ((30, MIX1), (27, MIX2)):
+        z = z.bitwiseXOR(F.shiftrightunsigned(z, shift)) * F.lit(as_long(factor))
+    return z.bitwiseXOR(F.shiftrightunsigned(z, 31))
+
+
+def splitmix_column(x: Column) -> Column:
+    """splitmix64 of a bit pattern as a column, to be analysed inside :func:`wrapping`."""
+    return mix_column(x + F.lit(as_long(A64)))
+
+
 def fib64(key: Column, p: int) -> Column:
     """High bits of the 64-bit multiplicative hash."""
     shift = 64 - log2_of(p)

@@ -7,14 +7,12 @@ combined before the shuffle, and the mixer runs once per distinct key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.u64 import A64, np_splitmix, two64, unsigned
+from ..functions.u64 import A64, as_long, splitmix_column, unsigned_string, wrapping
 from .partition import with_pid
 
 HINTS = ("broadcast", "merge", "shuffle_hash", "shuffle_replicate_nl")
@@ -25,32 +23,29 @@ def key_counts(df: DataFrame, key: str, name: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("key")).agg(F.count(F.lit(1)).alias(name))
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs and checksums of a task's keys, modulo 2^64."""
-    n = c1 = c2 = np.zeros(1, np.uint64)
-    for b in batches:
-        key = b.column(0).to_numpy().view(np.uint64)
-        m = b.column(1).to_numpy().view(np.uint64) * b.column(2).to_numpy().view(np.uint64)
-        n = n + m.sum(dtype=np.uint64)
-        c1 = c1 + (np_splitmix(key) * m).sum(dtype=np.uint64)
-        c2 = c2 + (np_splitmix(key ^ np.uint64(A64)) * m).sum(dtype=np.uint64)
-    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (n, c1, c2)], ["n", "c1", "c2"])
-
-
 def _triple(matched: DataFrame) -> DataFrame:
-    """The sums of all tasks' sums, modulo 2^64."""
-    d38 = lambda c: c.cast("decimal(38,0)")
-    total = lambda c: F.pmod(F.coalesce(F.sum(d38(unsigned(F.col(c)))), d38(F.lit(0))), two64()).cast("decimal(20,0)").cast("string")
-    parts = matched.mapInArrow(_partial, "n long, c1 long, c2 long")
-    return parts.agg(total("n").alias("join_count"), total("c1").alias("checksum1"), total("c2").alias("checksum2"))
+    """Pairs and checksums of (key, rc, sc), modulo 2^64 all the way: every task
+    sums its own keys, in generated code, and only the sums meet."""
+    with wrapping(matched.sparkSession):
+        mixed = matched.select((F.col("rc") * F.col("sc")).alias("m"), splitmix_column(F.col("key")).alias("x"), splitmix_column(F.col("key").bitwiseXOR(F.lit(as_long(A64)))).alias("y"))
+        sums = mixed.agg(F.sum("m").alias("n"), F.sum(F.col("x") * F.col("m")).alias("c1"), F.sum(F.col("y") * F.col("m")).alias("c2"))
+    text = lambda c: unsigned_string(F.coalesce(c, F.lit(0).cast("long")))
+    return sums.select(text(F.col("n")).alias("join_count"), text(F.col("c1")).alias("checksum1"), text(F.col("c2")).alias("checksum2"))
 
 
 def matches(r: DataFrame, s: DataFrame, r_key: str, s_key: str, hint: str | None = None) -> DataFrame:
-    """(key, rc, sc): keys on both sides with their multiplicities."""
-    left, right = key_counts(r, r_key, "rc"), key_counts(s, s_key, "sc")
+    """(key, rc, sc): keys on both sides with their multiplicities.
+
+    Without a hint both relations are counted in one aggregation of their union:
+    one exchange, no build side and no sort. A hint asks for a join of the two
+    sides' counts by that strategy.
+    """
     if hint:
-        left = left.hint(hint)
-    return left.join(right, "key").select("key", "rc", "sc")
+        return key_counts(r, r_key, "rc").hint(hint).join(key_counts(s, s_key, "sc"), "key").select("key", "rc", "sc")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    side = lambda df, key, a, b: df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), a.alias("rc"), b.alias("sc"))
+    both = side(r, r_key, one, none).unionAll(side(s, s_key, none, one))
+    return both.groupBy("key").agg(F.sum("rc").alias("rc"), F.sum("sc").alias("sc")).filter("rc > 0 and sc > 0")
 
 
 def join_triple(r: DataFrame, s: DataFrame, r_key: str, s_key: str, hint: str | None = None) -> DataFrame:
@@ -67,11 +62,44 @@ def naive_triple(r: DataFrame, s: DataFrame, r_key: str, s_key: str, hint: str |
     return _triple(pairs)
 
 
-def partition_joins(r: DataFrame, s: DataFrame, r_key: str, s_key: str, p: int) -> DataFrame:
-    """(pid, keys, join_count): the join partition by partition; partitions
-    without matches do not appear."""
-    m = with_pid(matches(r, s, r_key, s_key), "key", p)
-    return m.groupBy("pid").agg(F.count(F.lit(1)).alias("n_keys"), F.sum(F.col("rc") * F.col("sc")).alias("join_count"))
+def partition_joins(r: DataFrame, s: DataFrame, r_key: str, s_key: str, p: int, hash_name: str = "fib32", hint: str | None = None) -> DataFrame:
+    """(pid, n_keys, join_count): the join partition by partition, counts modulo
+    2^64 as bit patterns; partitions without matches do not appear."""
+    m = with_pid(matches(r, s, r_key, s_key, hint), "key", p, hash_name)
+    with wrapping(m.sparkSession):
+        return m.groupBy("pid").agg(F.count(F.lit(1)).alias("n_keys"), F.sum(F.col("rc") * F.col("sc")).alias("join_count"))
+
+
+def ablation(r: DataFrame, s: DataFrame, r_key: str, s_key: str, p: int, hashes: list[str], strategies: list[str]) -> DataFrame:
+    """(hash, strategy, partitions, join_count) of the same join under every
+    partition hash and join strategy: the partitions differ, the count does not."""
+    one = lambda h, x: partition_joins(r, s, r_key, s_key, p, h, x).agg(F.lit(h).alias("hash"), F.lit(x).alias("strategy"), F.count(F.lit(1)).alias("partitions"), F.sum("join_count").alias("join_count"))
+    return reduce(DataFrame.unionAll, [one(h, x) for h in hashes for x in strategies])
+
+
+def remapped_join(r: DataFrame, s: DataFrame, r_key: str, s_key: str, plan: DataFrame, p: int, hash_name: str = "fib32") -> DataFrame:
+    """(rank, received, join_count, checksum1, checksum2): the join under a plan
+    (pid, dest, weight) that says which rank gets which partition, rank by rank.
+
+    Keys are counted before they are dealt, so a rank gets one row for each of
+    its keys and not its ``received`` rows. Counts and checksums of the ranks
+    add up, modulo 2^64, to those of :func:`join_triple` under any plan.
+    """
+    m = with_pid(matches(r, s, r_key, s_key), "key", p, hash_name).join(F.broadcast(plan.select("pid", "dest")), "pid")
+    with wrapping(m.sparkSession):
+        mixed = m.select(F.col("dest").alias("rank"), (F.col("rc") * F.col("sc")).alias("m"), splitmix_column(F.col("key")).alias("x"), splitmix_column(F.col("key").bitwiseXOR(F.lit(as_long(A64)))).alias("y"))
+        sums = mixed.groupBy("rank").agg(F.sum("m").alias("n"), F.sum(F.col("x") * F.col("m")).alias("c1"), F.sum(F.col("y") * F.col("m")).alias("c2"))
+    got = plan.groupBy(F.col("dest").alias("rank")).agg(F.sum("weight").alias("received"))
+    text = lambda c: unsigned_string(F.coalesce(c, F.lit(0).cast("long")))
+    return got.join(sums, "rank", "left").select("rank", "received", text(F.col("n")).alias("join_count"), text(F.col("c1")).alias("checksum1"), text(F.col("c2")).alias("checksum2"))
+
+
+def same_triples(triples: dict[str, DataFrame]) -> DataFrame:
+    """One row (variants, different, equal, join_count, checksum1, checksum2):
+    whether all ways to join came to one triple; the least if they did not."""
+    rows = reduce(DataFrame.unionAll, [t.select(F.struct("join_count", "checksum1", "checksum2").alias("t")) for t in triples.values()])
+    out = rows.agg(F.count(F.lit(1)).alias("variants"), F.count_distinct("t").alias("different"), F.min("t").alias("t"))
+    return out.select("variants", "different", (F.col("different") == 1).alias("equal"), "t.*")
 
 
 def semi_keys(r: DataFrame, s: DataFrame, r_key: str, s_key: str) -> DataFrame:

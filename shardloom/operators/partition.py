@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.u64 import FNV_OFFSET, FNV_PRIME, HASHES, TWO64
+from ..functions.u64 import FNV_OFFSET, FNV_PRIME, HASHES, TWO64, log2_of
 
 
 def with_pid(df: DataFrame, key: str | Column, p: int, hash_name: str = "fib32") -> DataFrame:
@@ -101,8 +103,7 @@ def skew_profile(hist: DataFrame) -> DataFrame:
 
 def dest_major(df: DataFrame, p: int, ranks: int, pid: str = "pid") -> DataFrame:
     """The rows with ``dest`` rank, ``lp`` and the permuted id of their partition."""
-    if p % ranks:
-        raise ValueError("the partition count must be a multiple of the ranks")
+    check_ranks(p, ranks)
     dest, lp = F.pmod(pid, F.lit(ranks)), F.floor(F.col(pid) / ranks).cast("int")
     return df.withColumns({"dest": dest, "lp": lp, "perm": dest * (p // ranks) + lp})
 
@@ -111,15 +112,50 @@ def first_partitions(df: DataFrame, key: str, p: int, keep: int) -> DataFrame:
     return with_pid(df, key, p).filter(F.col("pid") < keep)
 
 
+def check_ranks(p: int, ranks: int) -> None:
+    """Partitions that can be dealt to ranks in turn: a power of two, at least
+    one for each rank and as many for every rank."""
+    log2_of(p)
+    if ranks < 1 or p < ranks or p % ranks:
+        raise ValueError(f"{p} partitions cannot be dealt evenly to {ranks} ranks")
+
+
+def exchange_counts(df: DataFrame, key: str, source: str, p: int, ranks: int, hash_name: str = "fib32") -> DataFrame:
+    """(source, dest, cnt): how many rows each source rank sends to each
+    destination, all pairs of ranks, zeros too; null keys are not sent."""
+    check_ranks(p, ranks)
+    sent = with_pid(df.filter(F.col(key).isNotNull()).select(key, F.col(source).cast("int").alias("source")), key, p, hash_name)
+    counts = sent.groupBy("source", F.pmod("pid", F.lit(ranks)).alias("dest")).agg(F.count(F.lit(1)).alias("cnt"))
+    rank = F.sequence(F.lit(0), F.lit(ranks - 1))
+    every = df.sparkSession.range(1).select(F.explode(rank).alias("source")).select("source", F.explode(rank).alias("dest"))
+    return every.join(counts, ["source", "dest"], "left").select("source", "dest", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+
+
+def received_layout(df: DataFrame, key: str, p: int, ranks: int, hash_name: str = "fib32") -> DataFrame:
+    """(dest, lp, cnt, begin): the partitions that each rank holds after the
+    exchange, by local number, with their place among its rows."""
+    rows = dest_major(histogram(df, key, p, hash_name), p, ranks)
+    before = Window.partitionBy("dest").orderBy("lp").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("dest", "lp", "cnt", F.coalesce(F.sum("cnt").over(before), F.lit(0)).alias("begin"))
+
+
 def pid_fold(df: DataFrame, order: str = "i", pid: str = "pid") -> DataFrame:
-    """(checksum): the FNV-1a fold of pids in order. Not commutative, so one
-    task folds the sorted column as it streams by."""
+    """(checksum): the FNV-1a fold of pids in order. The rows are sorted in
+    ranges, in parallel; the fold is not associative, so one task goes over the
+    packed pids at last, block by block."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for n, b in enumerate(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n]), pa.array([b.column(0).to_numpy().astype("<i8").tobytes()], pa.binary())], ["part", "n", "pids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = FNV_OFFSET
         for b in batches:
-            for v in b.column(0).to_pylist():
-                h = (h ^ v) * FNV_PRIME % TWO64
+            for raw in b.column(2).to_pylist():
+                for v in np.frombuffer(raw, "<i8").tolist():
+                    h = (h ^ v) * FNV_PRIME % TWO64
         yield pa.RecordBatch.from_arrays([pa.array([f"{h:016x}"])], ["checksum"])
 
-    return df.select(F.col(pid).cast("long").alias("v"), order).coalesce(1).sortWithinPartitions(order).select("v").mapInArrow(run, "checksum string")
-
+    blocks = df.select(F.col(pid).cast("long").alias("v"), order).orderBy(order).select("v").mapInArrow(packed, "part long, n long, pids binary")
+    return blocks.repartition(1).sortWithinPartitions("part", "n").mapInArrow(run, "checksum string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.u64 import wrapping
 from .partition import histogram, offsets
 
 
@@ -34,8 +35,11 @@ def split_ranges(split: DataFrame) -> DataFrame:
 
 def salted_join_count(r: DataFrame, s: DataFrame, r_key: str, s_key: str, salts: int) -> DataFrame:
     """(join_count) with the probe side salted and the build side's counts
-    copied to each salt: for joins that need the rows of hot keys themselves."""
+    copied to each salt: for joins that need the rows of hot keys themselves.
+    The count is modulo 2^64, as a bit pattern."""
     build = r.filter(F.col(r_key).isNotNull()).groupBy(F.col(r_key).alias("key")).agg(F.count(F.lit(1)).alias("rc"))
     build = build.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     probe = s.select(F.col(s_key).alias("key"), F.pmod(F.xxhash64(*s.columns), F.lit(salts)).cast("int").alias("salt"))
-    return probe.join(build, ["key", "salt"]).agg(F.coalesce(F.sum("rc"), F.lit(0)).alias("join_count"))
+    pairs = probe.join(build, ["key", "salt"])
+    with wrapping(pairs.sparkSession):
+        return pairs.agg(F.coalesce(F.sum("rc"), F.lit(0)).alias("join_count"))

@@ -7,12 +7,29 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.u64 import as_long, splitmix64, unsigned
+from ..operators.partition import check_ranks
+
 
 def lpt_order(w: DataFrame) -> DataFrame:
     """(…, position): heaviest first, ties by pid."""
     return w.withColumn("position", F.row_number().over(Window.orderBy(F.desc("weight"), "pid")) - 1)
 
 
+def submission_order(w: DataFrame, order: str = "lpt", seed: int = 1234) -> DataFrame:
+    """(…, position) in which partitions are handed out: ``lpt`` heaviest first,
+    ``natural`` by number, ``random`` by the mixed number, one order a seed."""
+    if order == "lpt":
+        return lpt_order(w)
+    if order == "natural":
+        by = F.col("pid")
+    elif order == "random":
+        by = unsigned(splitmix64(F.col("pid").cast("long").bitwiseXOR(F.lit(as_long(seed)))))
+    else:
+        raise ValueError(f"no submission order {order}")
+    return w.withColumn("position", F.row_number().over(Window.orderBy(by)) - 1)
+
+
 def cyclic(w: DataFrame, workers: int) -> DataFrame:
     return w.withColumn("worker", F.pmod("pid", F.lit(workers)).cast("int"))
 
@@ -23,6 +40,7 @@ def block(w: DataFrame, workers: int, p: int) -> DataFrame:
 
 def modulo_plan(w: DataFrame, ranks: int, p: int) -> DataFrame:
     """(…, dest, lp, perm) with partitions dealt in turn."""
+    check_ranks(p, ranks)
     dest, lp = F.pmod("pid", F.lit(ranks)).cast("int"), F.floor(F.col("pid") / ranks).cast("int")
     return w.withColumns({"dest": dest, "lp": lp, "perm": dest * (p // ranks) + lp})
 

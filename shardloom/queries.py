@@ -118,6 +118,44 @@ def semi_keys(spark, d):
     return jn.semi_keys(table(spark, d, "orders"), table(spark, d, "events"), "o_custkey", "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sql_rank_triples(plan: str, p: int) -> str:
+    """The triple rank by rank under a plan (pid, dest, weight); zeros for ranks without matches."""
+    term = lambda h: f"CAST((CAST({h} AS UHUGEINT) * m) % {_TWO64} AS HUGEINT)"
+    total = lambda x: f"CAST(coalesce(sum({x}), 0) % CAST('{u64.TWO64}' AS HUGEINT) AS VARCHAR)"
+    return f"""
+WITH RECURSIVE plan AS ({plan}),
+r AS (SELECT CAST(o_custkey AS UBIGINT) AS k, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY k),
+s AS (SELECT CAST(user_id AS UBIGINT) AS k, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY k),
+j AS (SELECT k, {sql_fib32("k", p)} AS pid, CAST(r.n AS UHUGEINT) * CAST(s.n AS UHUGEINT) AS m FROM r JOIN s USING (k)),
+h AS (SELECT pid, m, {sql_splitmix("k")} AS h1, {sql_splitmix(f"xor(k, CAST('{u64.A64}' AS UBIGINT))")} AS h2 FROM j),
+v AS (SELECT dest, CAST(sum(weight) AS BIGINT) AS received FROM plan GROUP BY dest),
+t AS (SELECT dest, {total("CAST(m AS HUGEINT)")} AS join_count, {total(term("h1"))} AS checksum1, {total(term("h2"))} AS checksum2 FROM h JOIN plan USING (pid) GROUP BY dest)
+SELECT dest AS rank, received, coalesce(join_count, '0') AS join_count, coalesce(checksum1, '0') AS checksum1, coalesce(checksum2, '0') AS checksum2 FROM v LEFT JOIN t USING (dest)
+"""
+
+
+_SAME = sql_triple("supplier", "s_suppkey", "nation", "n_nationkey")
+
+
+@query("same_triples", f"SELECT 4 AS variants, 1 AS different, true AS equal, join_count, checksum1, checksum2 FROM ({_SAME})")
+def same_triples(spark, d):
+    r, s = table(spark, d, "supplier"), table(spark, d, "nation")
+    ways = {"counted": None, **{h: h for h in jn.HINTS[:2]}}
+    triples = {n: jn.join_triple(r, s, "s_suppkey", "n_nationkey", h) for n, h in ways.items()}
+    return jn.same_triples(triples | {"every pair": jn.naive_triple(r, s, "s_suppkey", "n_nationkey")})
+
+
+def _sql_ablation(h: str, pid: str) -> str:
+    return f"SELECT '{h}' AS hash, count(DISTINCT pid) AS partitions, CAST(sum(m) AS BIGINT) AS join_count FROM (SELECT {pid} AS pid, rc * sc AS m FROM r JOIN s USING (k))"
+
+
+@query("join_ablation", f"""
+WITH r AS (SELECT o_custkey AS k, count(*) AS rc FROM orders GROUP BY k), s AS (SELECT user_id AS k, count(*) AS sc FROM events GROUP BY k)
+SELECT hash, strategy, partitions, join_count FROM (SELECT unnest(['shuffle_hash', 'merge']) AS strategy), ({_sql_ablation("mod", "k & 15")} UNION ALL {_sql_ablation("fib32", sql_fib32("k", 16))})""")
+def join_ablation(spark, d):
+    return jn.ablation(table(spark, d, "orders"), table(spark, d, "events"), "o_custkey", "user_id", 16, ["mod", "fib32"], ["shuffle_hash", "merge"])
+
+
 @query("salted_join", "SELECT CAST(sum(rc * sc) AS BIGINT) AS join_count FROM (SELECT l_suppkey k, count(*) rc FROM lineitem GROUP BY 1) JOIN (SELECT l_partkey k, count(*) sc FROM lineitem GROUP BY 1) USING (k)")
 def salted_join(spark, d):
     t = table(spark, d, "lineitem")
@@ -225,7 +263,20 @@ def first_partitions(spark, d):
     return pt.first_partitions(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", P, 8)
 
 
-@query("pid_fold")
+@query("exchange_counts", f"SELECT CAST(a.s AS INTEGER) AS source, CAST(b.d AS INTEGER) AS dest, count(x.source) AS cnt FROM (SELECT unnest(range(0, 4)) AS s) a CROSS JOIN (SELECT unnest(range(0, 4)) AS d) b LEFT JOIN (SELECT o_orderkey % 4 AS source, {sql_fib32('o_custkey', P)} % 4 AS dest FROM orders) x ON x.source = a.s AND x.dest = b.d GROUP BY 1, 2")
+def exchange_counts(spark, d):
+    rows = table(spark, d, "orders").select("o_custkey", F.pmod("o_orderkey", F.lit(4)).alias("rank"))
+    return pt.exchange_counts(rows, "o_custkey", "rank", P, 4)
+
+
+@query("received_layout", f'SELECT dest, lp, cnt, CAST(coalesce(sum(cnt) OVER (PARTITION BY dest ORDER BY lp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "begin" FROM (SELECT CAST(pid % 4 AS INTEGER) AS dest, CAST(pid // 4 AS INTEGER) AS lp, cnt FROM ({sql_hist("events", "user_id", P)}))')
+def received_layout(spark, d):
+    return pt.received_layout(table(spark, d, "events"), "user_id", P, 4)
+
+
+@query("pid_fold", f"""
+SELECT lower(lpad(hex(CAST(list_reduce(list(CAST(pid AS UHUGEINT) ORDER BY i), lambda h, v: (xor(h, v) * CAST('{u64.FNV_PRIME}' AS UHUGEINT)) % {_TWO64}, CAST('{u64.FNV_OFFSET}' AS UHUGEINT)) AS UBIGINT)), 16, '0')) AS checksum
+FROM (SELECT o_orderkey AS i, {sql_fib32("o_orderkey", 256)} AS pid FROM orders)""")
 def pid_fold(spark, d):
     rows = pt.with_pid(table(spark, d, "orders").select(F.col("o_orderkey").alias("i")), "i", 256)
     return pt.pid_fold(rows)
@@ -291,6 +342,31 @@ def assign_greedy(spark, d):
     return pl.greedy_plan(_weights(spark, d).select("pid", "weight"), 4)
 
 
+_RANDOM = sql_splitmix("xor(CAST(pid AS UBIGINT), CAST(1234 AS UBIGINT))")
+
+
+@query("submission_orders", f"SELECT pid, weight, row_number() OVER (ORDER BY weight DESC, pid) - 1 AS lpt, CAST(pid AS BIGINT) AS natural_order, row_number() OVER (ORDER BY {_RANDOM}) - 1 AS random_order FROM ({_WEIGHTS})")
+def submission_orders(spark, d):
+    w = _weights(spark, d).select("pid", "weight")
+    position = lambda o, name: pl.submission_order(w, o).select("pid", F.col("position").cast("long").alias(name))
+    return w.join(position("lpt", "lpt"), "pid").join(position("natural", "natural_order"), "pid").join(position("random", "random_order"), "pid")
+
+
+_MODULO = f"SELECT pid, CAST(pid % 4 AS INTEGER) AS dest, weight FROM ({_WEIGHTS})"
+
+
+@query("remapped_join_modulo", sql_rank_triples(_MODULO, P))
+def remapped_join_modulo(spark, d):
+    plan = pl.modulo_plan(_weights(spark, d).select("pid", "weight"), 4, P)
+    return jn.remapped_join(table(spark, d, "orders"), table(spark, d, "events"), "o_custkey", "user_id", plan, P)
+
+
+@query("remapped_join_greedy", sql_rank_triples(f"SELECT pid, dest, weight FROM ({ORACLES['assign_greedy']})", P))
+def remapped_join_greedy(spark, d):
+    plan = pl.greedy_plan(_weights(spark, d).select("pid", "weight"), 4)
+    return jn.remapped_join(table(spark, d, "orders"), table(spark, d, "events"), "o_custkey", "user_id", plan, P)
+
+
 @query("rank_volume", f"SELECT CAST(pid % 4 AS INTEGER) AS rank, CAST(sum(weight) AS BIGINT) AS volume, count(*) AS partitions FROM ({_WEIGHTS}) GROUP BY 1")
 def rank_volume(spark, d):
     return pl.rank_volumes(pl.modulo_plan(_weights(spark, d).select("pid", "weight"), 4, P))
@@ -430,6 +506,13 @@ def speedup_selfjoin(spark, d):
     return an.speedup_against(t, ["l_suppkey"], "l_returnflag", "N", "v").select("l_suppkey", "l_returnflag", _R("speedup"))
 
 
+@query("efficiency_cost", "WITH t AS (SELECT l_linenumber AS p, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1) SELECT a.p, round(b.v / a.v, 6) AS speedup, round(b.v / a.v / a.p, 6) AS efficiency, round(a.v * a.p, 4) AS cost, round(a.v / b.v, 6) AS slowdown FROM t a, t b WHERE b.p = 1")
+def efficiency_cost(spark, d):
+    t = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("p")).agg(F.avg("l_extendedprice").alias("v"))
+    rows = t.join(F.broadcast(t.filter("p = 1").select(F.col("v").alias("t1"))))
+    return rows.select("p", F.round(bm.speedup(F.col("t1"), F.col("v")), 6).alias("speedup"), F.round(bm.efficiency(F.col("t1"), F.col("v"), F.col("p")), 6).alias("efficiency"), F.round(bm.cost(F.col("v"), F.col("p")), 4).alias("cost"), F.round(F.col("v") / F.col("t1"), 6).alias("slowdown"))
+
+
 @query("baseline_lookup", "SELECT c_custkey, CAST(coalesce(t, 1.5) AS DOUBLE) AS t_seq FROM customer LEFT JOIN (SELECT n_nationkey, CAST(n_nationkey * 2 AS DOUBLE) AS t FROM nation WHERE n_nationkey < 10) ON c_nationkey = n_nationkey")
 def baseline_lookup(spark, d):
     base = table(spark, d, "nation").filter("n_nationkey < 10").select(F.col("n_nationkey").alias("c_nationkey"), (F.col("n_nationkey") * 2).cast("double").alias("t_seq"))
