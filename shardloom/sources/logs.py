@@ -9,15 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# The shapes of the log lines.
-EXPERIMENT = r"===\s+(.+?)\s+==="
-CONTEXT = r"^---\s+N=(\d+)\s+P=(\d+)(?:\s+key_space=(\d+))?\s*---"
-TAG = r"^\[(\w+)\]$"
-RESULT = r"([\w\s()/-]+?)\s+N=(\d+)\s+median=([\d.]+)\s+ms\s+stddev=([\d.]+)\s+ms\s+throughput=([\d.]+)\s+Mkeys/s"
-DISTRIBUTION = r"Distribuzione:\s+min=(\d+)\s+max=(\d+)\s+atteso=([\d.]+)\s+max/atteso=([\d.]+)"
-CHECKSUM = r"checksum=0x([0-9a-fA-F]+)"
-PHASE = r"(H->D|Kernel|D->H|Totale)\s*:\s*([\d.]+)\s*ms"
-THROUGHPUT = r"Throughput\s+\(([^)]+)\):\s+([\d.]+)\s+Mkeys/s"
+# The words of the log lines.
+DISTRIBUTION, EXPECTED_MAX = "Distribuzione:", "max/atteso"
+PHASES = {"H->D": "h2d_ms", "Kernel": "kernel_ms", "D->H": "d2h_ms", "Totale": "total_ms"}
+THROUGHPUT = "Throughput ("
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -26,41 +21,67 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return text
 
 
-def _get(line: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(line, pattern, group), F.lit(""))
+def field(line: Column, name: str) -> Column:
+    """What stands behind ``name=`` in a line of such fields, up to the next
+    white space; null if there is none."""
+    behind = F.get(F.split(F.concat(F.lit(" "), line), rf"\s\Q{name}=\E", 2), F.lit(1))
+    return F.nullif(F.get(F.split(behind, r"\s"), F.lit(0)), F.lit(""))
+
+
+def _number(line: Column, name: str, kind: str) -> Column:
+    return field(line, name).try_cast(kind)
+
+
+def _framed(line: Column, mark: str) -> Column:
+    """The text between two marks at the ends of a line, null without them."""
+    n = len(mark)
+    return F.when((F.length(line) > 2 * n) & line.startswith(mark) & line.endswith(mark), F.trim(F.substring(line, F.lit(n + 1), F.length(line) - 2 * n)))
+
+
+def _checksum(line: Column) -> Column:
+    value = field(line, "checksum")
+    return F.when(value.startswith("0x"), F.substring(value, 3, 64))
+
+
+def _is_context(line: Column) -> Column:
+    return line.startswith("---") & _number(line, "N", "long").isNotNull() & _number(line, "P", "long").isNotNull()
 
 
 def cpu_results(log: DataFrame) -> DataFrame:
     """One row per result line: experiment, impl, N, P, key_space, median_ms,
     stddev_ms, throughput_Mkeys_s, dist_min, dist_max, dist_ratio, checksum.
     A result line that another follows before the next tag is replaced by it."""
-    line = F.trim("line")
-    rows = log.select("file", "line_no", line.alias("s")).filter((F.col("s") != "") & ~F.col("s").startswith("#"))
+    rows = log.select("file", "line_no", F.trim("line").alias("s")).filter((F.col("s") != "") & ~F.col("s").startswith("#"))
     s = F.col("s")
-    kind = F.when(s.rlike(EXPERIMENT), "experiment").when(s.rlike(CONTEXT), "context").when(s.rlike(TAG), "tag").when(s.rlike(RESULT), "result").when(s.rlike(DISTRIBUTION), "distribution").when(s.rlike(CHECKSUM), "checksum").otherwise("other")
+    is_result = F.lit(True)
+    for name in ("N", "median", "stddev", "throughput"):
+        is_result = is_result & _number(s, name, "double").isNotNull()
+    is_tag = s.startswith("[") & s.endswith("]") & ~F.contains(s, F.lit(" "))
+    kind = F.when(_framed(s, "===").isNotNull(), "experiment").when(_is_context(s), "context").when(is_tag, "tag").when(is_result, "result").when(s.startswith(DISTRIBUTION), "distribution").when(_checksum(s).isNotNull(), "checksum").otherwise("other")
     rows = rows.withColumn("kind", kind)
     so_far = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     carried = lambda k, value: F.last(F.when(F.col("kind") == k, value), ignorenulls=True).over(so_far)
     rows = rows.select(
         "file", "line_no", "kind", "s",
-        carried("experiment", _get(s, EXPERIMENT, 1)).alias("experiment"),
-        carried("context", _get(s, CONTEXT, 2)).alias("p"),
-        carried("context", F.coalesce(_get(s, CONTEXT, 3), F.lit("0"))).alias("ks"),
-        carried("tag", _get(s, TAG, 1)).alias("tag"),
+        carried("experiment", _framed(s, "===")).alias("experiment"),
+        carried("context", _number(s, "P", "long")).alias("p"),
+        carried("context", F.coalesce(_number(s, "key_space", "long"), F.lit(0))).alias("ks"),
+        carried("tag", F.trim(F.translate(s, "[]", ""))).alias("tag"),
         F.count(F.when(F.col("kind") == "tag", 1)).over(so_far).alias("section"),
     )
     end = Window.partitionBy("file", "section").orderBy(F.desc("line_no"))
     results = rows.filter("kind = 'result'").withColumn("r", F.row_number().over(end)).filter("r = 1")
     results = results.select(
-        "file", "section", F.col("line_no").alias("result_line"), F.coalesce("experiment", F.lit("")).alias("experiment"), F.coalesce("tag", F.trim(F.regexp_extract("s", RESULT, 1))).alias("impl"),
-        F.regexp_extract("s", RESULT, 2).cast("long").alias("N"), F.coalesce(F.col("p").cast("long"), F.lit(0)).alias("P"), F.coalesce(F.col("ks").cast("long"), F.lit(0)).alias("key_space"),
-        *(F.regexp_extract("s", RESULT, i).cast("double").alias(n) for i, n in ((3, "median_ms"), (4, "stddev_ms"), (5, "throughput_Mkeys_s"))),
+        "file", "section", F.col("line_no").alias("result_line"), F.coalesce("experiment", F.lit("")).alias("experiment"), F.coalesce("tag", F.trim(F.substring_index("s", " N=", 1))).alias("impl"),
+        _number(s, "N", "long").alias("N"), F.coalesce("p", F.lit(0)).alias("P"), F.coalesce("ks", F.lit(0)).alias("key_space"),
+        _number(s, "median", "double").alias("median_ms"), _number(s, "stddev", "double").alias("stddev_ms"), _number(s, "throughput", "double").alias("throughput_Mkeys_s"),
     )
     notes = rows.filter("kind in ('distribution', 'checksum')").select(F.col("file").alias("f"), F.col("section").alias("sec"), F.col("line_no").alias("note_line"), "kind", "s")
     joined = results.join(notes, (F.col("file") == F.col("f")) & (F.col("section") == F.col("sec")) & (F.col("note_line") > F.col("result_line")), "left")
-    of = lambda k, pattern, g: F.max_by(F.when(F.col("kind") == k, F.regexp_extract("s", pattern, g)), F.when(F.col("kind") == k, F.col("note_line")))
+    last = lambda k, value: F.max_by(F.when(F.col("kind") == k, value), F.when(F.col("kind") == k, F.col("note_line")))
     keys = ["file", "section", "experiment", "impl", "N", "P", "key_space", "median_ms", "stddev_ms", "throughput_Mkeys_s"]
-    out = joined.groupBy(*keys).agg(of("distribution", DISTRIBUTION, 1).cast("long").alias("dist_min"), of("distribution", DISTRIBUTION, 2).cast("long").alias("dist_max"), of("distribution", DISTRIBUTION, 4).cast("double").alias("dist_ratio"), of("checksum", CHECKSUM, 1).alias("checksum"))
+    spread = {"dist_min": _number(s, "min", "long"), "dist_max": _number(s, "max", "long"), "dist_ratio": _number(s, EXPECTED_MAX, "double")}
+    out = joined.groupBy(*keys).agg(*(last("distribution", v).alias(n) for n, v in spread.items()), last("checksum", _checksum(s)).alias("checksum"))
     return out.drop("file", "section")
 
 
@@ -69,14 +90,16 @@ def cuda_results(log: DataFrame) -> DataFrame:
     s = F.col("s")
     rows = log.select("file", "line_no", F.trim("line").alias("s")).filter((s != "") & ~s.startswith("#"))
     so_far = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("experiment", F.coalesce(F.last(F.when(s.rlike(EXPERIMENT), _get(s, EXPERIMENT, 1)), ignorenulls=True).over(so_far), F.lit(""))).withColumn("section", F.count(F.when(s.rlike(CONTEXT), 1)).over(so_far)).filter("section > 0")
-    last = lambda value: F.max_by(value, F.when(value.isNotNull(), F.col("line_no")))
-    phase = lambda name: last(F.when(F.regexp_extract(s, PHASE, 1) == name, F.regexp_extract(s, PHASE, 2).cast("double")))
-    speed = lambda kernel: last(F.when(s.rlike(THROUGHPUT) & (F.lower(F.regexp_extract(s, THROUGHPUT, 1)).contains("kernel") == kernel), F.regexp_extract(s, THROUGHPUT, 2).cast("double")))
+    rows = rows.withColumn("experiment", F.coalesce(F.last(_framed(s, "==="), ignorenulls=True).over(so_far), F.lit(""))).withColumn("section", F.count(F.when(_is_context(s), 1)).over(so_far)).filter("section > 0")
+    # lines of the shape ``name : number unit``
+    name, value = F.trim(F.substring_index(s, ":", 1)), F.get(F.split(F.trim(F.substring_index(s, ":", -1)), r"\s+"), F.lit(0)).try_cast("double")
+    last = lambda x: F.max_by(x, F.when(x.isNotNull(), F.col("line_no")))
+    speed = lambda kernel: last(F.when(name.startswith(THROUGHPUT) & (F.contains(F.lower(name), F.lit("kernel")) == kernel), value))
+    in_context = lambda n: F.max(F.when(_is_context(s), _number(s, n, "long"))).alias(n)
     return rows.groupBy("file", "section").agg(
-        F.min_by("experiment", "line_no").alias("experiment"), F.max(_get(s, CONTEXT, 1).cast("long")).alias("N"), F.max(_get(s, CONTEXT, 2).cast("long")).alias("P"),
-        phase("H->D").alias("h2d_ms"), phase("Kernel").alias("kernel_ms"), phase("D->H").alias("d2h_ms"), phase("Totale").alias("total_ms"),
-        speed(True).alias("tput_kernel_Mkeys_s"), speed(False).alias("tput_e2e_Mkeys_s"), last(_get(s, CHECKSUM, 1)).alias("checksum"),
+        F.min_by("experiment", "line_no").alias("experiment"), in_context("N"), in_context("P"),
+        *(last(F.when(name == phase, value)).alias(column) for phase, column in PHASES.items()),
+        speed(True).alias("tput_kernel_Mkeys_s"), speed(False).alias("tput_e2e_Mkeys_s"), last(_checksum(s)).alias("checksum"),
     ).drop("file", "section")
 
 
