@@ -9,17 +9,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.u64 import as_long, unsigned
 from .generators import Xoshiro
 
 # Fixed values of the format.
 MAGIC = 0x53504D4B455953AA
 HEADER_FORMAT, HEADER_SIZE = "<5Q", 40
 
-#: Named data sets: (count, key space, seed).
-DEFAULTS = {"1M": (1_000_000, 0, 42), "10M": (10_000_000, 0, 42), "100M": (100_000_000, 0, 42), "200M": (200_000_000, 0, 42), "100M_dup": (100_000_000, 1_000_000, 42)}
+#: Keys that a task reads at once.
+RANGE = 1 << 20
 
 
 def auto_name(n: int, seed: int, key_space: int) -> str:
@@ -37,49 +39,73 @@ def valid(path: str, n: int, seed: int, key_space: int) -> bool:
         return False
 
 
-def write(path: str, n: int, seed: int, key_space: int = 0, block: int = 1 << 16) -> bool:
+def write(path: str, n: int, seed: int, key_space: int = 0, blocks: int = 64) -> bool:
     """Write the xoshiro keys of a seed, unless the file is valid already; whether it wrote."""
     if valid(path, n, seed, key_space):
         return False
-    rng = Xoshiro(seed)
+    rng, size = Xoshiro(seed), Xoshiro.BLOCK
     with open(path, "wb") as f:
         f.write(struct.pack(HEADER_FORMAT, MAGIC, n, seed, key_space, 0))
-        for at in range(0, n, block):
-            x = rng.take(min(block, n - at))
+        for at in range(0, -(-n // size), blocks):
+            x = rng.blocks(np.arange(at, min(at + blocks, -(-n // size)))).ravel()[: n - at * size]
             f.write((x % np.uint64(key_space) if key_space else x).astype("<u8").tobytes())
     return True
 
 
+def _opened(path: str):
+    """A file of any file system that pyarrow knows, for reading at places."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, magic, n, seed, key_space) of the key files under ``path``,
+    unsigned numbers as bit patterns; only 40 bytes of each are read, by the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for name in b.column(0).to_pylist():
+                with _opened(name) as f:
+                    head = f.read_at(HEADER_SIZE, 0)
+                rows.append(struct.unpack("<4q", head[:32]) if len(head) == HEADER_SIZE else (None,) * 4)
+            heads = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *heads], ["path", "bytes", "magic", "n", "seed", "key_space"])
+
+    # the listing does not touch the contents, which are never asked for
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
+    return files.select("path", F.col("length").alias("bytes")).mapInArrow(run, "path string, bytes long, magic long, n long, seed long, key_space long")
+
+
+def _is_valid() -> Column:
+    return F.coalesce((F.col("magic") == F.lit(as_long(MAGIC))) & (F.col("n") >= 0) & (F.col("bytes") == F.col("n") * 8 + HEADER_SIZE), F.lit(False))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(path, i, key) of all key files under ``path``; a bad header or size fails."""
+    """(path, i, key) of all key files under ``path``; a bad header or size
+    fails. A file is read in ranges of RANGE keys, by as many tasks as there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                raw = content.as_buffer()
-                if raw.size < HEADER_SIZE:
-                    raise ValueError(f"{name}: shorter than a header")
-                magic, n, *_ = struct.unpack(HEADER_FORMAT, raw[: HEADER_SIZE])
-                if magic != MAGIC or raw.size != HEADER_SIZE + 8 * n:
-                    raise ValueError(f"{name}: not a key file of {n} keys")
-                keys = np.frombuffer(raw, "<u8", offset=HEADER_SIZE).astype(np.uint64)
-                for at in range(0, n, 1 << 18):
-                    part = keys[at : at + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(part.view(np.int64))], ["path", "i", "key"])
+            for name, n, at in zip(*(c.to_pylist() for c in b.columns)):
+                with _opened(name) as f:
+                    keys = np.frombuffer(f.read_at(8 * min(RANGE, n - at), HEADER_SIZE + 8 * at), "<u8")
+                for lo in range(0, len(keys), 1 << 18):
+                    part = keys[lo : lo + (1 << 18)].astype(np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at + lo, at + lo + len(part))), pa.array(part.view(np.int64))], ["path", "i", "key"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
-    return files.select("path", "content").mapInArrow(run, "path string, i long, key long")
+    bad = F.raise_error(F.format_string("%s: not a key file of %s keys", "path", F.coalesce(F.col("n").cast("string"), F.lit("?"))))
+    ranges = headers(spark, path).select("path", "n", F.explode(F.when(_is_valid(), F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(RANGE).cast("long"))).otherwise(bad.cast("array<bigint>"))).alias("at"))
+    return ranges.repartition("path", "at").mapInArrow(run, "path string, i long, key long")
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
-    """(name, n, seed, key_space, mb, valid) of the key files in a folder; only headers are decoded."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
-    little = lambda at: F.conv(F.concat(*[F.hex(F.substring("content", at + 7 - i, 1)) for i in range(8)]), 16, 10).cast("decimal(20,0)")
-    return files.select(
+    """(name, n, seed, key_space, mb, valid) of the key files in a folder, from their headers."""
+    return headers(spark, path).select(
         F.element_at(F.split("path", "/"), -1).alias("name"),
-        little(9).alias("n"),
-        little(17).alias("seed"),
-        little(25).alias("key_space"),
-        (F.col("length") / (1024 * 1024)).alias("mb"),
-        ((little(1) == F.lit(MAGIC)) & (F.col("length") == little(9) * 8 + HEADER_SIZE)).alias("valid"),
+        *(unsigned(F.col(c)).alias(c) for c in ("n", "seed", "key_space")),
+        (F.col("bytes") / (1024 * 1024)).alias("mb"),
+        _is_valid().alias("valid"),
     )

@@ -1,7 +1,7 @@
 """Deterministic key relations: one bigint column ``key`` (unsigned bit pattern).
 
-All but the xoshiro stream skip ahead, so that every partition makes its own
-rows and any executor can make them again.
+All skip ahead, so that every partition makes its own rows and any executor can
+make them again.
 """
 
 from __future__ import annotations
@@ -107,39 +107,79 @@ def shared_hot(spark: SparkSession, n: int, seed: int, max_key: int, p: int, rho
 
 
 class Xoshiro:
-    """xoshiro256** seeded by four splitmix64 steps."""
+    """xoshiro256** seeded by four splitmix64 steps, in blocks of BLOCK numbers.
+
+    A step is linear over bits, so the state at a block's start is a power of
+    the step's 256 x 256 bit matrix times the seed's state: any block can be
+    made without those before it, and many blocks are stepped side by side.
+    """
+
+    BLOCK = 4096
+    _jumps: list[np.ndarray] = []
 
     def __init__(self, seed: int):
-        self.s = [int(x) for x in _draw(seed, np.arange(1, 5, dtype=np.uint64))]
-
-    def take(self, n: int) -> np.ndarray:
-        a, b, c, d = self.s
-        m, out = TWO64 - 1, np.empty(n, np.uint64)
-        for i in range(n):
-            x = b * 5 & m
-            out[i] = ((x << 7 | x >> 57) & m) * 9 & m
-            t = b << 17 & m
-            c ^= a
-            d ^= b
-            b ^= c
-            a ^= d
-            c ^= t
-            d = (d << 45 | d >> 19) & m
-        self.s = [a, b, c, d]
-        return out
+        self.state = _draw(seed, np.arange(1, 5, dtype=np.uint64))
+
+    @staticmethod
+    def _step(s: np.ndarray) -> np.ndarray:
+        """The next states of (4, lanes) words."""
+        a, b, c, d = s
+        c, d = c ^ a, d ^ b
+        turn = d << np.uint64(45) | d >> np.uint64(19)
+        return np.stack([a ^ d, b ^ c, c ^ (b << np.uint64(17)), turn])
+
+    @staticmethod
+    def _bits(s: np.ndarray) -> np.ndarray:
+        words = np.ascontiguousarray(s.T).astype("<u8").view(np.uint8)
+        return np.unpackbits(words.reshape(s.shape[1], 32), axis=1, bitorder="little").T.astype(np.float32)
+
+    @staticmethod
+    def _words(bits: np.ndarray) -> np.ndarray:
+        packed = np.packbits(np.ascontiguousarray(bits.T, np.uint8), axis=1, bitorder="little")
+        return np.ascontiguousarray(packed).view("<u8").astype(np.uint64).T
+
+    @classmethod
+    def _jump(cls, k: int) -> np.ndarray:
+        """The bit matrix that passes over 2^k blocks."""
+        if not cls._jumps:
+            m = cls._bits(cls._step(cls._words(np.eye(256, dtype=np.float32))))
+            for _ in range(cls.BLOCK.bit_length() - 1):
+                m = (m @ m) % 2
+            cls._jumps.append(m)
+        while len(cls._jumps) <= k:
+            cls._jumps.append((cls._jumps[-1] @ cls._jumps[-1]) % 2)
+        return cls._jumps[k]
+
+    def blocks(self, numbers: np.ndarray) -> np.ndarray:
+        """(blocks, BLOCK): the numbers of each block of the stream."""
+        bits = np.repeat(self._bits(self.state[:, None]), len(numbers), axis=1)
+        for k in range(int(numbers.max(initial=0)).bit_length()):
+            on = (numbers >> k & 1).astype(bool)
+            bits[:, on] = (self._jump(k) @ bits[:, on]) % 2
+        s, out = self._words(bits), np.empty((self.BLOCK, len(numbers)), np.uint64)
+        for i in range(self.BLOCK):
+            x = s[1] * np.uint64(5)
+            out[i] = (x << np.uint64(7) | x >> np.uint64(57)) * np.uint64(9)
+            s = self._step(s)
+        return out.T
 
 
 def xoshiro(spark: SparkSession, n: int, seed: int, key_space: int = 0, finish=lambda x: x) -> DataFrame:
-    """(i, key) of the xoshiro256** stream, in one task: its state is sequential."""
+    """(i, key) of the xoshiro256** stream; every task makes its own blocks."""
+    block = Xoshiro.BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = Xoshiro(seed)
         for b in batches:
-            x = rng.take(b.num_rows)
-            x = finish(x % np.uint64(key_space) if key_space else x)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.view(np.int64))], ["i", "key"])
-
-    return spark.range(0, n, 1, 1).withColumnRenamed("id", "i").mapInArrow(run, "i long, key long")
+            numbers = b.column(0).to_numpy()
+            for at in range(0, len(numbers), 128):
+                some = numbers[at : at + 128]
+                for number, x in zip(some.tolist(), rng.blocks(some)):
+                    x = x[: n - number * block]
+                    x = finish(x % np.uint64(key_space) if key_space else x)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(number * block, number * block + len(x))), pa.array(x.view(np.int64))], ["i", "key"])
+
+    return spark.range(-(-n // block)).mapInArrow(run, "i long, key long")
 
 
 def distribution(spark: SparkSession, name: str, n: int, seed: int = 42) -> DataFrame:

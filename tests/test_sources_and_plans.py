@@ -2,6 +2,7 @@
 
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +25,34 @@ def test_key_file_round_trip(spark, tmp_path):
     assert (row.name, int(row.n), int(row.seed), int(row.key_space), row.valid) == (name, 3000, 7, 100, True)
 
 
+def test_key_files_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(binary, "RANGE", 1000)
+    binary.write(str(tmp_path / "a.bin"), 9500, 3, 0)
+    binary.write(str(tmp_path / "none.bin"), 0, 3, 0)
+    got = binary.read(spark, str(tmp_path)).orderBy("i").collect()
+    assert [r.i for r in got] == list(range(9500))
+    assert [r.key for r in got] == [r.key for r in generators.xoshiro(spark, 9500, 3).orderBy("i").collect()]
+
+
+def test_xoshiro_blocks_are_the_stream():
+    """Jumps against the sequential definition, over several blocks."""
+    rng, m = generators.Xoshiro(12345), (1 << 64) - 1
+    a, b, c, d = (int(x) for x in rng.state)
+    want = []
+    for _ in range(3 * rng.BLOCK):
+        x = b * 5 & m
+        want.append(((x << 7 | x >> 57) & m) * 9 & m)
+        t = b << 17 & m
+        c ^= a
+        d ^= b
+        b ^= c
+        a ^= d
+        c ^= t
+        d = (d << 45 | d >> 19) & m
+    got = rng.blocks(np.array([2, 0, 1]))
+    assert [int(v) for k in (1, 2, 0) for v in got[k]] == want
+
+
 def test_bad_key_files(spark, tmp_path):
     (tmp_path / "bad.bin").write_bytes(struct.pack("<5Q", 1, 2, 3, 4, 5))
     assert not binary.catalog(spark, str(tmp_path)).first().valid
