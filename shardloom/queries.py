@@ -389,17 +389,45 @@ def gen_uniform(spark, d):
     return gen.uniform(spark, 10000, 42, 1000)
 
 
-@query("gen_skewed")
+def sql_draw(seed: int, k: str) -> str:
+    """Draw number k, from 1, of the splitmix64 stream."""
+    return sql_mix(f"CAST((CAST({seed} AS UHUGEINT) + CAST('{u64.A64}' AS UHUGEINT) * CAST({k} AS UHUGEINT)) % {_TWO64} AS UBIGINT)")
+
+
+def _sql_hot(seed: int, max_key: int, p: int, hot: int) -> str:
+    """(n, key, k): the first ``hot`` keys drawn that lie in different partitions, and their draws."""
+    return f"""SELECT row_number() OVER (ORDER BY k) - 1 AS n, key, k FROM (SELECT key, k FROM (SELECT key, k, row_number() OVER (PARTITION BY {sql_fib32("key", p)} ORDER BY k) AS r
+FROM (SELECT k, {sql_draw(seed, "k")} % {max_key} AS key FROM (SELECT unnest(range(1, 5000)) AS k))) WHERE r = 1 ORDER BY k LIMIT {hot})"""
+
+
+@query("gen_skewed", f"""
+WITH hot AS ({_sql_hot(42, 1000, 16, 4)}), used AS (SELECT max(k) AS u FROM hot),
+d AS (SELECT i, {sql_draw(42, "u + 1 + 2 * i")} AS coin, {sql_draw(42, "u + 2 + 2 * i")} AS x FROM (SELECT unnest(range(0, 10000)) AS i), used)
+SELECT i, CAST(CASE WHEN coin % 1000000 < 900000 THEN hot.key ELSE x % 1000 END AS BIGINT) AS key FROM d JOIN hot ON n = x % 4""")
 def gen_skewed(spark, d):
     return gen.skewed(spark, 10000, 42, 1000, 16, 0.9, 4)
 
 
-@query("gen_shared_hot")
+@query("gen_shared_hot", f"""
+WITH hot AS ({_sql_hot(gen.SHARED_HOT_SEED, 1000, 16, 4)}), d AS (SELECT i, {sql_draw(42, "i + 1")} AS x FROM (SELECT unnest(range(0, 10000)) AS i))
+SELECT i, CAST(CASE WHEN CAST(x >> 40 AS DOUBLE) / 16777216 < 0.9 THEN hot.key ELSE x % 1000 END AS BIGINT) AS key FROM d JOIN hot ON n = (x >> 8) % 4""")
 def gen_shared_hot(spark, d):
     return gen.shared_hot(spark, 10000, 42, 1000, 16, 0.9, 4)
 
 
-@query("gen_xoshiro")
+def _sql_xoshiro(n: int, seed: int) -> str:
+    """The sequential definition, state by state."""
+    times = lambda x, k: f"CAST((CAST({x} AS UHUGEINT) * {k}) % {_TWO64} AS UBIGINT)"
+    turn = lambda x, k: f"({times(x, 1 << k)} | ({x} >> {64 - k}))"
+    return f"""
+WITH RECURSIVE s(i, a, b, c, d) AS (
+  SELECT 0, {", ".join(sql_draw(seed, str(k)) for k in range(1, 5))} UNION ALL
+  SELECT i + 1, xor(a, xor(d, b)), xor(b, xor(c, a)), xor(xor(c, a), {times("b", 1 << 17)}), {turn("xor(d, b)", 45)} FROM s WHERE i < {n - 1}),
+x AS (SELECT i, {times("b", 5)} AS y FROM s), z AS (SELECT i, {times(turn("y", 7), 9)} AS v FROM x)
+SELECT CAST(i AS BIGINT) AS i, CASE WHEN v >= 9223372036854775808 THEN CAST(CAST(v AS HUGEINT) - {u64.TWO64} AS BIGINT) ELSE CAST(v AS BIGINT) END AS key FROM z"""
+
+
+@query("gen_xoshiro", _sql_xoshiro(5000, 42))
 def gen_xoshiro(spark, d):
     return gen.xoshiro(spark, 5000, 42)
 

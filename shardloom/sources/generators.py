@@ -87,7 +87,7 @@ def skewed(spark: SparkSession, n: int, seed: int, max_key: int, p: int, rho: fl
     return _rows(spark, n, make, partitions, offset)
 
 
-#: Seed of the hot values that two relations share.
+# Fixed value: seed of the hot values that two relations share.
 SHARED_HOT_SEED = 0xABCDEF
 
 
