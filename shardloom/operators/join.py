@@ -42,10 +42,9 @@ def matches(r: DataFrame, s: DataFrame, r_key: str, s_key: str, hint: str | None
     """
     if hint:
         return key_counts(r, r_key, "rc").hint(hint).join(key_counts(s, s_key, "sc"), "key").select("key", "rc", "sc")
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    side = lambda df, key, a, b: df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), a.alias("rc"), b.alias("sc"))
-    both = side(r, r_key, one, none).unionAll(side(s, s_key, none, one))
-    return both.groupBy("key").agg(F.sum("rc").alias("rc"), F.sum("sc").alias("sc")).filter("rc > 0 and sc > 0")
+    side = lambda df, key, left: df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.lit(left).alias("left"))
+    both = side(r, r_key, True).unionAll(side(s, s_key, False))
+    return both.groupBy("key").agg(F.count_if("left").alias("rc"), F.count_if(~F.col("left")).alias("sc")).filter("rc > 0 and sc > 0")
 
 
 def join_triple(r: DataFrame, s: DataFrame, r_key: str, s_key: str, hint: str | None = None) -> DataFrame:
