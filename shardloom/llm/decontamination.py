@@ -24,6 +24,10 @@ BLOCK = 32768
 #: larger ones are joined by shuffling.
 BROADCAST_WINDOWS = 500_000
 
+#: So many first words of short items at most are looked for while the words of
+#: a text are in hand; with more, every word meets them in a join.
+FIRST_WORDS = 10_000
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -96,12 +100,17 @@ def find_runs(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> t
         )
         around_hits = hits.filter(F.size("near") >= window).select("doc_id", "text_hash", "lo", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("near") - (window - 1)), lambda i: F.concat_ws(" ", F.slice("near", i, window)))).alias("i", "run"))
         found = around_hits.select("doc_id", "text_hash", (F.col("lo") + F.col("i")).alias("start"), F.lit(window).alias("n"), "run").join(hint(runs.filter(F.col("n") == window).select("run")), "run", "left_semi")
-    for n in sorted(counts):
-        if n < window:  # a short item has one run, its own
-            run_at = lambda n: lambda i: F.concat_ws(" ", F.slice("w", i, n))
-            all_runs = blocks.filter(F.size("w") >= n).select("doc_id", "text_hash", "base", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), run_at(n))).alias("i", "run"))
-            more = all_runs.join(hint(runs.filter(F.col("n") == n).select("run")), "run", "left_semi").select("doc_id", "text_hash", (F.col("base") + F.col("i")).alias("start"), F.lit(n).alias("n"), "run")
-            found = more if found is None else found.unionByName(more)
+    if sum(n < window for n in counts):  # short items, of one run each: all of their lengths in one pass
+        short = runs.filter(F.col("n") < window).select("n", "run", F.substring_index("run", " ", 1).alias("first"))
+        firsts = [r[0] for r in short.select("first").distinct().limit(FIRST_WORDS + 1).collect()]
+        at = F.sequence(F.lit(0), F.size("w") - 1)
+        if len(firsts) <= FIRST_WORDS:  # places that start with no item's word go before they are exploded
+            at = F.filter(at, lambda i: F.get("w", i).isin(firsts))
+        places = F.transform(at, lambda i: F.struct(i.alias("i"), F.get("w", i).alias("first"), F.slice("w", i + 1, window - 1).alias("near")))
+        all_places = blocks.select("doc_id", "text_hash", "base", F.explode(places).alias("p")).select("doc_id", "text_hash", "base", "p.*")
+        more = all_places.join(hint(short), "first").filter(F.concat_ws(" ", F.slice("near", F.lit(1), F.col("n"))) == F.col("run"))
+        more = more.select("doc_id", "text_hash", (F.col("base") + F.col("i")).alias("start"), "n", "run")
+        found = more if found is None else found.unionByName(more)
     if found is None:
         found = documents.select("doc_id", F.lit(0).cast("long").alias("text_hash"), F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("run")).filter(F.lit(False))
     return found.select("doc_id", "text_hash", "start", "n", "run").distinct(), by_item

@@ -328,8 +328,9 @@ def test_decontamination_brute_force(make_docs, spark, rng, monkeypatch):
     texts |= {50: None, 51: "", 52: "see ünïcode, wörds Àb-7"}
     bench = spark.createDataFrame([*items.items()], "item_id long, text string")
     want = hits(texts, items)
-    for block in (dc.BLOCK, 37):  # blocks overlap, so their size does not matter
+    for block, firsts in ((dc.BLOCK, dc.FIRST_WORDS), (37, 0)):  # blocks overlap, so their size does not matter
         monkeypatch.setattr(dc, "BLOCK", block)
+        monkeypatch.setattr(dc, "FIRST_WORDS", firsts)
         got = {r.doc_id: (r.n_words, r.n_hit, list(r.items)) for r in contamination(make_docs(texts, clash=True), bench).collect()}
         assert got == want
     clean = decontaminate(make_docs(texts, clash=True), bench)
