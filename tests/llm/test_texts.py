@@ -17,6 +17,7 @@ from shardloom.llm import licenses, packing, pii, token_counts, toxicity
 from shardloom.llm.queries import tokenizer_json
 
 from .conftest import words
+from .test_pairs import clean_words, dropped_lines, jaccard_links, roots
 
 ODD = [(None, "text without id, here"), (9001, None), (9002, ""), (9003, " \n\t"), (9004, "Ünï <|endoftext|> DON'T ﬁ é ,, .. x.y 12 한글"), (9005, "same text"), (9005, "same text")]
 
@@ -614,6 +615,59 @@ def test_pipeline_stages(spark, corpus_dir):
     assert {r.doc_id for r in packed.collect()} == kept["decontamination"]
 
 
+def test_pipeline_brute_force(spark, sf, tok, tmp_path):
+    """Every stage on the smallest tables against a plain version of it on the same input."""
+    import corpus_pipeline
+
+    stages, texts = dict(corpus_pipeline.STAGES), {}
+
+    def after(name, docs):
+        stages[name](spark, docs, sf).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        assert out.columns == docs.columns
+        return out, {r.doc_id: r.text for r in out.collect()}
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = {r.doc_id: r.text for r in docs.collect()}
+    kind = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    docs, texts = after("toxicity", docs)
+    assert texts == {i: t for i, t in whole.items() if not kind[i]}
+
+    gone = dropped_lines(texts)
+    want = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) if t and gone[i] else t for i, t in texts.items()}
+    want = {i: t for i, t in want.items() if not gone[i] or t.split()}
+    docs, texts = after("line_dedup", docs)
+    assert texts == want and sum(map(len, gone.values())) > 20
+
+    sets, links = jaccard_links(texts)
+    least = roots(texts, links)
+    docs, kept = after("ngram_jaccard", docs)
+    assert kept == {i: t for i, t in texts.items() if least[i] == i}
+
+    runs = {tuple(w[i : i + 10]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() for w in [clean_words(r.text)] for i in range(max(len(w) - 9, 1) if w else 0)}
+    sizes = {len(r) for r in runs}
+    leaks = lambda w: any(tuple(w[i : i + n]) in runs for n in sizes for i in range(len(w) - n + 1))
+    docs, clean = after("decontamination", docs)
+    assert clean == {i: t for i, t in kept.items() if not leaks(clean_words(t))} and len(clean) < len(kept)
+
+    pieces = defaultdict(list)
+    for r in stages["packing"](spark, docs, sf).collect():
+        pieces[r.doc_id].append(r)
+    assert pieces.keys() == clean.keys()
+    for i, t in clean.items():
+        ids, at = [*tok(t), 1], 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    places = defaultdict(list)
+    for r in itertools.chain.from_iterable(pieces.values()):
+        places[r.sequence_id].append((r.offset, r.length))
+    for ps in places.values():
+        ps.sort()
+        assert [o for o, _ in ps] == [sum(n for _, n in ps[:k]) for k in range(len(ps))] and sum(n for _, n in ps) <= 2048
+
+
 def test_pipeline_run(spark, corpus_dir):
     import corpus_pipeline
 
