@@ -5,7 +5,9 @@ rare ones first, two sets as similar as asked share a shingle among the first
 ``n - ceil(t n) + 1`` of each. First every set meets one smallest of its
 groups; only where groups still hold several components, their members meet in
 size-banded tiles, where the bit counts of hashed bitmaps bound the overlap
-from above. All that pass are verified by intersecting sorted arrays.
+from above. All that pass are verified by intersecting sorted arrays; large
+groups carry their texts into the tiles and are verified there, so that a tile
+gives a forest of links and never all its candidates.
 """
 
 from __future__ import annotations
@@ -27,6 +29,12 @@ COUNTERS = 1 << 20
 _BLOCK = 1 << 12
 #: Members of a tile's side.
 TILE = 1024
+#: Groups of more sets are verified inside their tiles.
+LARGE = 128
+#: Shingles of a tile's side.
+WEIGHT = 4_000_000
+#: Keys of sets in such groups that are broadcast; beyond, they are shuffled.
+BROADCAST_KEYS = 250_000
 #: Groups are dealt in so many shares by hash; the thin round looks at one.
 SHARES = 4
 
@@ -148,27 +156,37 @@ def _verified(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataF
     return fit.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb", "ta", "tb").mapInArrow(trimmed(run), "a long, b long")
 
 
-def _tiles(members: DataFrame, percent: int, thin: int | None = None) -> DataFrame:
+def _tiles(mixed: DataFrame, kept: DataFrame, k: int, percent: int, thin: int | None = None) -> DataFrame:
     """(a, b): candidate pairs of different components, group by group; if
     ``thin`` is a number, one a member and tile, the first by a hash of the
-    pair and the number.
+    pair and the number. Members of groups of more than LARGE sets bring their
+    texts: candidates are verified here, and only links that join what the tile
+    has not joined yet come out, fewer than it has members.
 
-    A tile holds a group; of a group of more than TILE sets, two neighbouring
-    size bands, or two blocks of some TILE sets of them. Sizes a factor of 100 / percent apart
-    never link, so further bands need not meet.
+    A tile holds a group; of a group of more than TILE sets or WEIGHT shingles,
+    two neighbouring size bands, or two blocks of so many of them. Sizes a
+    factor of 100 / percent apart never link, so further bands need not meet.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.000001)).cast("int") if percent < 100 else F.col("n").cast("int")
-    small = members.filter(F.col("size") <= TILE).select("sig", F.lit(-1).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("blk"), F.lit(-1).alias("band"), "k", "c", "n", "bits")
-    placed = members.filter(F.col("size") > TILE).withColumn("band", band).withColumn("at", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    # members fall into their blocks by hash, so that no task ever sees a whole band
-    blocks = placed.groupBy("sig", "at").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
-    placed = placed.join(blocks, ["sig", "at"]).withColumn("blk", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    large = placed.withColumn("o", other).select("sig", "at", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "band", "k", "c", "n", "bits")
-    placed = small.unionByName(large)
+    large = F.col("size") > min(LARGE, TILE)
+    small = mixed.filter(~large).join(kept.select("k", "n", "bits"), "k")
+    placed = small.select("sig", F.lit(-1).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("blk"), F.lit(-1).alias("band"), "k", "c", "n", "bits", F.lit(None).cast("binary").alias("text"))
+    keys = mixed.filter(large).select("k").distinct()
+    if many := keys.count():
+        texts = kept.join(F.broadcast(keys) if many <= BROADCAST_KEYS else keys, "k", "left_semi").select("k", "n", "bits", "text")
+        rows = mixed.filter(large).join(texts.select("k", "n"), "k")
+        rows = rows.join(rows.groupBy("sig").agg(F.sum("n").alias("weight")), "sig")
+        whole = (F.col("size") <= TILE) & (F.col("weight") <= WEIGHT)
+        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.000001)).cast("int") if percent < 100 else F.col("n").cast("int")
+        rows = rows.withColumn("band", F.when(whole, -1).otherwise(band)).withColumn("at", F.explode(F.when(whole, F.array("band")).otherwise(F.array(F.col("band"), F.col("band") - 1))))
+        # members fall into their blocks by hash, so that no task ever sees a whole band
+        blocks = rows.groupBy("sig", "at").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / WEIGHT)).cast("int").alias("blocks"))
+        rows = rows.join(blocks, ["sig", "at"]).withColumn("blk", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # texts come last, for one shuffle
+        rows = rows.select("sig", "at", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "band", "k", "c", "n").join(texts.select("k", "bits", "text"), "k")
+        placed = placed.unionByName(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, done = None, [], set()
+        key, held, done, unpack = None, [], set(), zstandard.ZstdDecompressor()
 
         def compare() -> list:
             m = held
@@ -178,7 +196,7 @@ def _tiles(members: DataFrame, percent: int, thin: int | None = None) -> DataFra
             blk, low = np.array([r[0] for r in m]), np.array([r[1] for r in m]) == at
             keys = np.array([r[4] for r in m], np.int64).view(np.uint64)
             bits = np.frombuffer(b"".join(r[5] for r in m), np.uint64).reshape(len(m), -1)
-            out = []
+            exact, got, out = m[0][6] is not None, {}, []
             for i in range(len(m)):
                 # pairs inside the upper band meet in the tile above
                 js = np.flatnonzero((c != c[i]) & (low | low[i]) & ((np.arange(len(m)) > i) if same else (blk != blk[i]) & (blk[i] == key[2])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
@@ -188,22 +206,30 @@ def _tiles(members: DataFrame, percent: int, thin: int | None = None) -> DataFra
                 js = js[(n[js] + n[i] - diff) // 2 >= _least_overlap(n[js], n[i], percent)]
                 if thin is not None and len(js) > 1:
                     js = js[[np.argmin(mix64((keys[js] + keys[i]) ^ np.uint64(thin)))]]
+                if exact and (new := [x for x in (i, *js.tolist()) if x not in got]):
+                    got |= zip(new, sets(pa.array([unpack.decompress(m[x][6]).decode() for x in new], pa.large_string()), k))
                 for j in js.tolist():
+                    if exact and c[i] == c[j]:
+                        continue
                     pair = (m[i][4], m[j][4]) if m[i][4] < m[j][4] else (m[j][4], m[i][4])
                     if pair not in done:
                         if len(done) < 200_000:
                             done.add(pair)
+                        if exact:
+                            if len(np.intersect1d(got[i], got[j], assume_unique=True)) < _least_overlap(n[i], n[j], percent):
+                                continue
+                            c[c == c[j]] = c[i]
                         out.append(pair)
             return out
 
         for b in batches:
             found: list = []
-            for sig, at, i, j, blk, bd, k, c, n, bits in zip(*(col.to_pylist() for col in b.columns)):
+            for sig, at, i, j, blk, bd, x, c, n, bits, text in zip(*(col.to_pylist() for col in b.columns)):
                 if (sig, at, i, j) != key:
                     if len(held) > 1:
                         found += compare()
                     key, held = (sig, at, i, j), []
-                held.append((blk, bd, c, n, k, bits))
+                held.append((blk, bd, c, n, x, bits, text))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
         if len(held) > 1 and (found := compare()):
@@ -235,7 +261,8 @@ def _similar(docs: DataFrame, k: int, percent: int) -> DataFrame:
     nodes = sketches.filter("text is not null and block is null")
     w = Window.partitionBy("sig")
     groups = _prefixes(nodes, order, k, percent).withColumn("low", F.min("k").over(w)).withColumn("high", F.max("k").over(w)).filter("low < high").select("sig", "k", "low")
-    groups = stage(groups, "groups")
+    # tasks that each saw a copy of a set have each sent its prefix
+    groups = stage(groups.dropDuplicates(["sig", "k"]), "groups")
     # one copy of each set that has a group
     kept = stage(nodes.join(groups.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.first("text").alias("text"), F.first("bits").alias("bits")), "nodes")
     rows = stage(sketches.filter("block is null").select("doc_id", "k", F.col("n").alias("n_shingles")), "rows")
@@ -250,9 +277,10 @@ def _similar(docs: DataFrame, k: int, percent: int) -> DataFrame:
     for thin in (0, None):
         some = groups.select("sig", "k") if thin is None else groups.select("sig", "k").filter(F.pmod(F.xxhash64("sig"), F.lit(SHARES)) == thin)
         labelled = some.join(label, "k")
-        mixed = labelled.withColumn("low", F.min("c").over(w)).withColumn("high", F.max("c").over(w)).withColumn("size", F.count(F.lit(1)).over(w)).filter("low < high").select("sig", "k", "c", "size")
-        pairs = _tiles(mixed.join(kept.select("k", "n", "bits"), "k"), percent, thin).distinct()
+        mixed = stage(labelled.withColumn("low", F.min("c").over(w)).withColumn("high", F.max("c").over(w)).withColumn("size", F.count(F.lit(1)).over(w)).filter("low < high").select("sig", "k", "c", "size"), "mixed")
+        pairs = _tiles(mixed, kept, k, percent, thin).distinct()
         links = stage(_verified(pairs, kept, k, percent), "links")
+        release(mixed)
         if not links.isEmpty():
             of = lambda x: label.select(F.col("k").alias(x), F.col("c").alias(f"c{x}"))
             comp = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))

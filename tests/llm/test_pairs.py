@@ -157,6 +157,54 @@ def test_jaccard_tiles_split(make_docs, monkeypatch):
     assert {r.doc_id: r.component_id for r in similar_documents(make_docs(texts)).collect()} == roots(texts, links)
 
 
+def test_jaccard_large_groups_give_forests(make_docs, rng, monkeypatch):
+    """Copies a little too far apart to link, and a chain that links: a tile gives links and not its candidates."""
+    import shardloom.llm.jaccard as j
+
+    base, texts = words(rng, 1000, 10**6), {}
+    for i in range(80):
+        copy = list(base)
+        for at in rng.sample(range(1000), 16):
+            copy[at] = f"own{i}at{at}"
+        texts[i] = " ".join(copy)
+    chain = base[:300]
+    for i in range(100, 140):
+        chain = list(chain)
+        chain[(i * 7) % 300] = f"link{i}"
+        texts[i] = " ".join(chain)
+    _, links = jaccard_links(texts)
+    monkeypatch.setattr(j, "LARGE", 4, raising=False)
+    monkeypatch.setattr(j, "WEIGHT", 20_000, raising=False)
+    made, tiles = [], j._tiles
+
+    def counted(*args):
+        out = j.stage(tiles(*args), "counted")
+        made.append(out.distinct().count())
+        return out
+
+    monkeypatch.setattr(j, "_tiles", counted)
+    assert {r.doc_id: r.component_id for r in similar_documents(make_docs(texts)).collect()} == roots(texts, links)
+    assert len(made) == 2 and max(made) < 2 * len(texts)
+
+
+def test_jaccard_copies_seen_by_many_tasks(make_docs, rng, monkeypatch):
+    """A set of which several tasks hold a copy is in each of its groups once."""
+    import shardloom.llm.jaccard as j
+
+    base, seen, stage = words(rng, 60), [], j.stage
+    texts = {i: " ".join(base[:-1] + [f"end{i % 2}"]) for i in range(40)}
+
+    def noted(df, name):
+        out = stage(df, name)
+        if name == "groups":
+            seen.append((out.count(), out.select("sig", "k").distinct().count()))
+        return out
+
+    monkeypatch.setattr(j, "stage", noted)
+    assert {r.component_id for r in similar_documents(make_docs(texts).repartition(8)).collect()} == {0}
+    assert [a for a, _ in seen] == [b for _, b in seen] and seen[0][0] > 0
+
+
 def test_one_of_each_keeps_one(make_docs, rng):
     texts = near_copies(rng, 5, 5)
     _, links = jaccard_links(texts)
