@@ -24,7 +24,12 @@ from .common import small_batches, stage, trimmed
 #: Encoded chunks kept by a task before its cache starts afresh, and bytes of
 #: the chunks that stay for the worker's next task.
 CACHE_ENTRIES, KEPT_BYTES = 1_000_000, 10
-_PUNCT = re.compile(rb"(?<=[a-z])([.,])(?=[ \t\n\r\x0b\x0c])")
+#: The mark comes first, so that only marks are looked at.
+_PUNCT = re.compile(rb"([.,])(?<=[a-z].)(?=[ \t\n\r\x0b\x0c])")
+#: Latin letters, and the characters that byte-level tokenizers write for bytes.
+_LETTERS = "".join(c for c in map(chr, range(0x250)) if c.lower() == c and c.isalpha())
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 
 
 class ChunkEncoder:
@@ -45,11 +50,25 @@ class ChunkEncoder:
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        norm, cut = self.tok.normalizer, self.tok.pre_tokenizer
+        #: Lower-case words of such letters reach the model byte by byte.
+        self.bare = (not norm or norm.normalize_str(_LETTERS) == _LETTERS) and bool(cut) and [t for t, _ in cut.pre_tokenize_str(_LETTERS)] == [_LETTERS.encode().decode("latin-1").translate(_BYTES)]
 
     def _learn(self, new: list[bytes]) -> None:
-        """Encode chunks into the cache. Words of letters alone are encoded
-        many at a time: each is one pre-token and ends with a word-end id."""
+        """Encode chunks into the cache. Lower-case words of Latin letters go to
+        the model itself; other words of letters alone are encoded many at a
+        time: each is one pre-token and ends with a word-end id."""
         words = [w.decode() for w in new]
+        if self.bare:
+            split, rest = self.tok.model.tokenize, []
+            for w, raw in zip(words, new):
+                if raw.isalpha() and raw.islower():
+                    self.cache[raw] = _pack([t.id for t in split(w)])
+                elif w.isalpha() and max(w) < "\u0250" and w.lower() == w:
+                    self.cache[raw] = _pack([t.id for t in split(raw.decode("latin-1").translate(_BYTES))])
+                else:
+                    rest.append(w)
+            words = rest
         plain = [w for w in words if w.isalpha()]
         odd = [w for w in words if not w.isalpha()]
         for at in range(0, len(plain), 1000):
@@ -72,7 +91,7 @@ class ChunkEncoder:
         cache = self.cache
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
-        self._learn(list(set().union(*(ws for ws in split if ws)) - cache.keys()))
+        self._learn([w for w in set().union(*(ws for ws in split if ws)) if w not in cache])
         get = cache.__getitem__
         return [_pack(self.tok.encode(t, add_special_tokens=False).ids) if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split)]
 

@@ -277,6 +277,28 @@ def test_encoder_is_the_tokenizer(tok, rng):
     assert [np.frombuffer(b, "<u4").tolist() for b in enc(texts)] == [tok(t) for t in texts]
 
 
+def test_latin_words_go_to_the_model(tok, rng):
+    """Every Latin letter, capital or not, with marks and odd neighbours; lower-case words skip the whole tokenizer."""
+    enc, asked = packing.ChunkEncoder(tokenizer_json()), []
+
+    class Asked:
+        model = enc.tok.model
+
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts)
+            return whole.encode_batch_fast(texts, **how)
+
+    whole, enc.tok = enc.tok, Asked()
+    letters = [c for c in map(chr, range(0x260)) if c.isalpha()]
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) + rng.choice(["", ".", ",", "..", "'s", "\u0301"]) for _ in range(400)) for _ in range(20)]
+    plain = " ".join("".join(rng.choice("abcdeéèßçñøœ") for _ in range(9)) for _ in range(100))
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc([*texts, plain])] == [tok(t) for t in [*texts, plain]]
+    asked.clear()
+    enc.cache.clear()
+    enc([plain])
+    assert not "".join(asked)
+
+
 def random_edits(rng, n):
     out = []
     for _ in range(rng.randrange(0, 12)):
