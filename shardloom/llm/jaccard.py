@@ -3,11 +3,13 @@
 Candidates share a shingle of their prefixes: in one global order of shingles,
 rare ones first, two sets as similar as asked share a shingle among the first
 ``n - ceil(t n) + 1`` of each. First every set meets one smallest of its
-groups; only where groups still hold several components, their members meet in
-size-banded tiles, where the bit counts of hashed bitmaps bound the overlap
-from above. All that pass are verified by intersecting sorted arrays; large
-groups carry their texts into the tiles and are verified there, so that a tile
-gives a forest of links and never all its candidates.
+groups; only where groups still hold several components, their members meet: those of
+the smallest groups as pairs, each sent once however many groups it shares, all
+others in size-banded tiles. Bit counts of hashed bitmaps, which grow with the
+sets, bound the overlap from above, and only texts of pairs that pass are moved,
+to be verified by intersecting sorted arrays; large groups carry their texts
+into the tiles and are verified there, so that a tile gives a forest of links
+and never all its candidates.
 """
 
 from __future__ import annotations
@@ -31,26 +33,40 @@ _BLOCK = 1 << 12
 TILE = 1024
 #: Groups of more sets are verified inside their tiles.
 LARGE = 128
+#: Groups of at most so many sets give their pairs without a tile.
+FEW = 4
 #: Shingles of a tile's side.
 WEIGHT = 4_000_000
-#: Keys of sets in such groups that are broadcast; beyond, they are shuffled.
-BROADCAST_KEYS = 250_000
+#: Slots of 64 bits by which texts that no pair needs stay where they are.
+SLOTS = 1 << 18
 #: Groups are dealt in so many shares by hash; the thin round looks at one.
 SHARES = 4
 
-#: Bits of a set's bitmap, a power of two.
+#: Bits of a set's bitmap, a power of two. Larger sets have a second, wide one
+#: of a bit a shingle at least.
 BITS = 1024
 
-_SKETCH = "doc_id long, k long, n long, text binary, bits binary, block long"
+_SKETCH = "doc_id long, k long, n long, text binary, bits binary, wide binary, block long"
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
+def bitmap(s: np.ndarray, bits: int = 0) -> np.ndarray:
     """Parity bitmap of a set. Two sets differ in as many elements at least as
     their bitmaps differ in bits; the fewer they are, the closer it comes."""
-    at = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    bits = bits or BITS
+    at = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(at.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def _wide(s: np.ndarray) -> bytes | None:
+    return bitmap(s, 1 << (len(s) - 1).bit_length()).tobytes() if len(s) > BITS else None
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, once the wider is folded to the other's width."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
 def set_key(s: np.ndarray) -> int:
     """64-bit identity of a set."""
     return int(mix64(np.array([np.sum(mix64(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
@@ -64,7 +80,7 @@ def _least_overlap(na, nb, percent: int):
 def _sketches(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, seen = [f.split()[0] for f in _SKETCH.split(", ")], set()
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
         counts, pack = np.zeros(COUNTERS, np.uint32), zstandard.ZstdCompressor(3)
         for b in batches:
             for lo, part in chunks(b.column(1)):
@@ -73,21 +89,21 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
                 for i, (x, y) in enumerate(zip(at[:-1], at[1:])):
                     doc = b.column(0)[lo + i].as_py()
                     if x == y:
-                        rows.append((doc, None, 0, None, None, None))
+                        rows.append((doc, None, 0, None, None, None, None))
                         continue
                     s = np.unique(h[x:y])
                     key = set_key(s)
                     if key in seen:
-                        rows.append((doc, key, len(s), None, None, None))
+                        rows.append((doc, key, len(s), None, None, None, None))
                         continue
                     if len(seen) < 200_000:
                         seen.add(key)
                     np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-                    rows.append((doc, key, len(s), pack.compress(part[i].as_py().encode()), bitmap(s).tobytes(), None))
+                    rows.append((doc, key, len(s), pack.compress(part[i].as_py().encode()), bitmap(s).tobytes(), _wide(s), None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
         if counts.any():
             blocks = counts.reshape(-1, _BLOCK)
-            rows = [(None, None, None, blocks[i].tobytes(), None, i) for i in np.flatnonzero(blocks.any(axis=1)).tolist()]
+            rows = [(None, None, None, blocks[i].tobytes(), None, None, i) for i in np.flatnonzero(blocks.any(axis=1)).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return docs.select("doc_id", "text").mapInArrow(trimmed(run), _SKETCH)
@@ -130,35 +146,52 @@ def _prefixes(nodes: DataFrame, order: np.ndarray, k: int, percent: int) -> Data
     return nodes.select("k", "text", "n").mapInArrow(trimmed(run), "sig long, k long, n long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+def _texts(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """(k, text): one text of each set of ``keys``, distinct. Nearly all other
+    texts are left out by a bitmap of the keys before anything is shuffled."""
+    slot, bit = F.pmod(F.xxhash64("k"), F.lit(SLOTS)), F.expr("shiftleft(1L, cast(pmod(xxhash64(k, 1L), 64L) as int))")
+    asked = keys.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("mask"))
+    some = nodes.select("k", "text", slot.alias("slot")).join(F.broadcast(asked), "slot").filter(F.col("mask").bitwiseAND(bit) != 0)
+    # no semi join: Spark would do it before the other
+    return some.select("k", "text").join(keys, "k").groupBy("k").agg(F.first("text").alias("text"))
+
+
+def _verified(pairs: DataFrame, kept: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) that are links: whose sizes and bitmaps allow the overlap
     and whose sorted sets have it."""
 
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, xa, xb, wa, wb = (c.to_pylist() for c in batch.columns[2:])
+            diff = [differing(v, w) if v and w else differing(x, y) for x, y, v, w in zip(xa, xb, wa, wb)]
+            yield batch.select(["a", "b"]).filter(pa.array([(m + n - d) // 2 >= _least_overlap(m, n, percent) for m, n, d in zip(na, nb, diff)], pa.bool_()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            a, b, na, nb, xa, xb, ta, tb = (c.to_pylist() for c in batch.columns)
-            ok = []
-            for i in range(len(a)):
-                diff = int(np.bitwise_count(np.frombuffer(xa[i], np.uint64) ^ np.frombuffer(xb[i], np.uint64)).sum())
-                ok.append((na[i] + nb[i] - diff) // 2 >= _least_overlap(na[i], nb[i], percent))
-            on = np.flatnonzero(ok)
-            raw = {x: t for i in on.tolist() for x, t in ((a[i], ta[i]), (b[i], tb[i]))}
+            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
+            raw = dict(zip(a + b, ta + tb))
             got = dict(zip(raw, sets(pa.array([unpack.decompress(t).decode() for t in raw.values()], pa.large_string()), k)))
-            for i in on.tolist():
-                s, t = got[a[i]], got[b[i]]
-                ok[i] = len(np.intersect1d(s, t, assume_unique=True)) >= _least_overlap(len(s), len(t), percent)
+            ok = [len(np.intersect1d(got[x], got[y], assume_unique=True)) >= _least_overlap(len(got[x]), len(got[y]), percent) for x, y in zip(a, b)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    side = lambda x: nodes.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}"), F.col("text").alias(f"t{x}"))
-    sizes = lambda x: nodes.select(F.col("k").alias(x), F.col("n").alias(f"s{x}"))
+    side = lambda x: kept.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}"), F.col("wide").alias(f"w{x}"))
+    sizes = lambda x: kept.select(F.col("k").alias(x), F.col("n").alias(f"s{x}"))
     fit = pairs.join(sizes("a"), "a").join(sizes("b"), "b").filter(F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent).select("a", "b")
-    return fit.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb", "ta", "tb").mapInArrow(trimmed(run), "a long, b long")
+    fit = stage(fit.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb", "wa", "wb").mapInArrow(trimmed(may), "a long, b long"), "fit")
+    texts = _texts(nodes, fit.select(F.col("a").alias("k")).union(fit.select("b")).distinct())
+    text = lambda x: texts.select(F.col("k").alias(x), F.col("text").alias(f"t{x}"))
+    return fit.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(trimmed(run), "a long, b long")
+
+
+def _pairs(mixed: DataFrame) -> DataFrame:
+    """(a, b): the pairs of the groups of at most FEW sets, each once."""
+    return mixed.filter(F.col("size") <= FEW).select("k", F.explode("near").alias("o")).select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()
 
 
-def _tiles(mixed: DataFrame, kept: DataFrame, k: int, percent: int, thin: int | None = None) -> DataFrame:
-    """(a, b): candidate pairs of different components, group by group; if
-    ``thin`` is a number, one a member and tile, the first by a hash of the
+def _tiles(mixed: DataFrame, kept: DataFrame, nodes: DataFrame, k: int, percent: int, thin: int | None = None) -> DataFrame:
+    """(a, b): candidate pairs of different components, group by group of more
+    than FEW sets; if ``thin`` is a number, one a member and tile, the first by a hash of the
     pair and the number. Members of groups of more than LARGE sets bring their
     texts: candidates are verified here, and only links that join what the tile
     has not joined yet come out, fewer than it has members.
@@ -167,13 +200,13 @@ def _tiles(mixed: DataFrame, kept: DataFrame, k: int, percent: int, thin: int |
     two neighbouring size bands, or two blocks of so many of them. Sizes a
     factor of 100 / percent apart never link, so further bands need not meet.
     """
+    mixed = mixed.filter(F.col("size") > FEW)
     large = F.col("size") > min(LARGE, TILE)
     small = mixed.filter(~large).join(kept.select("k", "n", "bits"), "k")
     placed = small.select("sig", F.lit(-1).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("blk"), F.lit(-1).alias("band"), "k", "c", "n", "bits", F.lit(None).cast("binary").alias("text"))
     keys = mixed.filter(large).select("k").distinct()
-    if many := keys.count():
-        texts = kept.join(F.broadcast(keys) if many <= BROADCAST_KEYS else keys, "k", "left_semi").select("k", "n", "bits", "text")
-        rows = mixed.filter(large).join(texts.select("k", "n"), "k")
+    if not keys.isEmpty():
+        rows = mixed.filter(large).join(kept.select("k", "n"), "k")
         rows = rows.join(rows.groupBy("sig").agg(F.sum("n").alias("weight")), "sig")
         whole = (F.col("size") <= TILE) & (F.col("weight") <= WEIGHT)
         band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.000001)).cast("int") if percent < 100 else F.col("n").cast("int")
@@ -182,7 +215,7 @@ def _tiles(mixed: DataFrame, kept: DataFrame, k: int, percent: int, thin: int |
         blocks = rows.groupBy("sig", "at").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / WEIGHT)).cast("int").alias("blocks"))
         rows = rows.join(blocks, ["sig", "at"]).withColumn("blk", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         # texts come last, for one shuffle
-        rows = rows.select("sig", "at", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "band", "k", "c", "n").join(texts.select("k", "bits", "text"), "k")
+        rows = rows.select("sig", "at", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "band", "k", "c", "n").join(kept.select("k", "bits").join(_texts(nodes, keys), "k"), "k")
         placed = placed.unionByName(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,30 +296,37 @@ def _similar(docs: DataFrame, k: int, percent: int) -> DataFrame:
     groups = _prefixes(nodes, order, k, percent).withColumn("low", F.min("k").over(w)).withColumn("high", F.max("k").over(w)).filter("low < high").select("sig", "k", "low")
     # tasks that each saw a copy of a set have each sent its prefix
     groups = stage(groups.dropDuplicates(["sig", "k"]), "groups")
-    # one copy of each set that has a group
-    kept = stage(nodes.join(groups.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.first("text").alias("text"), F.first("bits").alias("bits")), "nodes")
+    # each set that has a group, once and without its text, which few need
+    kept = stage(nodes.select("k", "n", "bits", "wide").join(groups.select("k").distinct(), "k", "left_semi").groupBy("k").agg(*(F.first(x).alias(x) for x in ("n", "bits", "wide"))), "nodes")
     rows = stage(sketches.filter("block is null").select("doc_id", "k", F.col("n").alias("n_shingles")), "rows")
-    release(sketches)
     # of the smallest sets of its groups, each set meets the one it shares most of them with
     star = groups.filter("k <> low").groupBy("k", "low").agg(F.count(F.lit(1)).alias("shared")).groupBy("k").agg(F.max_by("low", F.struct("shared", "low")).alias("a")).select("a", F.col("k").alias("b"))
-    links = stage(_verified(star, kept, k, percent), "links")
+    links = stage(_verified(star, kept, nodes, k, percent), "links")
     comp = components(links)
-    label = stage(kept.select("k").join(comp.withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("component", "k").alias("c")), "labels")
+    label = stage(kept.select("k", "n").join(comp.withColumnRenamed("node", "k"), "k", "left").select("k", "n", F.coalesce("component", "k").alias("c")), "labels")
     # groups of near copies become components by a few links of each member,
     # over a share of the groups, before all that are left are compared
     for thin in (0, None):
         some = groups.select("sig", "k") if thin is None else groups.select("sig", "k").filter(F.pmod(F.xxhash64("sig"), F.lit(SHARES)) == thin)
         labelled = some.join(label, "k")
-        mixed = stage(labelled.withColumn("low", F.min("c").over(w)).withColumn("high", F.max("c").over(w)).withColumn("size", F.count(F.lit(1)).over(w)).filter("low < high").select("sig", "k", "c", "size"), "mixed")
-        pairs = _tiles(mixed, kept, k, percent, thin).distinct()
-        links = stage(_verified(pairs, kept, k, percent), "links")
+        mixed = labelled.withColumn("low", F.min("c").over(w)).withColumn("high", F.max("c").over(w)).withColumn("size", F.count(F.lit(1)).over(w)).filter("low < high")
+        if thin is None:
+            before = [F.lag(F.struct("k", "c", "n"), i).over(w.orderBy("k")) for i in range(1, FEW)]
+            near = F.filter(F.array(*before), lambda o: (o.c != F.col("c")) & (F.least(o.n, "n") * 100 >= F.greatest(o.n, "n") * percent))
+            mixed = mixed.withColumn("near", F.when(F.col("size") <= FEW, F.transform(near, lambda o: o.k))).filter("near is null or size(near) > 0")
+            mixed = stage(mixed.select("sig", "k", "c", "size", "near"), "mixed")
+            pairs = _tiles(mixed, kept, nodes, k, percent, thin).union(_pairs(mixed)).distinct()
+        else:
+            mixed = stage(mixed.filter(F.col("size") > FEW).select("sig", "k", "c", "size"), "mixed")
+            pairs = _tiles(mixed, kept, nodes, k, percent, thin).distinct()
+        links = stage(_verified(pairs, kept, nodes, k, percent), "links")
         release(mixed)
         if not links.isEmpty():
             of = lambda x: label.select(F.col("k").alias(x), F.col("c").alias(f"c{x}"))
             comp = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-            label = stage(label.join(comp.withColumnRenamed("node", "c"), "c", "left").select("k", F.coalesce("component", "c").alias("c")), "labels")
-    release(groups, kept)
-    rows = rows.join(label, "k", "left").withColumn("c", F.coalesce("c", "k"))
+            label = stage(label.join(comp.withColumnRenamed("node", "c"), "c", "left").select("k", "n", F.coalesce("component", "c").alias("c")), "labels")
+    release(sketches, groups, kept)
+    rows = rows.join(label.select("k", "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
     least = rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "c", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 

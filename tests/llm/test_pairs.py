@@ -205,6 +205,60 @@ def test_jaccard_copies_seen_by_many_tasks(make_docs, rng, monkeypatch):
     assert [a for a, _ in seen] == [b for _, b in seen] and seen[0][0] > 0
 
 
+def test_jaccard_moves_only_texts_of_likely_pairs(make_docs, rng, monkeypatch):
+    """Sets that share a rare shingle, and no more than that, are told apart without their texts."""
+    import shardloom.llm.jaccard as j
+
+    texts = {i: " ".join(words(rng, 10, 10**6) + [f"pair{i // 2}at{x}" for x in range(5)] + words(rng, 10, 10**6)) for i in range(80)}
+    texts |= {100: " ".join(base := words(rng, 200, 10**6)), 101: " ".join(base[:-1] + ["else"])}
+    staged, asked, stage, fetch = [], [], j.stage, getattr(j, "_texts", None)
+
+    def noted(df, name):
+        staged.append((name, df.columns))
+        return stage(df, name)
+
+    def counted(nodes, keys):
+        out = fetch(nodes, keys)
+        asked.append((keys.count(), out.count()))
+        # a semi join would be done first, over all texts
+        assert "LeftSemi" not in out._jdf.queryExecution().optimizedPlan().toString()
+        return out
+
+    monkeypatch.setattr(j, "stage", noted)
+    monkeypatch.setattr(j, "_texts", counted, raising=False)
+    assert {r.doc_id: r.component_id for r in similar_documents(make_docs(texts)).collect()} == {i: min(i, 100) for i in texts}
+    assert [name for name, columns in staged if "text" in columns] == ["sketches"]
+    assert all(a == b <= 2 for a, b in asked) and max(asked) == (2, 2)
+
+
+def test_jaccard_wide_bitmaps():
+    """Bitmaps of any two widths bound the overlap from above, close enough for large sets without any."""
+    from shardloom.llm.jaccard import _wide, bitmap, differing
+
+    g = np.random.default_rng(5)
+    for na, nb, both in ((1025, 5000, 900), (3000, 2900, 2700), (5000, 4000, 0), (2049, 2048, 2048)):
+        x = g.integers(0, 1 << 63, na + nb, np.uint64)
+        a, b = x[:na], np.concatenate([x[:both], x[na : na + nb - both]])
+        bound = (na + nb - differing(_wide(a), _wide(b))) // 2
+        assert bound >= both and differing(_wide(a), _wide(b)) == differing(_wide(b), _wide(a))
+        assert both or 175 * bound < 75 * (na + nb)
+        assert differing(_wide(a), bitmap(a).tobytes()) == 0
+    assert _wide(x[:1024]) is None
+
+
+@pytest.mark.parametrize("few", [2, 6])
+def test_jaccard_small_groups(make_docs, rng, monkeypatch, few):
+    """Pairs of small groups, and sets on both sides of the width of the first bitmap."""
+    import shardloom.llm.jaccard as j
+
+    texts = near_copies(random.Random(11), 9, 4)
+    base = words(rng, 1200, 10**6)
+    texts |= {7000: " ".join(base), 7001: " ".join(base[:950]), 7002: " ".join(base[:800])}
+    _, links = jaccard_links(texts)
+    monkeypatch.setattr(j, "FEW", few, raising=False)
+    assert {r.doc_id: r.component_id for r in similar_documents(make_docs(texts)).collect()} == roots(texts, links)
+
+
 def test_one_of_each_keeps_one(make_docs, rng):
     texts = near_copies(rng, 5, 5)
     _, links = jaccard_links(texts)
